@@ -39,7 +39,7 @@ def texts_of(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
-def as_list(column: pa.Array, pieces: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+def as_list(pieces: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     """The flat values of a list array and the row boundaries within them."""
     offsets = pieces.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     return pieces.flatten(), offsets - offsets[0]
@@ -51,7 +51,7 @@ def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     Returns (codes, offsets, words): row i holds codes[offsets[i]:offsets[i + 1]].
     """
     texts = texts_of(column)
-    flat, offsets = as_list(texts, pc.ascii_split_whitespace(texts))
+    flat, offsets = as_list(pc.ascii_split_whitespace(texts))
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
     words = coded.dictionary
@@ -118,3 +118,20 @@ def written(df: DataFrame, keep_order_of: str | None = None) -> DataFrame:
 def parts_for(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_bytes(df: DataFrame, text_col: str = "text") -> int:
+    """UTF-8 bytes of all texts, to size buckets by."""
+    from pyspark.sql import functions as F
+
+    return int(df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0)
+
+
+def fields(df: DataFrame, leave: tuple[str, ...] = ()) -> list[str]:
+    """The names of the columns that pass through, without those that results replace."""
+    return [c for c in df.columns if c not in leave]
+
+
+def ddl(df: DataFrame, names: list[str]) -> str:
+    """The schema string of some columns."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)

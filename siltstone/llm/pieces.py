@@ -62,7 +62,7 @@ def piece_table(path: str) -> PieceTable:
 def chunk_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The chunks of each text as (codes, row offsets, distinct chunks)."""
     texts = pc.replace_substring(texts_of(column), MARK, " ")
-    flat, edges = as_list(texts, pc.split_pattern(texts, " "))
+    flat, edges = as_list(pc.split_pattern(texts, " "))
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     table = coded.dictionary.to_pylist()

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from siltstone.llm.line_dedup import OP3_SQL, op3_line_dedup
+from siltstone.llm.packing import op7_packing
 from siltstone.llm.pieces import op9_sentencepiece
+from siltstone.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from siltstone.llm.token_counts import op5_token_counts
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op5_token_counts": op5_token_counts,
+    "op7_packing": op7_packing,
     "op9_sentencepiece": op9_sentencepiece,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_substring_dedup": OP1_SQL,
+    "op3_line_dedup": OP3_SQL,
+}
