@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siltstone.llm.line_dedup import OP3_SQL, op3_line_dedup
+from siltstone.llm.near_dedup import op8_minhash
 from siltstone.llm.packing import op7_packing
 from siltstone.llm.pieces import op9_sentencepiece
 from siltstone.llm.substring_dedup import OP1_SQL, op1_substring_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_packing": op7_packing,
+    "op8_minhash": op8_minhash,
     "op9_sentencepiece": op9_sentencepiece,
 }
 SQL: dict[str, str] = {
