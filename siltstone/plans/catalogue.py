@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from siltstone.plans.oracle import SQL
+from siltstone.plans.queries import QUERIES
+
+__all__ = ["QUERIES", "SQL"]
