@@ -19,13 +19,15 @@ MOST_LABELLED = 1000
 LEAST_SHARE = 0.5
 #: Steps and rate of the fit, and the weight of its penalty.
 STEPS, RATE, PENALTY = 120, 0.2, 1e-3
+#: Text bytes measured at once.
+BLOCK = 2 << 20
 #: Fixed values of the rules.
 SYMBOLS, FEWEST_WORDS, MOST_REPEATED = "#*$%&|<>", 50, 50
 FEATURES = ("bias", "length", "letters", "capitals", "digits", "symbols", "marks", "sentence_end", "word_length", "distinct_words", "repeats_line", "repeated_words")
 
 
 def _classes(chars: str) -> np.ndarray:
-    table = np.zeros(256, dtype=np.int64)
+    table = np.zeros(256, dtype=np.int8)
     table[list(chars.encode())] = 1
     return table
 
@@ -36,7 +38,7 @@ CAPITAL = _classes("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 DIGIT = _classes("0123456789")
 SYMBOL = _classes(SYMBOLS)
 MARK = _classes("!?.,;:'\"()[]{}=+-_/\\@^~`")
-CHAR = np.ones(256, dtype=np.int64)
+CHAR = np.ones(256, dtype=np.int8)
 CHAR[0x80:0xC0] = 0
 SPACE = _classes(" \t\n\v\f\r")
 END = _classes(".!?")
@@ -54,8 +56,9 @@ class Measures:
 
 def sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Sums between edges."""
-    total = np.concatenate(([0], np.cumsum(values)))
-    return total[edges[1:]] - total[edges[:-1]]
+    total = np.zeros(len(values) + 1, dtype=np.int64 if values.dtype.itemsize > 1 else np.int32)
+    np.cumsum(values, dtype=total.dtype, out=total[1:])
+    return (total[edges[1:]] - total[edges[:-1]]).astype(np.int64)
 
 
 def measured(column: pa.Array) -> Measures:
@@ -237,7 +240,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_
     chosen = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(sample), id_col).select("text", "quality", id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK):
             m = measured(block.column(0))
             out = []
             for i in range(block.num_rows):
@@ -269,7 +272,7 @@ def quality_rules(df: DataFrame, field: Field | None, least_share: float = LEAST
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text_col, 8 << 20):
+        for block in blocks(batches, text_col, BLOCK):
             m = measured(block.column(at))
             labels = field.labels(m) if field else np.ones(len(m.words), dtype=np.int8)
             n = m.base["n_words"]
