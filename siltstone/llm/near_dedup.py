@@ -15,8 +15,12 @@ from siltstone.llm._blocks import blocks, mix, texts_of, word_codes, word_hashes
 #: Signature: CHUNKS chunks of WIDTH minima, each cut to BITS bits. A chunk may have one
 #: error, so all pairs that differ in at most 2 * CHUNKS - 1 minima share a key.
 CHUNKS, WIDTH, BITS = 15, 7, 16
-#: Rounds of links to leaders before what is left is compared pair by pair.
-ROUNDS = 4
+#: Rounds of links to leaders before pairs that are still apart are compared.
+ROUNDS = 2
+#: Bits of a set's bitmap for each of its members, about, and the least bits.
+BITMAP_EACH, LEAST_BITS = 8, 512
+#: Rows of one key that meet in one task at most; larger groups are cut into blocks against blocks.
+BLOCK_ROWS = 4096
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 MULTIPLIERS = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=np.uint64) * GOLD) | np.uint64(1)
 
@@ -92,29 +96,107 @@ def document_signatures(df: DataFrame, shingle: int, id_col: str, text_col: str)
 
 
 def keys_of(signed: DataFrame) -> DataFrame:
-    """(id, key): all chunk keys of each signature."""
+    """(id, key, at): all chunk keys of each signature, with the chunk and the minimum left out as one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1)
                 keys = chunk_keys(sig)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1])), pa.array(keys.reshape(-1).view(np.int64))], names=["id", "key"])
+                n, m = keys.shape
+                columns = [np.repeat(batch.column(0).to_numpy(), m), keys.reshape(-1).view(np.int64), np.tile(np.arange(m, dtype=np.int16), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "key", "at"])
 
-    return signed.select("id", "signature").mapInArrow(run, "id long, key long")
+    return signed.select("id", "signature").mapInArrow(run, "id long, key long, at short")
+
+
+def bitmap(members: np.ndarray) -> bytes:
+    """A bitmap of hashes whose length is a power of two that grows with the set; longer ones fold onto shorter ones."""
+    bits = LEAST_BITS
+    while bits < BITMAP_EACH * len(members):
+        bits *= 2
+    out = np.zeros(bits, dtype=bool)
+    out[(members & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
 
 
 def set_table(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles array<long>): the full set of each document."""
+    """(id, n, signature, bits, shingles array<long>): the full set of each document, its bitmap and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, limit=4 << 20):
             sets = shingle_sets(block.column(1), shingle)
+            have = [i for i, s in enumerate(sets) if len(s)]
+            if not have:
+                continue
+            sets = [sets[i] for i in have]
             edges = np.cumsum([0, *map(len, sets)])
-            values = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values))], names=["id", "shingles"])
+            shingles = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            columns = [block.column(0).take(pa.array(have)), pa.array(np.diff(edges)), pa.array([r.tobytes() for r in signatures(sets)]), pa.array([bitmap(x) for x in sets]), shingles]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "signature", "bits", "shingles"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).alias("text")).mapInArrow(run, "id long, shingles array<bigint>")
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, signature binary, bits binary, shingles array<bigint>")
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows (x down, y across) their bitmaps allow to be linked; never misses a link.
+
+    A bit of one set alone stands for at least one member that the other lacks.
+    """
+    only_x = np.bitwise_count(x[:, None, :] & ~y[None, :, :]).sum(axis=2, dtype=np.int64)
+    only_y = np.bitwise_count(y[None, :, :] & ~x[:, None, :]).sum(axis=2, dtype=np.int64)
+    common = np.minimum(nx[:, None] - only_x, ny[None, :] - only_y)
+    return 100 * common >= percent * (nx[:, None] + ny[None, :] - common)
+
+
+def folded(rows: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps of one length as rows of 64-bit words, folded onto ``words`` words."""
+    m = np.frombuffer(b"".join(rows), dtype="<u8").reshape(len(rows), -1)
+    while m.shape[1] > words:
+        m = m[:, : m.shape[1] // 2] | m[:, m.shape[1] // 2 :]
+    return m
+
+
+def first_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of the first key that the signatures of each pair share, -1 for none."""
+    differ = (a != b).reshape(len(a), CHUNKS, WIDTH)
+    errors = differ.sum(axis=2)
+    chunk = (errors <= 1).argmax(axis=1)
+    rows = np.arange(len(a))
+    return np.where(errors[rows, chunk] <= 1, chunk * WIDTH + differ[rows, chunk].argmax(axis=1), -1)
+
+
+def apart_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a key's rows in different components that may be linked, at the first key that they share."""
+    ids, comp, n, at = (table[c].to_numpy() for c in ("id", "component", "n", "at"))
+    side = table["side"].to_numpy()  # 1: to be compared with all, 2: one of all, 3: both
+    sig = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint16).reshape(len(ids), -1)
+    raw = table["bits"].to_pylist()
+    length = np.array([len(r) // 8 for r in raw])
+    out_a, out_b = [], []
+    mine, all_ = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    lone = np.isin(ids, ids[mine])
+    for la in np.unique(length[mine]):
+        for lb in np.unique(length[all_]):
+            i, j = mine[length[mine] == la], all_[length[all_] == lb]
+            if not len(i) or not len(j) or max(la, lb) * percent > 200 * min(la, lb):
+                continue  # sets of such different sizes can't be linked
+            words = int(min(la, lb))
+            x, y = folded([raw[k] for k in i], words), folded([raw[k] for k in j], words)
+            step_j = max(1, (1 << 21) // words // 16)
+            for p in range(0, len(i), 16):
+                for q in range(0, len(j), step_j):
+                    ii, jj = i[p : p + 16], j[q : q + step_j]
+                    ok = may_link(x[p : p + 16], y[q : q + step_j], n[ii], n[jj], percent) & (comp[ii][:, None] != comp[jj][None, :])
+                    ok &= ~(lone[jj][None, :] & (ids[jj][None, :] < ids[ii][:, None]))  # two such rows meet once
+                    r, c = np.nonzero(ok)
+                    if len(r):
+                        r, c = ii[r], jj[c]
+                        keep = first_keys(sig[r], sig[c]) == at[r]
+                        out_a.append(ids[r[keep]])
+                        out_b.append(ids[c[keep]])
+    none = np.empty(0, dtype=np.int64)
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,8 +240,8 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     Documents are linked if 100 * common >= percent * union of their shingle sets.
     Equal sets are one class from the start. Classes that share a chunk key are
     candidates; each is first compared with the most central member of its keys, and
-    links found join components; pairs of one key that are still apart are compared
-    in later rounds, the last of which takes all that are left. ``component_id`` is
+    links found join components. Pairs of one key that are still apart after the last
+    round are ruled out by bitmaps of their sets, which never miss a link, or compared. ``component_id`` is
     the smallest id reachable. Null, empty and blank texts have empty sets and only
     themselves. Rows without an id get no component. Rows of one id are one document.
     An empty table gives no rows; other columns are ignored.
@@ -183,7 +265,7 @@ def class_components(members: DataFrame, docs: DataFrame, shingle: int, percent:
     weighed = written(keyed)
     # a document whose keys many others have is central among them
     weight = weighed.groupBy("id").agg(F.sum("n").alias("weight"))
-    keyed = written(weighed.join(weight, "id").select("id", "key", "weight"))
+    keyed = written(weighed.join(weight, "id").select("id", "key", "at", "weight"))
     ids = keyed.select("id").distinct()
     candidates = docs.join(ids, F.col(id_col) == F.col("id"), "left_semi")
     sets = written(set_table(candidates, shingle, id_col, text_col))
@@ -191,19 +273,20 @@ def class_components(members: DataFrame, docs: DataFrame, shingle: int, percent:
     tested = None
     for step in range(ROUNDS + 1):
         rows = keyed.join(labels, "id")
-        span = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct(F.col("weight") if not step else F.xxhash64("id", F.lit(step)), F.col("id"), F.col("component"))).alias("lead"))
-        mixed = span.filter("low <> high").select("key", F.col("lead.id").alias("a"), F.col("lead.component").alias("ca"))
+        lead = F.struct(F.col("weight") if not step else F.xxhash64("id", F.lit(step)), F.col("id"), F.col("component"))
+        span = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(lead).alias("lead"), F.count(F.lit(1)).alias("n_rows"))
+        mixed = span.filter("low <> high").select("key", F.col("lead.id").alias("a"), F.col("lead.component").alias("ca"), "n_rows")
         if step < ROUNDS:
             pairs = rows.join(mixed, "key").filter("component <> ca").groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
             pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
             pairs = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
         else:
-            apart = written(rows.join(mixed.select("key"), "key", "left_semi"))
-            other = apart.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-            pairs = apart.join(other, "key").filter("component < ca").select("a", F.col("id").alias("b")).distinct()
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs_apart(rows, mixed, sets, percent).join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs)
         if pairs.isEmpty():
+            if step < ROUNDS:
+                tested = pairs if tested is None else tested
+                continue
             break
         links = confirmed(pairs, sets, percent)
         links = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
@@ -216,6 +299,33 @@ def class_components(members: DataFrame, docs: DataFrame, shingle: int, percent:
     return labels
 
 
+def pairs_apart(rows: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of one key in different components that bitmaps of their sets allow to be linked, each once.
+
+    Rows outside a key's most common component meet all its rows. A key of more than
+    BLOCK_ROWS rows is cut, block against block.
+    """
+    rows = rows.join(mixed.select("key", "n_rows"), "key")
+    main = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"))
+    rows = rows.join(main.select("key", F.col("m.component").alias("main")), "key")
+    cut = F.ceil(F.col("n_rows") / BLOCK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(7)), cut).cast("int")
+    lone = F.col("component") != F.col("main")
+    every = F.sequence(F.lit(0), cut - 1)
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    one = F.array(F.when(lone, place(F.lit(0), F.lit(0), 3)).otherwise(place(F.lit(0), F.lit(0), 2)))
+    right = F.transform(every, lambda i: place(i, own, 2))
+    left = F.when(lone, F.transform(every, lambda j: place(own, j, 1))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    spread = rows.select("key", "at", "id", "component", F.explode(F.when(cut == 1, one).otherwise(F.concat(left, right))).alias("p"))
+    full = spread.join(sets.select("id", "n", "signature", "bits"), "id").select("key", "p.i", "p.j", "p.side", "at", "id", "component", "n", "signature", "bits")
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, b = apart_pairs(table, percent)
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in near-duplicate components over 2-word shingles."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)
