@@ -254,7 +254,8 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     labels = class_components(members, name, shingle, percent, id_col, text_col)
     out = members.select("id", "n_shingles", F.coalesce("class", "id").alias("class"))
     out = out.join(labels.select(F.col("id").alias("class"), "component"), "class", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "class").alias("component_id"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
 
 
 def class_components(members: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:

@@ -99,8 +99,11 @@ def parsed(raw: memoryview, at: int, offset: int) -> tuple[Record, int]:
         if at + window >= len(raw) or window > 1 << 20:
             raise Damaged("header without end")
         window *= 4
+    version, *lines = head[:stop].split(b"\r\n")
+    if version not in (b"WARC/1.0", b"WARC/1.1"):
+        raise Damaged("unknown version line")
     headers = {}
-    for line in head[:stop].split(b"\r\n")[1:]:
+    for line in lines:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without name")
