@@ -16,9 +16,9 @@ from siltstone.llm._blocks import as_list, blocks, ddl, fields, gather, mix, par
 #: Words of the grams that minimisers are taken from.
 GRAM = 5
 #: Bytes of packed super-k-mers in a bucket, about. Packing makes about three bytes of one.
-BUCKET_BYTES, PACKED = 12 << 20, 3
+BUCKET_BYTES, PACKED = 8 << 20, 3
 #: Text bytes of one block.
-BLOCK = 20 << 20
+BLOCK = 8 << 20
 #: A gram is heavy if its share of all grams is over 1 / (HEAVY * partitions); so at most HEAVY * partitions are.
 HEAVY = 32
 HIGH = np.uint64(1 << 63)
