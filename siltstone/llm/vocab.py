@@ -21,7 +21,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Below this code point, composition never changes a text and lower case is one character for one.
 PLAIN_BELOW = 0x180
 #: Words kept with their ids between blocks of one Python worker.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 120_000
 
 
 def default_path(name: str) -> str:
@@ -73,6 +73,14 @@ class WordVocabulary:
 
     def pretokens(self, word: str) -> list[bytes] | None:
         """The parts whose symbols may merge; None where only the library can tell."""
+        try:  # most words are letters of the first 256 characters, maybe with one mark behind
+            word.encode("latin-1")
+            if word.isalpha():
+                return [word.lower().encode()]
+            if word[-1] in ",.!?;:" and word[:-1].isalpha():
+                return [word[:-1].lower().encode(), word[-1].encode()]
+        except UnicodeEncodeError:
+            pass
         if self.odd.search(word):
             return None
         return [p.encode() for p in self.pattern.findall(word.lower())]
