@@ -210,7 +210,7 @@ nn AS (SELECT * FROM s WHERE c >= 0.35 QUALIFY row_number() OVER (PARTITION BY a
 SQL["emb_knn"] = f"{KNN} SELECT a, b, round(c, 4) AS cosine FROM nn"
 SQL["emb_groups"] = f"""{KNN}, e2 AS (SELECT a, b FROM nn UNION SELECT b, a FROM nn), reach AS (SELECT a AS id, a AS r FROM e2 UNION SELECT e2.b, reach.r FROM reach JOIN e2 ON e2.a = reach.id),
 comp AS (SELECT id, min(r) AS g FROM reach GROUP BY id), worst AS (SELECT g, 1 - min(c) AS d FROM nn JOIN comp ON nn.a = comp.id GROUP BY g) SELECT id, comp.g AS "group", round(d, 4) AS distance FROM comp JOIN worst ON comp.g = worst.g"""
-SQL["hash_hamming_pairs"] = """WITH h AS (SELECT vec_id AS id, array_to_string(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS h FROM embeddings),
+SQL["hash_hamming_pairs"] = """WITH h AS (SELECT vec_id AS id, array_to_string(list_transform(flatten(list_transform(embedding[1:16], lambda x: [x, x, x, x])), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS h FROM embeddings),
 f AS (SELECT h, min(id) AS r FROM h GROUP BY h)
 SELECT x.r AS a, y.r AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM f x JOIN f y ON x.r < y.r AND bit_count(xor(x.h, y.h)) <= 14 UNION ALL SELECT r, id, 0 FROM h JOIN f ON h.h = f.h AND id > r"""
 SQL["burst_groups"] = """WITH e AS (SELECT event_id AS id, user_id, floor(epoch(ts))::BIGINT AS t FROM events), n AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 3600 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, id)),
@@ -285,3 +285,43 @@ SQL["version_compare"] = "SELECT o_orderkey, ((o_orderkey % 4) * 100 + o_orderke
 SQL["uint64_roundtrip"] = """WITH u AS (SELECT o_orderkey, 18446744073709551615::HUGEINT - o_orderkey::HUGEINT * 1000000007 AS u FROM orders)
 SELECT o_orderkey, (CASE WHEN u >= 9223372036854775808::HUGEINT THEN u - 18446744073709551616::HUGEINT ELSE u END)::BIGINT AS signed, true AS same FROM u"""
 SQL["text_labels"] = f"""{FIL} SELECT file_id, strftime(to_timestamp(ctime) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS created, {BUCKET.format('path')} AS bucket, (len(string_split(path, '/')) - 1)::INT AS depth FROM files"""
+
+
+# ---- selections, caches and checks ----
+SQL["dup_ineligible"] = f"""{DUP}, mk AS (SELECT DISTINCT regexp_extract(path, '^(.*/p[0-9]+)/', 1) AS m FROM files WHERE file_id % 10 = 2 AND (file_id % 37) % 2 = 0),
+en AS (SELECT path, keep_path, CASE WHEN regexp_extract(path, '^(.*/projects/p[0-9]+)/', 1) IN (SELECT m FROM mk) THEN regexp_extract(path, '^(.*/projects/p[0-9]+)/', 1) END AS env FROM ke)
+SELECT a.path, CASE WHEN a.path GLOB '/src4/*/downloads/*' THEN 'model_cache_managed' WHEN a.env IS NOT NULL AND a.env IS DISTINCT FROM b.env THEN 'cross_environment' ELSE 'none' END AS ineligible
+FROM en a LEFT JOIN en b ON a.keep_path = b.path WHERE a.path <> a.keep_path"""
+SQL["link_shared"] = f"""{FIL}, w AS (SELECT path, dev, ino, string_split(path, '/')[2] AS env FROM files), g AS (SELECT dev, ino, count(DISTINCT env) > 1 AS shared FROM w WHERE dev <> 0 OR ino <> 0 GROUP BY ALL)
+SELECT path, coalesce(shared, false) AS shared FROM w LEFT JOIN g USING (dev, ino)"""
+SQL["link_identity_changed"] = f"""{SCAN}, o AS (SELECT path, CASE WHEN file_id % 9 = 0 THEN 0 ELSE dev END AS dev, CASE WHEN file_id % 9 = 0 THEN 0 ELSE ino END AS ino FROM old), l AS (SELECT path, dev, ino + (file_id % 6 = 0)::INT AS ino FROM new)
+SELECT o.path, coalesce(l.path IS NOT NULL AND NOT (o.dev = 0 AND o.ino = 0) AND (o.dev <> l.dev OR o.ino <> l.ino), false) AS changed FROM o LEFT JOIN l ON o.path = l.path"""
+SQL["user_selection"] = f"""{CANDS}, asked AS (SELECT path FROM inv WHERE file_id % 4 = 0), uv AS (SELECT path, {reason(True)} AS reason_code FROM inv WHERE path IN (SELECT path FROM asked) AND path NOT IN (SELECT path FROM cands))
+SELECT path, category_group, tier FROM cands WHERE path IN (SELECT path FROM asked) UNION ALL SELECT path, 'user_selected', 'B' FROM uv WHERE {VERDICT} <> 'blocked'"""
+SQL["embedding_cache"] = "SELECT doc_id AS file_id, doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS hit FROM documents"
+SQL["ocr_text"] = "SELECT user_id, coalesce(string_agg(event_type, chr(10) ORDER BY event_id) FILTER (value / 100 >= 0.9), '-') AS text FROM events GROUP BY user_id"
+SQL["image_keep_best"] = """WITH RECURSIVE h AS (SELECT vec_id AS id, array_to_string(list_transform(flatten(list_transform(embedding[1:16], lambda x: [x, x, x, x])), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS h FROM embeddings),
+e2 AS (SELECT x.id AS a, y.id AS b FROM h x JOIN h y ON x.id <> y.id AND bit_count(xor(x.h, y.h)) <= 14), reach AS (SELECT a AS id, a AS r FROM e2 UNION SELECT e2.b, reach.r FROM reach JOIN e2 ON e2.a = reach.id),
+c AS (SELECT id, min(r) AS component FROM reach GROUP BY id), s AS (SELECT *, round(2 * ln(1 + id % 50) + ln(1 + (id % 30) * 1000) - 0.05 * abs(id % 90 - 60), 9) AS score FROM c)
+SELECT id, component, id = first_value(id) OVER (PARTITION BY component ORDER BY score DESC, id) AS is_keep FROM s"""
+SQL["cluster_track"] = "SELECT doc_id // 3 AS g, CASE WHEN bool_or(doc_id % 10 = 4) THEN 'version_chain' ELSE 'near_duplicate' END AS track FROM documents GROUP BY 1"
+SQL["pair_strata"] = """WITH h AS (SELECT vec_id AS id, array_to_string(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS h FROM embeddings),
+p AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h)) AS d FROM h x JOIN h y ON y.id BETWEEN x.id + 1 AND x.id + 3 WHERE x.id % 4 <> 0), b AS (SELECT a, b, CASE WHEN d <= 10 THEN 'near' WHEN d <= 25 THEN 'middle' ELSE 'far' END AS bin FROM p)
+SELECT a, b, bin FROM b QUALIFY row_number() OVER (PARTITION BY bin ORDER BY sha256(a || '-' || b || '-42')) <= 60"""
+SQL["judge_agreement"] = """WITH g AS (SELECT doc_id % 7 <> 0 AS complete, quality = toxic AND toxic = doc_id % 2 AS same FROM labels)
+SELECT count(*) FILTER (complete) AS n_complete, count(*) FILTER (complete AND same) AS n_unanimous, round(1 - count(*) FILTER (complete AND same) / count(*), 8) AS excluded_share FROM g"""
+SQL["text_chunks"] = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, (len(w) + 299) // 300)) AS chunk FROM w)
+SELECT doc_id, chunk::INT AS chunk, sha256(array_to_string(w[chunk * 300 + 1:chunk * 300 + 300], ' ')) AS sha FROM c"""
+SQL["text_cleaned"] = r"SELECT doc_id, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')) AS sha FROM documents"
+SQL["mode_transitions"] = "SELECT o_orderkey, o_orderstatus <> 'O' OR o_orderpriority = '1-URGENT' AS accepted FROM orders"
+SQL["vault_audit"] = f"""{EV}, pv AS (SELECT regexp_replace(path, '^/files/(.*)/([0-9])$', '/vault/\\1\\2') AS path FROM present) SELECT count(*) AS n_checked, count(*) FILTER (vault_path IS NULL OR vault_path NOT IN (SELECT path FROM pv)) AS n_missing
+FROM lastd WHERE method = 'vault' AND NOT restored AND NOT purged"""
+SQL["apply_postcondition"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'source_remains' WHEN o_orderkey % 3 <> 1 AND o_orderkey % 7 = 0 THEN 'target_missing' ELSE 'ok' END AS state FROM orders"
+SQL["scan_eta"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 100 <= 0 OR o_orderkey % 13 <= 0 THEN -1.0::DOUBLE ELSE round(greatest(80 - o_orderkey % 100, 0) / ((o_orderkey % 100) / (o_orderkey % 13)), 6) END AS eta FROM orders"
+SQL["label_pair_keys"] = "SELECT x.conv_id, x.turn AS a, y.turn AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn < y.turn"
+SQL["state_lenient"] = "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), -1) AS k FROM events"
+SQL["cloud_roots"] = "SELECT c_custkey, c_custkey % 3 <> 2 OR c_custkey % 5 = 0 AS is_root FROM customer"
+SQL["eval_tier_joint"] = """WITH s AS (SELECT (n_chars % 97) / 97 AS s1, doc_id % 89 / 89 AS s2, quality = 1 AS positive, floor((n_chars % 97) / 97 * 2) AS tier FROM labels JOIN documents USING (doc_id)), t AS (SELECT unnest([0.0, 0.1, 0.2, 0.4, 0.6, 0.8]::DOUBLE[]) AS v),
+g AS (SELECT tier, x.v AS x, y.v AS y, count(*) FILTER (s1 >= x.v AND s2 >= y.v) AS n, count(*) FILTER (s1 >= x.v AND s2 >= y.v AND positive) AS tp, count(*) FILTER (positive) AS p FROM s, t x, t y GROUP BY ALL),
+r AS (SELECT x, y, CASE WHEN n = 0 THEN 1.0 ELSE tp / n END AS pr, CASE WHEN p = 0 THEN 0 ELSE tp / p END AS re FROM g)
+SELECT x, y, round(min(re), 8) AS worst_recall FROM r GROUP BY x, y HAVING bool_and(pr >= 0.8) ORDER BY min(re) DESC, x, y LIMIT 1"""

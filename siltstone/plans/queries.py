@@ -16,6 +16,7 @@ from siltstone.operators import ranking as K
 from siltstone.operators import report as T
 from siltstone.operators import rules as R
 from siltstone.operators import safety as Y
+from siltstone.operators import selection as Z
 from siltstone.operators import similarity as N
 from siltstone.operators import tagging as G
 from siltstone.sources.adapters import NOW, files, inventory, table
@@ -614,7 +615,7 @@ def doc_keep(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_minhash(spark: SparkSession, d: str) -> DataFrame:
-    """Signatures of conversations' turns against the next turn, as estimates."""
+    """Signatures of documents against the next document's, as estimates."""
     s = N.minhash(table(spark, d, "documents"), "doc_id", "text")
     n = s.select((F.col("id") - 1).alias("id"), F.col("signature").alias("other"))
     return s.join(n, "id").select("id", "n", N.signature_likeness(F.col("signature"), F.col("other")).alias("likeness"))
@@ -647,9 +648,14 @@ def emb_groups(spark: SparkSession, d: str) -> DataFrame:
     return N.semantic_groups(near).select("id", "group", F.round("distance", 4).alias("distance"))
 
 
+def _wide_hash():
+    # sixteen signs of four bits each, so that some vectors are near
+    return N.sign_hash(F.flatten(F.transform(F.slice("embedding", 1, 16), lambda x: F.array_repeat(x, 4))))
+
+
 @query
 def hash_hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), N.sign_hash(F.col("embedding")).alias("hash"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), _wide_hash().alias("hash"))
     return N.hamming_pairs(e, 14)
 
 
@@ -834,3 +840,142 @@ def uint64_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query
 def text_labels(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).select("file_id", S.iso_time(F.col("ctime")).alias("created"), S.bucket_of(F.col("path")).alias("bucket"), P.depth_of(F.col("path")).alias("depth"))
+
+
+# ---- selections, caches and checks ----
+
+
+@query
+def dup_ineligible(spark: SparkSession, d: str) -> DataFrame:
+    kept = written(_kept(spark, d))
+    markers = inventory(spark, d).filter(F.col("name") == "package.json").select(F.col("parent").alias("path"))
+    env = I.nearest_marker(kept.select("path"), markers)
+    rows = Z.ineligible(kept, env, P.matches_any(F.col("path"), ("/src4/*/downloads/*",)))
+    return rows.select("path", F.coalesce("ineligible", F.lit("none")).alias("ineligible"))
+
+
+@query
+def link_shared(spark: SparkSession, d: str) -> DataFrame:
+    return Z.shared_elsewhere(files(spark, d).withColumn("env", F.split("path", "/")[1]), "env")
+
+
+@query
+def link_identity_changed(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _rescan(spark, d)
+    i = F.col("file_id")
+    return Z.identity_changed(old.withColumn("dev", F.when(i % 9 == 0, 0).otherwise(F.col("dev"))).withColumn("ino", F.when(i % 9 == 0, 0).otherwise(F.col("ino"))), new.withColumn("ino", F.col("ino") + (i % 6 == 0).cast("int")))
+
+
+@query
+def user_selection(spark: SparkSession, d: str) -> DataFrame:
+    inv = written(inventory(spark, d))
+    asked = inv.filter(F.col("file_id") % 4 == 0).select("path").unionByName(spark.createDataFrame([("/not/there",)], "path string"))
+    return Z.resolved(asked, _cands(spark, d), inv).select("path", "category_group", "tier")
+
+
+@query
+def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
+    rows = files(spark, d).select("path", "size", "mtime", F.lit("m1").alias("model"), "file_id")
+    i = F.col("file_id")
+    cache = rows.filter(i % 3 != 0).withColumn("mtime", F.col("mtime") + (i % 5 == 0).cast("double")).withColumn("model", F.when(i % 7 == 0, "m0").otherwise("m1"))
+    return Z.cached(rows, cache).select("file_id", "hit")
+
+
+@query
+def ocr_text(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("conf", F.col("value") / 100)
+    out = Z.confident_text(e, "user_id", "event_id", "event_type", "conf", 0.9)
+    return out.select("user_id", F.coalesce("text", F.lit("-")).alias("text"))
+
+
+@query
+def image_keep_best(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), _wide_hash().alias("hash"))
+    c = N.components(written(N.hamming_pairs(e, 14)).select("a", "b"))
+    i = F.col("id")
+    m = c.withColumn("score", F.round(Z.quality(i % 50, (i % 30) * 1000, (i % 90).cast("double")), 9))
+    return Z.keep_best(m, "component", "score").select("id", "component", "is_keep")
+
+
+@query
+def cluster_track(spark: SparkSession, d: str) -> DataFrame:
+    f = files(spark, d).withColumn("g", F.floor(F.col("file_id") / 3)).withColumn("stem", P.name_of(F.col("path")))
+    return Z.routed(f, "g", S.version_rank(F.col("stem")))
+
+
+@query
+def pair_strata(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("a"), N.sign_hash(F.col("embedding")).alias("h"))
+    near = e.select("a", "h", F.explode(F.array(*(F.col("a") + k for k in (1, 2, 3)))).alias("b"))
+    pairs = near.join(e.select(F.col("a").alias("b"), F.col("h").alias("g")), "b").select("a", "b", S.hamming(F.col("h"), F.col("g")).alias("distance"))
+    return Z.stratified(pairs, pairs.filter(F.col("a") % 4 == 0)).select("a", "b", "bin")
+
+
+@query
+def judge_agreement(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "labels").select(F.col("doc_id").alias("record"), F.posexplode(F.array("quality", "toxic", F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 2).cast("int")))).alias("judge", "grade"))
+    return Z.unanimous(x, 3).select("n_complete", "n_unanimous", F.round("excluded_share", 8).alias("excluded_share"))
+
+
+@query
+def text_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return Z.chunks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk", F.sha2("text", 256).alias("sha"))
+
+
+@query
+def text_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2(Z.cleaned(F.col("text")), 256).alias("sha"))
+
+
+@query
+def mode_transitions(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "power").otherwise("safe").alias("to_mode"), F.col("o_orderpriority").alias("phrase"))
+    return Z.transitions(o, "1-URGENT").select("o_orderkey", "accepted")
+
+
+@query
+def vault_audit(spark: SparkSession, d: str) -> DataFrame:
+    p = _present(spark, d).select(F.regexp_replace("path", "^/files/(.*)/([0-9])$", "/vault/$1$2").alias("path"))
+    return Z.vault_audit(E.fold_latest(_events(spark, d)), p)
+
+
+@query
+def apply_postcondition(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    op = F.when(i % 3 == 0, "vault").when(i % 3 == 1, "direct_delete").otherwise("restore")
+    return table(spark, d, "orders").select("o_orderkey", Z.postcondition(op, i % 5 == 0, i % 7 != 0).alias("state"))
+
+
+@query
+def scan_eta(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(F.round(Z.eta_seconds(i % 100, F.lit(80), (i % 13).cast("double")), 6), F.lit(-1.0)).alias("eta"))
+
+
+@query
+def label_pair_keys(spark: SparkSession, d: str) -> DataFrame:
+    return Z.pair_keys(table(spark, d, "conversations"), "conv_id", "turn")
+
+
+@query
+def state_lenient(spark: SparkSession, d: str) -> DataFrame:
+    state = F.from_json("props", "k string")
+    return table(spark, d, "events").select("event_id", F.coalesce(state["k"].try_cast("int"), F.lit(-1)).alias("k"))
+
+
+@query
+def cloud_roots(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    name = F.concat(F.when(F.col("c_custkey") % 3 == 0, "OneDrive - ").when(F.col("c_custkey") % 3 == 1, "dropbox").otherwise("my "), "c_name")
+    return c.select("c_custkey", Z.cloud_root(name, F.col("c_custkey") % 5 == 0).alias("is_root"))
+
+
+@query
+def eval_tier_joint(spark: SparkSession, d: str) -> DataFrame:
+    x = _two(spark, d).withColumn("tier", F.floor(F.col("s1") * 2).cast("int"))
+    grid = None
+    for t in (0, 1):
+        g = M.grid_counts(x.filter(F.col("tier") == t), GRID, GRID)
+        grid = g if grid is None else grid.unionByName(g)
+    best = grid.groupBy("x", "y").agg(F.bool_and(F.col("precision") >= 0.8).alias("ok"), F.min("recall").alias("worst")).filter("ok").orderBy(F.desc("worst"), "x", "y").limit(1)
+    return best.select("x", "y", F.round("worst", 8).alias("worst_recall"))
