@@ -84,9 +84,11 @@ def measured(column: pa.Array) -> Measures:
     starts = gather(doc_words[:-1], np.maximum(np.diff(doc_words) - 2, 0))
     covered = np.zeros(len(codes) + 1, dtype=np.int64)
     if len(starts):
-        if len(words) >= 1 << 21:
-            raise ValueError("too many distinct words in a block")
-        key = (codes[starts] << 42) | (codes[starts + 1] << 21) | codes[starts + 2]
+        if len(words) < 1 << 21:
+            key = (codes[starts] << 42) | (codes[starts + 1] << 21) | codes[starts + 2]
+        else:  # one very long text: pairs get numbers first
+            _, pair = np.unique((codes[starts] << 31) | codes[starts + 1], return_inverse=True)
+            key = (pair.reshape(-1) << 31) | codes[starts + 2]
         of_doc = np.repeat(np.arange(len(n_words)), np.maximum(np.diff(doc_words) - 2, 0))
         order = np.argsort(key, kind="stable")
         same = (key[order][1:] == key[order][:-1]) & (of_doc[order][1:] == of_doc[order][:-1])

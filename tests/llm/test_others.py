@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import documents, empty, words
 from pyspark.sql import functions as F
@@ -40,6 +41,12 @@ def test_base_rules(spark):
     assert Q.quality_rules(empty(spark), None).count() == 0
 
 
+def test_one_text_of_very_many_words():
+    text = " ".join(map(str, range((1 << 21) + 10))) + " 0 1 2"
+    base = Q.measured(pa.array([text, "a b c a b c d", None])).base
+    assert base["n_words"].tolist() == [(1 << 21) + 13, 7, 0] and base["n_repeat_words"].tolist() == [6, 6, 0]
+
+
 def test_viterbi_and_marginals():
     rng = np.random.default_rng(0)
     edges = np.array([0, 1, 1, 5, 8])
