@@ -7,6 +7,8 @@ word is segmented once a block and ids return to their places by position.
 from __future__ import annotations
 
 import json
+import sys
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -43,9 +45,9 @@ class WordVocabulary:
     """A vocabulary file with word-end symbols, as arrays for merging many words at once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.nfc, self.nfd = Tokenizer.from_file(path), normalizers.NFC(), normalizers.NFD()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.specials = spec["model"], [t["content"] for t in spec["added_tokens"]]
@@ -67,12 +69,16 @@ class WordVocabulary:
         self.bytes_of = {i: (b, False) for b, i in self.inner.items()} | {i: (b, True) for b, i in self.ending.items()}
         self.pattern = regex.compile(SPLIT)
         self.odd = regex.compile(f"[^\\x00-{chr(PLAIN_BELOW - 1)}]|[İ\\x1c-\\x1f\\x85\\xa0]|" + "|".join(map(regex.escape, self.specials)))
+        self.special = regex.compile("|".join(map(regex.escape, self.specials)) or "(?!)")
+        self.lowers: dict[str, str] = {}
+        self.kinds: dict[str, str] = {}
+        self.wholes: dict[bytes, int] = {}
         self.known: dict[str, np.ndarray] = {}
         self.counted: dict[str, np.ndarray] = {}
         self.fits: dict[int, bool] = {}
 
     def pretokens(self, word: str) -> list[bytes] | None:
-        """The parts whose symbols may merge; None where only the library can tell."""
+        """The parts whose symbols may merge; None where normalisation can reach over characters."""
         try:  # most words are letters of the first 256 characters, maybe with one mark behind
             word.encode("latin-1")
             if word.isalpha():
@@ -237,7 +243,6 @@ class WordVocabulary:
         of the prefix before it. Sorted parts share the steps of common prefixes. The
         lists are reused; a caller copies what it keeps.
         """
-        root, fits, fit = self.backwards(), self.fits, self.fit
         last, count, last_end, count_end = [-1], [0], [-1], [0]
         before = b""
         for part in sorted(parts):
@@ -248,33 +253,38 @@ class WordVocabulary:
             for table in (last, count, last_end, count_end):
                 del table[j + 1 :]
             before = part
-            for j in range(j + 1, n + 1):
-                node, i, inner, ending = root, j, None, None
-                while i:
-                    i -= 1
-                    node = node.get(part[i])
-                    if node is None:
-                        break
-                    if inner is None and (t := node.get(256)) is not None:
-                        f = fits.get((last[i] + 1) << 20 | t)
-                        if fit(last[i], t) if f is None else f:
-                            inner = t
-                            inner_count = count[i] + 1
-                            if ending is not None:
-                                break
-                    if ending is None and (t := node.get(257)) is not None:
-                        f = fits.get((last[i] + 1) << 20 | t)
-                        if fit(last[i], t) if f is None else f:
-                            ending = t
-                            ending_count = count[i] + 1
-                            if inner is not None:
-                                break
-                last.append(inner)
-                count.append(inner_count)
-                last_end.append(ending)
-                count_end.append(ending_count)
+            self.extend(part, j, last, count, last_end, count_end)
             yield part, last, count, last_end, count_end
 
+    def extend(self, part: bytes | bytearray, done: int, last: list, count: list, last_end: list, count_end: list) -> None:
+        """The steps of all prefixes of a part that are longer than its first ``done`` bytes, added to the lists."""
+        root, fits, fit = self.backwards(), self.fits, self.fit
+        for j in range(done + 1, len(part) + 1):
+            node, i, inner, ending = root, j, None, None
+            while i:
+                i -= 1
+                node = node.get(part[i])
+                if node is None:
+                    break
+                if inner is None and (t := node.get(256)) is not None:
+                    f = fits.get((last[i] + 1) << 20 | t)
+                    if fit(last[i], t) if f is None else f:
+                        inner = t
+                        inner_count = count[i] + 1
+                        if ending is not None:
+                            break
+                if ending is None and (t := node.get(257)) is not None:
+                    f = fits.get((last[i] + 1) << 20 | t)
+                    if fit(last[i], t) if f is None else f:
+                        ending = t
+                        ending_count = count[i] + 1
+                        if inner is not None:
+                            break
+            last.append(inner)
+            count.append(inner_count)
+            last_end.append(ending)
+            count_end.append(ending_count)
+
     def tokens_before(self, part: bytes) -> list[int]:
         """The ids of a whole part, read back from its prefix table."""
         _, last, _, last_end, _ = next(self.prefix_tables([part]))
@@ -322,13 +332,173 @@ class WordVocabulary:
                 result.append(np.concatenate(out))
         return result
 
+    # ---- words whose normalisation can reach over characters ----
+
     def counts_of_odd(self, word: str) -> np.ndarray:
-        """Words whose normalisation can reach over characters: the library encodes each prefix of the word."""
-        found = [0, *(len(e.ids) for e in self.library.encode_batch([word[:k] for k in range(1, len(word) + 1)], add_special_tokens=False))]
-        out: list[int] = []
+        """Prefix counts of a word with composition, wider lower case or special tokens, in one walk over it."""
+        out, base, at = np.empty(len(word.encode()), dtype=np.int32), 0, 0
+        found = [0]
+        for m in self.special.finditer(word):
+            # until its last character, a special token is plain text
+            counts = self.walk(word[at : m.end() - 1])
+            found += [base + n for n in counts[1:]]
+            base += counts[m.start() - at] + 1
+            found.append(base)
+            at = m.end()
+        found += [base + n for n in self.walk(word[at:])[1:]]
+        byte = 0
         for k, c in enumerate(word):
-            out += [found[k]] * (len(c.encode()) - 1) + [found[k + 1]]
-        return np.array(out, dtype=np.int32)
+            n = utf8_length(c)
+            out[byte : byte + n - 1] = found[k]
+            out[byte + n - 1] = found[k + 1]
+            byte += n
+        return out
+
+    def walk(self, text: str) -> list[int]:
+        """Tokens of the first k characters of a text without special tokens, k = 0 to all.
+
+        Composition never reaches over a character that starts a cluster. So a prefix
+        is the normalised text of the clusters before and that of a beginning of the
+        next one; the latter is taken back and put anew only where a further character
+        changes it.
+        """
+        opens, state, found = self.opens, Parts(self), [0]
+        k = 0
+        while k < len(text):
+            end = k + 1
+            while end < len(text) and not opens(text[end]):
+                end += 1
+            begin, now = None, ""
+            if end > k + 1:
+                begin = state.mark()
+            for c in text[k:end]:
+                new = now + c if appends(now, c) else self.composed(now + c)
+                if not new.startswith(now):
+                    state.back(begin)
+                    now = ""
+                for x in new[len(now) :]:
+                    for y in self.lowered(x):
+                        state.push(y)
+                now = new
+                found.append(state.total())
+            k = end
+        return found
+
+    def composed(self, text: str) -> str:
+        """The composed form, as the library has it."""
+        return self.nfc.normalize_str(text)
+
+    def lowered(self, c: str) -> str:
+        """A character of a composed text as the library's normaliser leaves it."""
+        got = self.lowers.get(c)
+        if got is None:
+            got = self.lowers[c] = self.library.normalizer.normalize_str(c)
+        return got
+
+    def opens(self, c: str) -> bool:
+        """Whether no composition or reordering joins the character to what comes before it."""
+        return c < "\u0300" or c not in self.joining()
+
+    def joining(self) -> frozenset[str]:
+        """Marks, second parts of compositions, and what begins with one of these when taken apart; all that this Python doesn't know."""
+        if not hasattr(self, "_joining"):
+            every = [chr(i) for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+            known = [c for c in every if unicodedata.category(c) != "Cn"]
+            out = {c for c in every if unicodedata.combining(c)} | (set(every) - set(known))
+            taken = self.nfd.normalize_str("\n".join(known)).split("\n")
+            out.update(x for t in taken for x in t[1:])
+            out.update([c for c, t in zip(known, taken, strict=True) if t[0] in out])
+            self._joining = frozenset(out)
+        return self._joining
+
+    def kind(self, c: str) -> str:
+        """Letter, number, space or other, as the library's pattern sees a character."""
+        got = self.kinds.get(c)
+        if got is None:
+            cut = self.library.pre_tokenizer.pre_tokenize_str
+            alone = cut("a" + c)
+            if len(alone) == 1:
+                got = "L" if alone[0][1][1] == 2 else "S"
+            else:
+                got = "N" if len(cut(c + c)) == 2 else "O"
+            self.kinds[c] = got
+        return got
+
+    def whole(self, part: bytes) -> int:
+        """Tokens of a whole short part."""
+        got = self.wholes.get(part)
+        if got is None:
+            got = self.wholes[part] = len(self.tokens_before(part))
+        return got
+
+
+def utf8_length(c: str) -> int:
+    """The bytes of a character."""
+    return 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+
+
+def appends(text: str, c: str) -> bool:
+    """Whether a mark surely stays as it is behind a composed text: one of its class there keeps it from composing."""
+    n = unicodedata.combining(c)
+    return bool(text) and n > 0 and unicodedata.combining(text[-1]) == n and not unicodedata.decomposition(c)
+
+
+class Parts:
+    """The parts of a normalised text that grows by characters and can be set back, with its tokens."""
+
+    def __init__(self, vocabulary: WordVocabulary):
+        self.v, self.kind, self.base, self.quote = vocabulary, "S", 0, None
+        self.open_part()
+
+    def open_part(self) -> None:
+        self.part, self.tables = bytearray(), ([-1], [0], [-1], [0])
+
+    def mark(self) -> tuple:
+        return self.kind, self.base, self.quote, self.part, self.tables, len(self.part)
+
+    def back(self, to: tuple) -> None:
+        """To a mark set before; later marks are void."""
+        self.kind, self.base, self.quote, self.part, self.tables, n = to
+        del self.part[n:]
+        for table in self.tables:
+            del table[n + 1 :]
+
+    def total(self) -> int:
+        return self.base + self.tables[3][-1]
+
+    def close(self) -> None:
+        """What comes next begins a part."""
+        self.base, self.kind = self.total(), "S"
+        self.open_part()
+
+    def grow(self, c: str) -> None:
+        done = len(self.part)
+        self.part += c.encode()
+        self.v.extend(self.part, done, *self.tables)
+
+    def push(self, c: str) -> None:
+        """One more character."""
+        kind, quote = self.v.kind(c), self.quote
+        self.quote = None
+        if quote is not None:  # (tokens before, text) of a mark that began a part, and maybe a letter
+            text = quote[1] + c.encode() if kind == "L" else b""
+            if text in CONTRACTIONS:
+                self.base = quote[0] + self.v.whole(text)
+                self.kind = "S"
+                self.open_part()
+                return
+            if len(text) == 2 and text in (b"'r", b"'v", b"'l"):
+                self.quote = (quote[0], text)
+        if kind != self.kind or kind == "N":
+            self.close()
+            if kind == "S":
+                return
+            self.kind = kind
+            if c == "'":
+                self.quote = (self.base, b"'")
+        elif kind == "S":
+            return
+        self.grow(c)
 
 
 @lru_cache(maxsize=2)

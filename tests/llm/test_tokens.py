@@ -55,6 +55,43 @@ def test_words_of_the_tables(library):
     assert v.tokens_before(b"incomprehensibilities") == encoded(library, ["incomprehensibilities"])[0]
 
 
+HARD = [*"a'srevlmt!<1 \x85\xa0\x1cÉß", "\u0301", "\u0323", "\u0344", "\u0345", "İ", "Σ", "“", "’", "漢", "字", "ก", "ิ", "่", "\u1100", "\u1161", "\u11a8", "각", "К", "й", "½", "Ⅷ", "🙂", "\u200d", "\u3000", "\u09c7", "\u09be", "K", "<|endoftext|>", "\u16d67", "\U0001d15e"]
+
+
+def test_prefixes_of_odd_words(library):
+    v = vocab.word_vocabulary(vocab.default_path("word_bpe_49k.json"))
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(HARD, size=rng.integers(1, 12))) for _ in range(1500)]
+    words += ["don’t", "“It’s", "’re", "'r\u0301e", "'re\u0301", "a\u0323\u0301\u0323", "İ'll", "'L\u0327l"]
+    for w in words:
+        got, at = v.counts_of_odd(w), 0
+        for k, c in enumerate(w):
+            at += len(c.encode())
+            assert got[at - 1] == len(library.encode(w[: k + 1], add_special_tokens=False).ids), (w, k)
+
+
+@pytest.mark.parametrize("letters", ["漢字文書処理一二三、。", "กิ่นป้าไทยที่", "e\u0301", "\u0301", "Привет—"])
+def test_long_word_without_blanks(library, monkeypatch, letters):
+    class Few:
+        """The library, which refuses more text than a few times the word."""
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch(self, texts, **how):
+            assert sum(map(len, texts)) < 200_000
+            return library.encode_batch(texts, **how)
+
+    v = vocab.word_vocabulary(vocab.default_path("word_bpe_49k.json"))
+    monkeypatch.setattr(v, "library", Few())
+    rng = np.random.default_rng(6)
+    word = letters * (50_000 // len(letters)) if len(letters) < 3 else "".join(rng.choice(list(letters), size=50_000))
+    got = v.new_counts([word])[0]
+    assert len(got) == len(word.encode())
+    for k in [1, 2, 3, 999, 2000, *rng.integers(1, 50_000, size=5).tolist(), len(word)]:
+        assert got[len(word[:k].encode()) - 1] == len(library.encode(word[:k], add_special_tokens=False).ids)
+
+
 def test_pieces(spark):
     model = P.piece_table(vocab.default_path(P.MODEL)).model
     df = documents(spark)
