@@ -76,10 +76,11 @@ class Record:
 
 @dataclass
 class Salvage:
-    """What an archive gave: good records and quarantined gaps (start, end, reason)."""
+    """What an archive gave: good records, quarantined gaps (start, end, reason), and doubtful records with reasons."""
 
     records: list[Record] = field(default_factory=list)
     gaps: list[tuple[int, int, str]] = field(default_factory=list)
+    doubtful: list[tuple[Record, str]] = field(default_factory=list)
 
 
 class Damaged(Exception):
@@ -127,8 +128,8 @@ def parsed(raw: memoryview, at: int, offset: int) -> tuple[Record, int]:
     return record, end + len(END)
 
 
-def member(raw: memoryview, at: int) -> tuple[bytes, int]:
-    """The text of the gzip member at ``at``, whose checksum holds, and where it ends."""
+def member(raw: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """The text of the gzip member at ``at``, where it ends, and what is wrong: then, the text inflated before that."""
     if bytes(raw[at : at + 3]) != GZIP:
         raise Damaged("no member header")
     machine, out, here = zlib.decompressobj(16 + zlib.MAX_WBITS), [], at
@@ -138,42 +139,95 @@ def member(raw: memoryview, at: int) -> tuple[bytes, int]:
             out.append(machine.decompress(step))
             here += len(step)
     except zlib.error as e:
-        raise Damaged(f"member: {e}") from None
-    if not machine.eof:
-        raise Damaged("member cut short")
-    return b"".join(out), here - len(machine.unused_data)
+        return before_error(raw, at), here, f"member: {e}"
+    return b"".join(out), here - len(machine.unused_data), None if machine.eof else "member cut short"
+
+
+def before_error(raw: memoryview, at: int) -> bytes:
+    """What a damaged member inflates to before the error."""
+    machine, out, step = zlib.decompressobj(16 + zlib.MAX_WBITS), [], 1 << 18
+    while True:
+        before = machine.copy()
+        try:
+            out.append(machine.decompress(raw[at : at + step]))
+            at += step
+        except zlib.error:
+            machine = before
+            if step == 1:
+                break
+            step >>= 1
+    tail = bytes(raw[at : at + 1])
+    try:  # the error's byte may end some symbols first
+        while (one := machine.decompress(tail, 1)) or machine.unconsumed_tail != tail:
+            out.append(one)
+            tail = machine.unconsumed_tail
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def inside(text: bytes, at: int) -> tuple[list[Record], list[tuple[int, int, str]]]:
+    """The good records of a member's text, and the gaps between them as bytes of the text."""
+    raw, here, gap, found, gaps = memoryview(text), 0, None, [], []
+    while here < len(text):
+        try:
+            record, end = parsed(raw, here, at)
+        except Damaged as e:
+            gap = gap or (here, str(e))
+            here = text.find(b"WARC/1.", here + 1)
+            if here < 0:
+                break
+            continue
+        if gap:
+            gaps.append((gap[0], here, gap[1]))
+            gap = None
+        found.append(record)
+        here = end
+    if gap:
+        gaps.append((gap[0], len(text), gap[1]))
+    return found, gaps
 
 
 def salvage(content: bytes) -> Salvage:
     """All records of an archive that pass their checks.
 
-    After a failed check the search goes on at the next gzip member that starts with a
-    version line and, in plain stretches, at the next version line; what lies between
-    is a quarantined gap with the reason of the first failure in it. An empty archive
-    has neither records nor gaps.
+    After a failed check the search goes on at the next version line of the member's
+    text, at the next gzip member and, in plain stretches, at the next version line;
+    what lies between is a quarantined gap with the reason of the first failure in it.
+    A gap between good records of one member is one for the whole member, and its
+    reason names the bytes of the text. Records inflated whole from a member that is
+    cut short or whose data or checksum is wrong are doubtful: they pass their own
+    checks, but no digest covers their headers. An empty archive has neither records
+    nor gaps.
     """
     raw, out, at, gap = memoryview(content), Salvage(), 0, None
     while at < len(raw):
+        inner: list = []
+        after = None
         try:
             if bytes(raw[at : at + 3]) == GZIP:
-                text, end = member(raw, at)
-                inside, found = 0, []
-                while inside < len(text):
-                    record, inside = parsed(memoryview(text), inside, at)
-                    found.append(record)
+                text, end, error = member(raw, at)
+                found, inner = inside(text, at)
+                if error:
+                    out.doubtful += [(r, error) for r in found]
+                    raise Damaged(error)
+                after = end
                 if not found:
-                    raise Damaged("empty member")
+                    raise Damaged(inner[0][2] if inner else "empty member")
             else:
                 record, end = parsed(raw, at, at)
                 found = [record]
+                # stored without compression, a doubtful record stands there in plain too
+                out.doubtful = [d for d in out.doubtful if (d[0].headers, d[0].block) != (record.headers, record.block)]
         except Damaged as e:
             gap = gap or (at, str(e))
-            at = next_start(content, at + 1)
+            at = after or next_start(content, at + 1)
             continue
         if gap:
             out.gaps.append((gap[0], at, gap[1]))
             gap = None
         out.records += found
+        out.gaps += [(at, end, f"text bytes {a} to {b}: {reason}") for a, b, reason in inner]
         at = end
     if gap:
         out.gaps.append((gap[0], len(raw), gap[1]))
@@ -273,18 +327,19 @@ def read_archives(contents: DataFrame, with_payload: bool = False) -> DataFrame:
     ``contents`` has ``path`` and, where Spark has read the files (its ``binaryFile``
     source), ``content``; without that each task opens its paths in the shared store.
     Records have a ``record_id`` and no ``reason``; quarantined gaps have the bytes
-    ``offset`` to ``end`` and the ``reason``. A task holds one archive at a time.
+    ``offset`` to ``end`` and the ``reason``; doubtful records of a member without a
+    good checksum have both a ``record_id`` and a ``reason``. A task holds one archive at a time.
     """
     loaded = "content" in contents.columns
 
     def rows(path: str, content: bytes) -> list[tuple]:
         found = salvage(content)
         out = []
-        for r in found.records:
+        for r, reason in [*((r, None) for r in found.records), *found.doubtful]:
             h = r.headers
             digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or base32_sha1(r.payload)
             bare = lambda x: x.strip("<>") if x else None
-            out.append((path, r.offset, None, None, bare(h.get("warc-record-id", "")), h.get("warc-type"), h.get("warc-target-uri"), r.payload_bytes, digest, bare(h.get("warc-refers-to")), r.payload if with_payload else None))
+            out.append((path, r.offset, None, reason, bare(h.get("warc-record-id", "")), h.get("warc-type"), h.get("warc-target-uri"), r.payload_bytes, digest, bare(h.get("warc-refers-to")), r.payload if with_payload else None))
         return out + [(path, a, b, reason, *[None] * 7) for a, b, reason in found.gaps]
 
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]

@@ -148,6 +148,44 @@ def test_salvage_every_byte():
             assert any(a <= at < b for a, b, _ in found.gaps)
 
 
+def gzipped(raw, level=9):
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return z.compress(raw) + z.flush()
+
+
+def ids(found):
+    return [int(r.headers["warc-record-id"].strip("<>").rpartition(":")[2]) for r in found.records]
+
+
+@pytest.mark.parametrize("bad", [0, 2, 4])
+def test_salvage_inside_member(bad):
+    parts = archive(False, 5)
+    parts[bad] = parts[bad].replace(b"payload", b"PAYLOAD")
+    text, other = gzipped(b"".join(parts)), archive(True, 1)[0]
+    found = W.salvage(other + text + other)
+    assert ids(found) == [0, *(i for i in range(5) if i != bad), 0]
+    start = sum(map(len, parts[:bad]))
+    assert found.gaps == [(len(other), len(other) + len(text), f"text bytes {start} to {start + len(parts[bad])}: block digest differs")]
+
+
+@pytest.mark.parametrize("level", [0, 9])
+def test_salvage_damaged_member(level):
+    rng = np.random.default_rng(3)
+    parts = [W.record_bytes(f"urn:x:{i}", None, rng.bytes(3000), "1970-01-01T00:00:00Z", None, None) for i in range(200)]
+    text, other = gzipped(b"".join(parts), level), archive(True, 1)[0]
+    doubtful = lambda found: [int(r.headers["warc-record-id"][7:-1]) for r, _ in found.doubtful]
+    for rest in (b"", other):  # cut short
+        found = W.salvage(text[: len(text) // 2] + rest)
+        got = sorted(doubtful(found) + ids(found))
+        assert got[-1] >= 98 and got == sorted([*range(got[-1] + 1), *([0] if rest else [])])
+    checksum = bytearray(text)
+    checksum[-6] ^= 1
+    found = W.salvage(bytes(checksum) + other)
+    assert sorted(doubtful(found) + ids(found)) == [0, *range(200)]
+    if level:
+        assert ids(found) == [0] and [g[:2] for g in found.gaps] == [(0, len(text))]
+
+
 def test_stored_archives(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"".join(archive()))
     (tmp_path / "b.warc").write_bytes(b"?" + b"".join(archive(False)))
