@@ -186,6 +186,14 @@ def test_salvage_damaged_member(level):
         assert ids(found) == [0] and [g[:2] for g in found.gaps] == [(0, len(text))]
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_very_long_url(compress):
+    raw = W.record_bytes("urn:x:7", "http://x/" + "🙂" * 260_000, b"long", "1970-01-01T00:00:00Z", None, None)
+    parts = archive(compress, 2)
+    found = W.salvage(parts[0] + (gzipped(raw) if compress else raw) + parts[1])
+    assert ids(found) == [0, 7, 1] and not found.gaps
+
+
 def test_stored_archives(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"".join(archive()))
     (tmp_path / "b.warc").write_bytes(b"?" + b"".join(archive(False)))
