@@ -189,6 +189,33 @@ def bursts(shots: DataFrame, group: list[str], time_col: str, gap: float, id_col
     return marked.withColumn("burst", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
 
 
+def alike_bursts(shots: DataFrame, group: list[str], time_col: str, hash_col: str, gap: float, most: int, id_col: str = "id") -> DataFrame:
+    """(id, burst): components of links between rows of one group at most ``gap`` seconds and ``most`` bits apart.
+
+    Equal hashes of one group and time bucket of ``gap`` seconds are linked anyway and
+    stand as one class; classes of one bucket are linked by their bits alone, those of
+    neighbouring buckets if the last time of one and the first of the next are near
+    enough. Classes meet on a chunk of bits that near hashes share. A row without time
+    or hash is a burst of its own; ``burst`` is the least id.
+    """
+    alone = F.when(F.col(time_col).isNull() | F.col(hash_col).isNull(), F.col(id_col))
+    rows = shots.select(F.struct(*group).alias("g"), F.floor(F.col(time_col) / gap).alias("t"), F.col(hash_col).alias("h"), alone.alias("x"), F.col(time_col).alias("at"), F.col(id_col).alias("id"))
+    key = ["g", "t", "h", "x"]
+    every = written(rows.groupBy(*key).agg(F.min("id").alias("r"), F.min("at").alias("lo"), F.max("at").alias("hi")))
+    classes = every.filter("x IS NULL")
+    edges = [64 * k // (most + 1) for k in range(most + 2)]
+    cut = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - edges[k + 1]), 64 - (edges[k + 1] - edges[k])).alias("v")) for k in range(most + 1)]
+    keyed = written(classes.withColumn("c", F.explode(F.array(*cut))))
+    x = keyed.select("g", "t", "c", F.col("r").alias("a"), F.col("h").alias("ha"), "hi")
+    y = keyed.withColumn("later", F.explode(F.array(F.lit(0), F.lit(1)))).select("g", (F.col("t") - F.col("later")).alias("t"), "c", "later", F.col("r").alias("b"), F.col("h").alias("hb"), "lo")
+    near = F.when(F.col("later") == 0, F.col("a") < F.col("b")).otherwise(F.col("lo") - F.col("hi") <= gap)
+    links = x.join(y, ["g", "t", "c"]).filter(near & (S.hamming(F.col("ha"), F.col("hb")) <= most)).select("a", "b").distinct()
+    found = components(links.unionByName(every.select(F.col("r").alias("a"), F.col("r").alias("b"))))
+    named = every.join(found.select(F.col("id").alias("r"), F.col("component").alias("burst")), "r")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"n.{c}")) for c in key]
+    return rows.alias("l").join(named.alias("n"), same).select("l.id", "n.burst")
+
+
 def version_chain(members: DataFrame, chain: str = "chain_id", stem: str = "stem", time_col: str = "mtime", id_col: str = "id") -> DataFrame:
     """Members with rank, position (oldest first), whether the chain's signals agree, and the one to keep if so.
 

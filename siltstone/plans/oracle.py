@@ -215,6 +215,9 @@ f AS (SELECT h, min(id) AS r FROM h GROUP BY h)
 SELECT x.r AS a, y.r AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM f x JOIN f y ON x.r < y.r AND bit_count(xor(x.h, y.h)) <= 14 UNION ALL SELECT r, id, 0 FROM h JOIN f ON h.h = f.h AND id > r"""
 SQL["burst_groups"] = """WITH e AS (SELECT event_id AS id, user_id, floor(epoch(ts))::BIGINT AS t FROM events), n AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 3600 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, id)),
 b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, id ROWS UNBOUNDED PRECEDING)::BIGINT AS burst FROM n) SELECT user_id, burst, count(*) AS n, min(id) AS first_id FROM b GROUP BY ALL"""
+SQL["burst_alike"] = """WITH RECURSIVE h AS (SELECT vec_id AS id, label, vec_id * 37 % 5000 AS t, array_to_string(list_transform(flatten(list_transform(embedding[1:16], lambda x: [x, x, x, x])), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS h FROM embeddings),
+e AS (SELECT x.id AS a, y.id AS b FROM h x JOIN h y ON x.label = y.label AND abs(x.t - y.t) <= 60 AND bit_count(xor(x.h, y.h)) <= 14), reach AS (SELECT id, id AS r FROM h UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.id)
+SELECT id, min(r) AS burst FROM reach GROUP BY id"""
 
 
 def _hits(words: tuple[str, ...]) -> str:

@@ -665,6 +665,13 @@ def burst_groups(spark: SparkSession, d: str) -> DataFrame:
     return N.bursts(e, ["user_id"], "at", 3600.0).groupBy("user_id", "burst").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
+@query
+def burst_alike(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as shots of their label's group: bursts near in time and in bits."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", (F.col("vec_id") * 37 % 5000).alias("at"), _wide_hash().alias("hash"))
+    return N.alike_bursts(e, ["label"], "at", "hash", 60.0, 14)
+
+
 @query
 def content_scores(spark: SparkSession, d: str) -> DataFrame:
     s = G.scores(table(spark, d, "conversations").select("conv_id", "turn", "text"))

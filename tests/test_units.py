@@ -189,6 +189,27 @@ def test_knn(spark):
     assert out == {i: set(np.argsort(-s[i])[:3].tolist()) for i in range(60)}
 
 
+def test_alike_bursts(spark):
+    import random
+
+    r = random.Random(4)
+    base = [r.getrandbits(64) for _ in range(3)]
+    rows = [(i, r.choice(["x", None]), r.choice([None, *(k / 2 for k in range(60))]), r.choice(base) ^ sum(1 << r.randrange(64) for _ in range(r.choice([0, 5, 14]))) % 2**64) for i in range(150)]
+    rows = [(i, g, t, h - 2**64 if h >= 2**63 else h) for i, g, t, h in rows]
+    parent = {i: i for i, *_ in rows}
+
+    def top(i):
+        return i if parent[i] == i else top(parent[i])
+
+    for i, g, t, h in rows:
+        for j, g2, t2, h2 in rows[:i]:
+            if t is not None and t2 is not None and g == g2 and abs(t - t2) <= 1.5 and ((h ^ h2) % 2**64).bit_count() <= 14:
+                low, high = sorted((top(i), top(j)))
+                parent[high] = low
+    out = N.alike_bursts(spark.createDataFrame(rows, "id long, g string, at double, hash long"), ["g"], "at", "hash", 1.5, 14)
+    assert {r["id"]: r["burst"] for r in out.collect()} == {i: top(i) for i in parent}
+
+
 def test_version_conflict(spark):
     rows = [(1, "a_v1", 1.0, 1), (1, "a_v2", 2.0, 2), (1, "a_final", 1.5, 3), (2, "b", 5.0, 4), (2, "b_v2", 9.0, 5)]
     out = N.version_chain(spark.createDataFrame(rows, "chain_id long, stem string, mtime double, id long")).collect()
