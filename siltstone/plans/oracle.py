@@ -36,6 +36,7 @@ SELECT sum(size)::BIGINT AS physical_bytes FROM k"""
 FREE = "CASE WHEN nlink IS NULL OR is_reparse_point THEN 0 WHEN nlink <= 1 THEN size WHEN n >= nlink AND r = 1 THEN size ELSE 0 END"
 SQL["link_freeable"] = f"""{FIL}, w AS (SELECT *, count(*) OVER (PARTITION BY dev, ino) AS n, row_number() OVER (PARTITION BY dev, ino ORDER BY path) AS r FROM files WHERE file_id % 10 = 3)
 SELECT path, ({FREE})::BIGINT AS freeable_bytes, NOT (nlink IS NULL OR is_reparse_point) AS resolved FROM w"""
+SQL["link_freeable_all"] = SQL["link_freeable"].replace(" WHERE file_id % 10 = 3", "")
 LOST = "lost AS (SELECT path, CASE WHEN file_id % 3 <> 0 THEN size END AS size_estimate_bytes FROM files WHERE file_id % 13 = 0)"
 SQL["inaccessible_summary"] = f"{FIL}, {LOST} SELECT count(*) AS n_paths, coalesce(sum(size_estimate_bytes), 0)::BIGINT AS known_bytes, count(*) FILTER (size_estimate_bytes IS NULL) AS n_unknown FROM lost"
 SQL["inaccessible_sample"] = f"{FIL}, {LOST} SELECT path, coalesce(size_estimate_bytes, -1) AS size_estimate_bytes FROM lost ORDER BY path LIMIT 20"

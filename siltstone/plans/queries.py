@@ -138,6 +138,12 @@ def link_freeable(spark: SparkSession, d: str) -> DataFrame:
     return I.freeable(rows, F.col("path")).select("path", "freeable_bytes", "resolved")
 
 
+@query
+def link_freeable_all(spark: SparkSession, d: str) -> DataFrame:
+    """What deleting every file gives back, link by link."""
+    return I.freeable(files(spark, d), F.col("path")).select("path", "freeable_bytes", "resolved")
+
+
 def _inaccessible(spark: SparkSession, d: str) -> DataFrame:
     f = files(spark, d).filter(F.col("file_id") % 13 == 0)
     return f.select("path", F.when(F.col("file_id") % 3 != 0, F.col("size")).alias("size_estimate_bytes"))
@@ -631,7 +637,7 @@ def version_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def version_chain(spark: SparkSession, d: str) -> DataFrame:
-    f = files(spark, d).filter(F.col("file_id") % 10 == 4)
+    f = files(spark, d).filter(F.col("path").rlike(r"_v[0-9]+_[0-9]+\.txt$"))  # stems with a version
     rows = f.select(F.floor(F.col("file_id") / 50).alias("chain_id"), P.name_of(F.col("path")).alias("stem"), "mtime", F.col("file_id").alias("id"))
     rows = rows.withColumn("stem", F.regexp_replace("stem", "_[0-9]+\\.txt$", ""))
     return N.version_chain(rows).select("id", "chain_id", "version_rank", "position", "signals_agree", "is_keep")

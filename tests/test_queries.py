@@ -16,6 +16,13 @@ def test_query(spark, duck, same, name):
         assert df.count() >= 0
 
 
+def test_all_links_have_freeable_bytes(spark):
+    got = catalogue.QUERIES["link_freeable_all"](spark, DIR)
+    assert got.count() == spark.read.parquet(f"{DIR}/documents.parquet").count()
+    kinds = {r["path"].rpartition(".")[2] for r in got.filter("freeable_bytes > 0").collect()}
+    assert {"tmp", "zip", "exe", "log"} <= kinds
+
+
 def test_sql_has_queries():
     assert set(catalogue.SQL) <= set(catalogue.QUERIES)
 
