@@ -135,15 +135,19 @@ def sign_hash(vector: Column) -> Column:
 def knn(df: DataFrame, k: int, least: float, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096) -> DataFrame:
     """(a, b, cosine): the k nearest other vectors of each, of at least that cosine; exact, in blocks.
 
-    Rows are dealt into blocks of a bounded size; each pair of blocks is one matrix
-    product in one task, which passes on k rows for each vector at most.
+    Of equally near ones, the least ids count first. Equal vectors stand as one class
+    under their least id. Classes are dealt into blocks of a bounded size; each pair of
+    blocks is one matrix product in one task, which passes on k + 1 classes for each at
+    most, its own among them. The first k + 1 rows of these serve all rows of the class. Rows without a vector have no neighbours.
     """
-    n = df.count()
-    blocks = max(1, -(-n // block_rows))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.select("id", "v", F.col("blk").alias("x"), F.explode(every).alias("y"))
-    right = rows.select("id", "v", F.explode(every).alias("x"), F.col("blk").alias("y"))
+    every = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).filter("v IS NOT NULL")
+    classes = written(every.groupBy("v").agg(F.min("id").alias("id")))
+    members = written(every.join(classes.select("v", F.col("id").alias("c")), "v").select("id", "c"))
+    blocks = max(1, -(-classes.count() // block_rows))
+    rows = classes.select("id", "v").withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    others = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = rows.select("id", "v", F.col("blk").alias("x"), F.explode(others).alias("y"))
+    right = rows.select("id", "v", F.explode(others).alias("x"), F.col("blk").alias("y"))
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
@@ -152,17 +156,24 @@ def knn(df: DataFrame, k: int, least: float, id_col: str = "vec_id", vector_col:
         unit = lambda f: (m := np.stack([np.asarray(v, dtype=np.float64) for v in f["v"]])) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         sims = unit(a) @ unit(b).T
         ida, idb = a["id"].to_numpy(), b["id"].to_numpy()
-        sims[ida[:, None] == idb[None, :]] = -2
-        take = min(k, sims.shape[1])
-        at = np.argpartition(-sims, take - 1, axis=1)[:, :take]
-        rows_ = np.repeat(np.arange(len(ida)), take)
-        s = sims[rows_, at.reshape(-1)]
-        ok = s >= least
-        return pd.DataFrame({"a": ida[rows_][ok], "b": idb[at.reshape(-1)][ok], "cosine": s[ok]})
+        own, same = np.nonzero(ida[:, None] == idb[None, :])
+        sims[own, same] = np.where(sims[own, same] > 0.5, 1.0, 0.0)
+        take = min(k + 1, sims.shape[1])
+        lowest = np.partition(sims, sims.shape[1] - take, axis=1)[:, -take]
+        rows_, at = np.nonzero(sims >= np.maximum(lowest, least)[:, None])
+        s = sims[rows_, at]
+        order = np.lexsort((idb[at], -s, rows_))
+        rows_, at, s = rows_[order], at[order], s[order]
+        ok = np.arange(len(rows_)) - np.searchsorted(rows_, rows_) < take
+        return pd.DataFrame({"a": ida[rows_][ok], "b": idb[at][ok], "cosine": s[ok]})
 
     near = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(product, "a long, b long, cosine double")
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
+    first = lambda pairs, most: pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most).drop("r")
+    low = members.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("id"))).filter(F.col("r") <= k + 1)
+    shown = first(near, k + 1).join(low.select(F.col("c").alias("b"), F.col("id").alias("m")), "b").select("a", F.col("m").alias("b"), "cosine")
+    pairs = members.join(first(shown, k + 1).withColumnRenamed("a", "c"), "c").filter("id <> b").select(F.col("id").alias("a"), "b", "cosine")
+    return first(pairs, k)
 
 
 def semantic_groups(near: DataFrame) -> DataFrame:

@@ -189,6 +189,20 @@ def test_knn(spark):
     assert out == {i: set(np.argsort(-s[i])[:3].tolist()) for i in range(60)}
 
 
+@pytest.mark.parametrize("block_rows", [8, 100])
+def test_knn_of_copies(spark, block_rows):
+    axis = lambda k: [float(i == k) for i in range(4)]
+    rows = [(i, axis(0)) for i in range(0, 40, 2)] + [(i, axis(1)) for i in range(1, 40, 2)] + [(40 + i, [0.8, 0.6, 0.0, float(i == 3)]) for i in range(6)] + [(50, axis(2))]
+    v = dict(rows)
+    size = lambda x: sum(p * p for p in x) ** 0.5
+    want = set()
+    for a in v:
+        near = sorted((-round(sum(p * q for p, q in zip(v[a], v[b], strict=True)) / size(v[a]) / size(v[b]), 9), b) for b in v if b != a)
+        want |= {(a, b, -c) for c, b in near[:3] if -c >= 0.35}
+    out = N.knn(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3, 0.35, block_rows=block_rows).collect()
+    assert {(r["a"], r["b"], round(r["cosine"], 9)) for r in out} == want and len(out) == len(want)
+
+
 def test_alike_bursts(spark):
     import random
 
