@@ -72,7 +72,7 @@ def valid_starts(offsets: np.ndarray, length: int) -> np.ndarray:
     return gather(offsets[:-1], counts)
 
 
-def heavy_grams(df: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> np.ndarray:
+def heavy_grams(df: DataFrame, window: int, gram: int, text_col: str) -> np.ndarray:
     """The grams that hold over 1 / (HEAVY * partitions) of all, sorted.
 
     Each task reports only grams with that share of its own, and no more than
@@ -93,7 +93,7 @@ def heavy_grams(df: DataFrame, window: int, gram: int, id_col: str, text_col: st
             grams, times = np.append(grams, -1), np.append(times, len(h))  # -1: all of them
             yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(times)], names=["gram", "n"])
 
-    found = df.select(F.col(text_col).alias("text")).filter(F.col(id_col).isNotNull()).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = df.select(F.col(text_col).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     found = found.filter(f"gram = -1 OR n >= {2}").orderBy(F.desc("n")).limit(most + 1).collect()
     total = max((r["n"] for r in found if r["gram"] == -1), default=0)
     return np.sort(np.array([r["gram"] for r in found if r["gram"] != -1 and r["n"] * most >= total], dtype=np.int64).view(np.uint64))
@@ -149,10 +149,8 @@ def super_kmers(block: pa.RecordBatch, window: int, gram: int, heavy: np.ndarray
     Runs of windows with one minimiser go to its bucket, each distinct run once a
     block: the first of equal runs travels, the later ones are repeats already.
     """
-    valid = block.column(0).is_valid()
-    ids = pc.fill_null(block.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    texts = pc.if_else(valid, block.column(1), pa.scalar(None, block.column(1).type))
-    codes, offsets, words = word_codes(texts)
+    ids = block.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes, offsets, words = word_codes(block.column(1))
     first = valid_starts(offsets, window)
     if not len(first):
         return
@@ -240,7 +238,8 @@ def repeated_runs(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_
     documents share spread by the words beside it.
     """
     gram = min(GRAM, window)
-    heavy = heavy_grams(df, window, gram, id_col, text_col)
+    df = df.filter(F.col(id_col).isNotNull())  # rows without an id remove nothing
+    heavy = heavy_grams(df, window, gram, text_col)
     n_buckets = max(2 * parts_for(df.sparkSession), text_bytes(df, text_col) * PACKED // BUCKET_BYTES + 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
