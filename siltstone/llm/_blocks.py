@@ -107,7 +107,7 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, keep_order_of: str | None = None) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """The rows written as Parquet to the shared folder and read again, which cuts the lineage."""
     spark = df.sparkSession
     path = scratch(spark)
@@ -115,6 +115,18 @@ def written(df: DataFrame, keep_order_of: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_shuffle(side: DataFrame, *keys: str) -> DataFrame:
+    """An aggregate's rows with whole-number keys that Spark doesn't take to be dealt out already.
+
+    A join on the aggregate's own keys would run within its stage, where adaptive
+    execution can't split a hot key of the other side. This way both sides of the join
+    are shuffled for it, and a hot key is split.
+    """
+    from pyspark.sql import functions as F
+
+    return side.select(*((F.col(c) + F.lit(0)).alias(c) if c in keys else F.col(c) for c in side.columns))
+
+
 def parts_for(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import blocks, mix, texts_of, word_codes, word_hashes, written
+from siltstone.llm._blocks import BLOCK_BYTES, blocks, mix, own_shuffle, texts_of, word_codes, word_hashes, written
 
 #: Signature: CHUNKS chunks of WIDTH minima, each cut to BITS bits. A chunk may have one
 #: error, so all pairs that differ in at most 2 * CHUNKS - 1 minima share a key.
@@ -19,6 +19,8 @@ CHUNKS, WIDTH, BITS = 15, 7, 16
 ROUNDS = 2
 #: Bits of a set's bitmap for each of its members, about, and the least bits.
 BITMAP_EACH, LEAST_BITS = 8, 512
+#: Text bytes of a block whose sets are passed on whole.
+SET_BLOCK = 4 << 20
 #: Rows of one key that meet in one task at most; larger groups are cut into blocks against blocks.
 BLOCK_ROWS = 4096
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +79,7 @@ def document_signatures(df: DataFrame, shingle: int, id_col: str, text_col: str)
     """(id, n_shingles, d1, d2, signature): set size, 128-bit digest of the set, b-bit signature; nulls without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK_BYTES):
             sets = shingle_sets(block.column(1), shingle)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             have = np.flatnonzero(sizes)
@@ -124,7 +126,7 @@ def set_table(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFr
     """(id, n, signature, bits, shingles array<long>): the full set of each document, its bitmap and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, limit=4 << 20):
+        for block in blocks(batches, limit=SET_BLOCK):
             sets = shingle_sets(block.column(1), shingle)
             have = [i for i, s in enumerate(sets) if len(s)]
             if not have:
@@ -203,9 +205,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): each vertex of (a, b) with the least vertex that it is connected to.
 
     Alternates linking all larger and all smaller neighbours to the least one until
-    nothing changes; each step is written to the shared folder. A vertex only ever
-    meets its own neighbours in an aggregate with partial sums, so hubs are no one
-    task's work.
+    nothing changes; each step is written to the shared folder. Minima of neighbours
+    combine before they travel, and go back to the neighbours by a join of its own
+    shuffle, in which a hub's neighbours are split among tasks.
     """
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
@@ -213,11 +215,11 @@ def components(edges: DataFrame) -> DataFrame:
         # every vertex's neighbours, large ones linked to the least of all
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(own_shuffle(least, "u"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # then, with each vertex's smaller neighbours, linked to the least of those
         large = large.filter("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        linked = large.join(own_shuffle(small, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         e = written(linked.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == tuple(now):
@@ -248,22 +250,22 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     """
     name = df.select(id_col, text_col)
     signed = written(document_signatures(name, shingle, id_col, text_col))
-    full = signed.filter("n_shingles > 0 AND id IS NOT NULL")
-    classes = full.groupBy("d1", "d2").agg(F.min("id").alias("class"))
-    members = written(signed.join(classes, ["d1", "d2"], "left").select("id", "n_shingles", "class", F.when(F.col("id") == F.col("class"), F.col("signature")).alias("signature")))
-    labels = class_components(members, name, shingle, percent, id_col, text_col)
-    out = members.select("id", "n_shingles", F.coalesce("class", "id").alias("class"))
-    out = out.join(labels.select(F.col("id").alias("class"), "component"), "class", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
-
-
-def class_components(members: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, component) of the classes with candidates, from links confirmed on full sets."""
-    by_key = Window.partitionBy("key")
-    keys = keys_of(members.filter("signature IS NOT NULL").dropDuplicates(["id", "signature"]))
-    keyed = keys.withColumn("n", F.count(F.lit(1)).over(by_key)).filter("n > 1")
-    weighed = written(keyed)
+    first = signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("id", "signature")).alias("f"))
+    classes = written(first.select("d1", "d2", F.col("f.id").alias("class"), F.col("f.signature").alias("signature")))
+    labels = class_components(classes.select(F.col("class").alias("id"), "signature"), name, shingle, percent, id_col, text_col)
+    named = classes.select("d1", "d2", "class").join(labels.select(F.col("id").alias("class"), "component"), "class", "left")
+    named = named.select("d1", "d2", F.coalesce("component", "class").alias("component"))
+    # rows without words have nothing to join by
+    alone = signed.filter("d1 IS NULL").select("id", "n_shingles", F.col("id").alias("component"))
+    out = signed.filter("d1 IS NOT NULL").join(named, ["d1", "d2"], "left").select("id", "n_shingles", "component").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
+
+
+def class_components(reps: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, component) of the classes (id, signature) with candidates, from links confirmed on full sets."""
+    keys = keys_of(reps)
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    weighed = written(keys.join(own_shuffle(shared, "key"), "key"))
     # a document whose keys many others have is central among them
     weight = weighed.groupBy("id").agg(F.sum("n").alias("weight"))
     keyed = written(weighed.join(weight, "id").select("id", "key", "at", "weight"))
@@ -278,7 +280,7 @@ def class_components(members: DataFrame, docs: DataFrame, shingle: int, percent:
         span = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(lead).alias("lead"), F.count(F.lit(1)).alias("n_rows"))
         mixed = span.filter("low <> high").select("key", F.col("lead.id").alias("a"), F.col("lead.component").alias("ca"), "n_rows")
         if step < ROUNDS:
-            pairs = rows.join(mixed, "key").filter("component <> ca").groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+            pairs = rows.join(own_shuffle(mixed, "key"), "key").filter("component <> ca").groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
             pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
             pairs = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
         else:
@@ -290,7 +292,8 @@ def class_components(members: DataFrame, docs: DataFrame, shingle: int, percent:
                 continue
             break
         links = confirmed(pairs, sets, percent)
-        links = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+        # by b first: a join on a right behind the one of confirmed() would keep both from being split where a is hot
+        links = links.join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
         links = written(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tested = both if tested is None else tested.unionByName(both)
@@ -306,9 +309,9 @@ def pairs_apart(rows: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int
     Rows outside a key's most common component meet all its rows. A key of more than
     BLOCK_ROWS rows is cut, block against block.
     """
-    rows = rows.join(mixed.select("key", "n_rows"), "key")
     main = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"))
-    rows = rows.join(main.select("key", F.col("m.component").alias("main")), "key")
+    of_key = mixed.select("key", "n_rows").join(main.select("key", F.col("m.component").alias("main")), "key")
+    rows = rows.join(own_shuffle(of_key, "key"), "key")
     cut = F.ceil(F.col("n_rows") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(7)), cut).cast("int")
     lone = F.col("component") != F.col("main")
