@@ -15,10 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import scratch, written
+from siltstone.llm._blocks import parts_for, scratch, written
 
 #: Bytes of an archive, about; a longer record has an archive of its own.
 ARCHIVE_BYTES = 16 << 20
+#: Bytes of archives that one task reads, about, one archive after the other.
+READ_BYTES = 128 << 20
 VERSION, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 GZIP = b"\x1f\x8b\x08"
 #: Fixed values of the format.
@@ -363,6 +365,12 @@ def read_archives(contents: DataFrame, with_payload: bool = False) -> DataFrame:
     return contents.select(*columns).mapInArrow(run, FIELDS)
 
 
+def dealt(archives: DataFrame, each: int = READ_BYTES) -> DataFrame:
+    """The list of archives in as many partitions as it takes for about ``each`` bytes of archives in one."""
+    n = archives.agg(F.sum("n_bytes")).first()[0] or 0
+    return archives.repartition(max(parts_for(archives.sparkSession), int(n) // each + 1), "path")
+
+
 def read_stored(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
     """The archives of any folder that Spark can read, one archive a task."""
     return read_archives(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content"), with_payload)
@@ -371,7 +379,7 @@ def read_stored(spark: SparkSession, folder: str, with_payload: bool = False) ->
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back."""
     archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    records = read_archives(archives.repartition("path")).filter("reason IS NULL")
+    records = read_archives(dealt(archives)).filter("reason IS NULL")
     page = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).cast("long")
     own = F.when(F.col("record_id").startswith(RECORD_ID), page("record_id"))
     return records.select(own.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), page("refers_to")).alias("refers_to"))
