@@ -9,8 +9,8 @@ from siltstone.llm._blocks import parts_for, text_bytes
 
 #: Hashes that a sketch keeps, and words of a shingle.
 K, SHINGLE = 128, 5
-#: Bytes of text of an ordered run, about, and the most runs. Each holds its documents in order of id.
-RUN_BYTES, MOST_RUNS = 2 << 20, 4096
+#: Bytes of text of an ordered run, about: so many, or what makes two levels of WIDEST cuts, if that is more.
+RUN_BYTES, WIDEST = 2 << 20, 1024
 
 
 def words_of(text: Column) -> Column:
@@ -88,34 +88,47 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("n_shingles", distinct_shingles(F.col("sketch"), k))
 
 
-def in_runs(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
-    """Rows with the number of their run of ids, and copies of each run's first row behind the run before it.
+def quantiles(id_col: str, n: int) -> Column:
+    """About the ids that cut off each n-th part of all; large ones are rounded, so they needn't be ids of the table."""
+    share = ", ".join(str(i / n) for i in range(1, n)) or "0.5"
+    return F.array_sort(F.array_distinct(F.expr(f"percentile_approx(`{id_col}`, array({share}), {20 * n})")))
 
-    Runs are cut at quantiles of the ids, so they hold about as many rows each; the
-    driver gets the cuts, at most MOST_RUNS numbers. Returns the rows with ``_run`` and
-    ``_behind``, whether the row is such a copy.
+
+def part_of(x: Column, cuts: Column) -> Column:
+    """How many of the cuts, in order, are at most x."""
+    return F.size(F.filter(cuts, lambda c: c <= x))
+
+
+def in_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows with the number of their run of ids, and copies of each run's first rows behind the run before it.
+
+    Ids are cut at quantiles, and each of these parts at its own quantiles, so runs hold
+    about as many rows each. The driver gets the upper cuts, at most WIDEST numbers; the
+    lower ones, the first id of each run, are a table of a row for each part, WIDEST *
+    WIDEST numbers at most (8 MB), which goes to all tasks. Returns the rows with ``_run`` and ``_behind``,
+    whether the row is such a copy.
     """
-    spark = df.sparkSession
-    runs = int(min(MOST_RUNS, max(parts_for(spark), text_bytes(df, text_col) // RUN_BYTES + 1)))
-    ids = df.filter(F.col(id_col).isNotNull())
-    share = [i / runs for i in range(runs)]
-    cuts = ids.agg(F.expr(f"percentile_approx(`{id_col}`, array({', '.join(map(str, share))}), {20 * runs})").alias("c"), F.min(id_col).alias("m")).first()
-    cuts = sorted({int(cuts["m"]), *map(int, cuts["c"])}) if cuts["c"] is not None else []
-    coarse = cuts[:: max(1, int(len(cuts) ** 0.5))]
-    step = max(1, int(len(cuts) ** 0.5))
-    if not cuts:
-        return df.withColumn("_run", F.lit(0)).withColumn("_behind", F.lit(False)), F.lit(0)
-    first = F.array(*map(F.lit, coarse))
-    fine = F.array(*(F.array(*map(F.lit, cuts[i : i + step])) for i in range(0, len(cuts), step)))
-    x = F.col(id_col)
-    block = F.size(F.filter(first, lambda c: c <= x))
-    run = (block - 1) * step + F.size(F.filter(F.element_at(fine, F.greatest(block, F.lit(1))), lambda c: c <= x))
-    numbered = df.withColumn("_run", F.when(x.isNull(), F.lit(0)).otherwise(run))
+    wide = min(WIDEST, max(1, int((max(parts_for(df.sparkSession), text_bytes(df, text_col) / RUN_BYTES)) ** 0.5) + 1))
+    ids = df.select(id_col).filter(F.col(id_col).isNotNull())
+    upper = ids.agg(quantiles(id_col, wide)).first()[0]
+    if upper is None:
+        return df.withColumn("_run", F.lit(0)).withColumn("_behind", F.lit(False))
+    x, part = F.col(id_col), part_of(F.col(id_col), F.array(*map(F.lit, upper)))
+    ids = ids.withColumn("_part", part)
+    lower = ids.groupBy("_part").agg(quantiles(id_col, wide).alias("_c"))
+    firsts = ids.join(F.broadcast(lower), "_part").groupBy("_part", part_of(x, F.col("_c")).alias("_k")).agg(F.min(id_col).alias("_f"))
+    parts = firsts.groupBy("_part").agg(F.sort_array(F.collect_list("_f")).alias("_cuts"))
+    before = F.sum(F.size("_cuts")).over(Window.orderBy("_part")) - F.size("_cuts")  # a row for each part, so few
+    parts = parts.withColumn("_before", before).withColumn("_all", F.sum(F.size("_cuts")).over(Window.partitionBy()))
+    placed = df.withColumn("_part", F.when(x.isNotNull(), part)).join(F.broadcast(parts), "_part", "left")
+    at = part_of(x, F.col("_cuts"))
+    placed = placed.withColumn("_run", F.when(x.isNull(), F.lit(0)).otherwise(F.col("_before") + at).cast("int"))
     # the first row of a run also follows the run before; the very first follows the last
-    copy = F.when(x.isin(cuts), F.when(F.col("_run") == 1, F.lit(len(cuts))).otherwise(F.col("_run") - 1))
+    ahead = F.when(F.col("_run") == 1, F.col("_all")).otherwise(F.col("_run") - 1).cast("int")
+    copy = F.when(x == F.get("_cuts", at - 1), ahead)
     both = F.array(F.struct(F.col("_run").alias("r"), F.lit(False).alias("b")), F.struct(copy.alias("r"), F.lit(True).alias("b")))
-    spread = numbered.withColumn("_at", F.explode(F.filter(both, lambda s: s["r"].isNotNull())))
-    return spread.withColumn("_run", F.col("_at.r")).withColumn("_behind", F.col("_at.b")).drop("_at"), F.lit(len(cuts))
+    spread = placed.withColumn("_at", F.explode(F.filter(both, lambda s: s["r"].isNotNull())))
+    return spread.select(*df.columns, F.col("_at.r").alias("_run"), F.col("_at.b").alias("_behind"))
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, size: int = SHINGLE) -> DataFrame:
@@ -126,7 +139,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     to the one before, and the others follow each other.
     """
     kept = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    runs, _ = in_runs(kept, id_col, "text")
+    runs = in_runs(kept, id_col, "text")
     runs = runs.repartition("_run").withColumn("sketch", sketch(F.col("text"), k, size))
     order = Window.partitionBy("_run").orderBy("_behind", id_col, "text")
     out = runs.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
