@@ -45,8 +45,7 @@ def rotate_perspectives(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     in_block = Window.partitionBy("conv", "block").orderBy("turn", "who", "body")
     turns = turns.withColumn("at", F.row_number().over(in_block)).withColumn("piece", F.floor((F.col("at") - 1) / PART_TURNS))
     parts = turns.groupBy("conv", "block", "piece").agg(F.sort_array(F.collect_list(F.struct("at", "who", "body"))).alias("said"))
-    people = turns.filter(F.col("who") != SYSTEM).groupBy("conv").agg(F.collect_set("who").alias("people"))
-    people = people.select(F.col("conv").alias("c"), F.explode("people").alias("perspective"))
+    people = turns.filter(F.col("who") != SYSTEM).select(F.col("conv").alias("c"), F.col("who").alias("perspective")).distinct()
     both = parts.join(people, F.col("conv").eqNullSafe(F.col("c"))).drop("c")
 
     def head(s: Column) -> Column:
