@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import as_list, blocks, ddl, fields, mix, parts_for, row_of, text_bytes, texts_of, written
+from siltstone.llm._blocks import BLOCK_BYTES, as_list, blocks, ddl, fields, mix, parts_for, row_of, text_bytes, texts_of, written
 
 #: Characters stripped at both ends of a line for its key.
 BLANK = " \t\n\v\f\r"
@@ -128,7 +128,7 @@ def line_index(df: DataFrame, min_chars: int = 10, n_shards: int | None = None,
     n_shards = n_shards or shards_for(df, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK_BYTES):
             ids, hashes = _doc_keys(block, min_chars)
             order = np.lexsort((ids, hashes[:, 1], hashes[:, 0]))
             ids, hashes = ids[order], hashes[order]
@@ -181,7 +181,7 @@ def repeated_keys(df: DataFrame, index: DataFrame, n_shards: int, min_chars: int
     hot = {r["shard"]: min(4 * parts, -(-r["load"] // share)) for r in index.filter(F.col("load") > share).select("shard", "load").collect()}
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK_BYTES):
             ids, hashes = _doc_keys(block, min_chars)
             rows = []
             for s, at in _per_shard((hashes[:, 1] % np.uint64(n_shards)).astype(np.int64)):
@@ -237,7 +237,7 @@ def drop_lines(df: DataFrame, repeated: DataFrame, min_chars: int, id_col: str,
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text_col):
+        for block in blocks(batches, text_col, BLOCK_BYTES):
             codes, edges, hashes, lines = line_keys(block.column(at), min_chars)
             rows = row_of(edges)
             drop_keys, key_edges = as_list(block.column(len(names)))

@@ -14,6 +14,8 @@ from siltstone.llm._blocks import blocks, gather, parts_for, word_codes, written
 from siltstone.llm.vocab import default_path, word_vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
+#: Text bytes encoded at once.
+BLOCK = 16 << 20
 #: The id that ends each document.
 END_ID = 0
 #: Patterns that the fit chooses from, at most.
@@ -33,7 +35,7 @@ def token_pieces(df: DataFrame, limit: int = 2048, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = word_vocabulary(path)
-        for block in blocks(batches, limit=16 << 20):
+        for block in blocks(batches, limit=BLOCK):
             codes, offsets, words = word_codes(block.column(1))
             words = words.to_pylist()
             tables = vocabulary.word_ids(words, np.bincount(codes, minlength=len(words))) if words else []

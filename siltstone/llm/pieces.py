@@ -16,6 +16,8 @@ from siltstone.llm._blocks import as_list, blocks, texts_of
 from siltstone.llm.vocab import KEPT_WORDS, default_path
 
 MODEL = "piece_bpe_32k.model"
+#: Text bytes encoded at once.
+BLOCK = 16 << 20
 MARK = "▁"
 
 
@@ -101,7 +103,7 @@ def piece_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(path)
-        for block in blocks(batches, limit=16 << 20):
+        for block in blocks(batches, limit=BLOCK):
             codes, edges, chunks = chunk_codes(block.column(1))
             times = np.bincount(codes, minlength=len(chunks))
             used = np.flatnonzero(times)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import as_list, blocks, ddl, fields, gather, mix, parts_for, row_of, text_bytes, word_codes, word_hashes
+from siltstone.llm._blocks import BLOCK_BYTES, as_list, blocks, ddl, fields, gather, mix, parts_for, row_of, text_bytes, word_codes, word_hashes
 
 #: Words of the grams that minimisers are taken from.
 GRAM = 5
@@ -282,7 +282,7 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text_col):
+        for block in blocks(batches, text_col, BLOCK_BYTES):
             codes, offsets, words = word_codes(block.column(at))
             starts, edges = as_list(block.column(len(names)))
             counts, _ = as_list(block.column(len(names) + 1))
