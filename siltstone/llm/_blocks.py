@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step takes at once.
@@ -115,6 +116,34 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def squeezed(df: DataFrame, column: str) -> DataFrame:
+    """The rows with a text column compressed, for a shuffle of whole texts; opened() has them back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            raw = [None if x is None else packer.compress(x) for x in batch.column(column).cast(pa.binary()).to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(raw, pa.binary()))
+
+    schema = ", ".join(f"`{c}` {'binary' if c == column else df.schema[c].dataType.simpleString()}" for c in df.columns)
+    return df.mapInArrow(run, schema)
+
+
+def opened(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of squeezed() batches with their texts, of about ``limit`` bytes of text or a single row."""
+    opener = zstandard.ZstdDecompressor()
+    for batch in batches:
+        raw = batch.column(column).to_pylist()
+        ends = np.cumsum([0 if x is None else zstandard.frame_content_size(x) for x in raw])
+        start = 0
+        while start < len(raw):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            texts = [None if x is None else opener.decompress(x) for x in raw[start:stop]]
+            yield batch.slice(start, stop - start).set_column(batch.schema.get_field_index(column), column, pa.array(texts, pa.binary()).cast(pa.string()))
+            start = stop
+
+
 def own_shuffle(side: DataFrame, *keys: str) -> DataFrame:
     """An aggregate's rows with whole-number keys that Spark doesn't take to be dealt out already.
 

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import BLOCK_BYTES, as_list, blocks, ddl, fields, gather, mix, parts_for, row_of, text_bytes, word_codes, word_hashes
+from siltstone.llm._blocks import as_list, blocks, ddl, fields, gather, mix, opened, parts_for, row_of, squeezed, text_bytes, word_codes, word_hashes
 
 #: Words of the grams that minimisers are taken from.
 GRAM = 5
@@ -277,12 +277,12 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
     by_doc = runs.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
     by_doc = by_doc.select("_id", F.col("_runs.start").alias("_starts"), F.col("_runs.n").alias("_counts"))
     none = F.array().cast("array<bigint>")
-    joined = df.select(*names).join(by_doc.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
+    joined = squeezed(df.select(*names), text_col).join(by_doc.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
     joined = joined.select(*names, F.coalesce("_starts", none).alias("_starts"), F.coalesce("_counts", none).alias("_counts"))
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text_col, BLOCK_BYTES):
+        for block in opened(batches, text_col, BLOCK):
             codes, offsets, words = word_codes(block.column(at))
             starts, edges = as_list(block.column(len(names)))
             counts, _ = as_list(block.column(len(names) + 1))
