@@ -15,7 +15,7 @@ from siltstone.llm.vocab import default_path, word_vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 #: Text bytes encoded at once.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: The id that ends each document.
 END_ID = 0
 #: Patterns that the fit chooses from, at most.
