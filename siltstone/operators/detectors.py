@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -89,11 +89,15 @@ def archive_stem(name: Column) -> Column:
 def archive_pairs(inv: DataFrame, ratio: float = R.ARCHIVE_RATIO) -> DataFrame:
     """Archives with a sibling directory of nearly their name; only the archive is proposed.
 
-    Lengths alone rule out most pairs before names are compared.
+    Names so alike differ in length by less than the step of a length class, so an archive meets only the
+    directories of its length class and the two beside it, not all of its folder.
     """
-    archives = inv.filter(~F.col("is_dir")).select("path", "parent", archive_stem(F.col("name")).alias("stem")).filter("stem IS NOT NULL")
-    dirs = inv.filter("is_dir").select("parent", F.col("name").alias("sibling"))
-    both = archives.join(dirs, "parent")
+    step = (2 - ratio) / ratio * 1.01
+    size_class = lambda name: F.floor(F.log(F.length(name).cast("double")) / math.log(step)).cast("int")
+    archives = inv.filter(~F.col("is_dir")).select("path", "parent", archive_stem(F.col("name")).alias("stem")).filter("stem <> ''")
+    archives = archives.withColumn("cls", F.explode(F.array(*(size_class(F.col("stem")) + k for k in (-1, 0, 1)))))
+    dirs = inv.filter("is_dir").select("parent", F.col("name").alias("sibling"), size_class(F.col("name")).alias("cls"))
+    both = archives.join(dirs, ["parent", "cls"])
     la, lb = F.length("stem"), F.length("sibling")
     both = both.filter(2 * F.least(la, lb) >= ratio * (la + lb))
 

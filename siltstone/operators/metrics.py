@@ -24,24 +24,31 @@ def bcubed(items: DataFrame) -> DataFrame:
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
-def pr_curve(scored: DataFrame, higher: bool = True, block: int = 4096) -> DataFrame:
+def pr_curve(scored: DataFrame, higher: bool = True) -> DataFrame:
     """A point per item of (id, score, positive): threshold, precision, recall when all up to it are taken.
 
-    Ties are ordered by id and stay separate points. Ranks come from counts of score
-    ranges and from ranks within them, so no task sorts all items.
+    Ties are ordered by id and stay separate points. Ranks come from counts of ranges and
+    from ranks within them, so no task sorts all items. Ranges are cut by score; a score
+    that fills several of them is a range of its own, cut again by id.
     """
     s = F.col("score") if not higher else -F.col("score")
     rows = scored.withColumn("_s", s)
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    cuts = rows.agg(F.percentile_approx("_s", [i / int(parts) for i in range(1, int(parts))] or [0.5], 10_000)).first()[0] or []
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = [i / parts for i in range(1, parts)] or [0.5]
+    cuts = sorted(rows.agg(F.percentile_approx("_s", share, 10_000)).first()[0] or [])
     cut = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    rows = rows.withColumn("_b", F.size(F.filter(cut, lambda c: c < F.col("_s"))))
-    # each range's totals, at most as many as partitions
+    at = 2 * F.size(F.filter(cut, lambda c: c < F.col("_s"))) + F.exists(cut, lambda c: c == F.col("_s")).cast("int")
+    # the scores that fill ranges, fewer than there are partitions, with the cuts of their ids
+    often = [c for c in set(cuts) if cuts.count(c) > 1]
+    by_id = rows.filter(F.col("_s").isin(often)).groupBy(F.col("_s").alias("_h")).agg(F.percentile_approx("id", share, 10_000).alias("_ids"))
+    rows = rows.join(F.broadcast(by_id), F.col("_s") == F.col("_h"), "left")
+    rows = rows.withColumn("_b", F.struct(at.alias("s"), F.coalesce(F.size(F.filter("_ids", lambda c: c < F.col("id"))), F.lit(0)).alias("i"))).drop("_h", "_ids")
+    # each range's totals, at most as many as the square of the partitions
     per = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("positive").cast("long")).alias("p"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.sum("p").over(Window.partitionBy(F.lit(1))).alias("all_p"))
     inner = Window.partitionBy("_b").orderBy("_s", "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(F.broadcast(base), "_b")  # a row for each range
+    rows = rows.join(base, "_b")
     rank = F.col("n0") + F.row_number().over(Window.partitionBy("_b").orderBy("_s", "id"))
     hits = F.col("p0") + F.sum(F.col("positive").cast("long")).over(inner)
     return rows.select("id", "score", rank.alias("rank"), (hits / rank).alias("precision"), F.when(F.col("all_p") == 0, F.lit(0.0)).otherwise(hits / F.col("all_p")).alias("recall"))
@@ -89,16 +96,30 @@ def exact_order(ranks: DataFrame) -> DataFrame:
     return ranks.groupBy("g").agg(F.bool_and(F.col("predicted") == F.col("truth")).alias("exact"))
 
 
-def kendall_tau(ranks: DataFrame) -> DataFrame:
-    """Tau-a per group of (g, item, predicted, truth); 1 for a single item.
+def kendall_tau(ranks: DataFrame, block: int = 8192) -> DataFrame:
+    """Tau-a per group of (g, item, predicted, truth), whole-number ranks; 1 for a single item.
 
-    Groups are lists that people order, so pairs within one are few.
+    No pairs are made. Two truths differ first at one bit, so a pair is counted at that
+    bit, among the items whose higher bits agree: items in predicted order, how many of
+    the other bit came before each. A group is cut into blocks of predicted ranks. Counts
+    between blocks come from the blocks' totals, those within one from running sums.
     """
-    a = ranks.select("g", F.col("item").alias("i"), F.col("predicted").alias("p1"), F.col("truth").alias("t1"))
-    b = ranks.select("g", F.col("item").alias("j"), F.col("predicted").alias("p2"), F.col("truth").alias("t2"))
-    pairs = a.join(b, "g").filter("i < j")
-    s = pairs.groupBy("g").agg(F.avg(F.signum((F.col("p1") - F.col("p2")) * (F.col("t1") - F.col("t2")))).alias("tau"))
-    return ranks.select("g").distinct().join(s, "g", "left").select("g", F.coalesce("tau", F.lit(1.0)).alias("tau"))
+    base = ranks.groupBy("g", "predicted", "truth").agg(F.count(F.lit(1)).alias("n"))
+    low, high = base.agg(F.min("truth"), F.max("truth")).first()
+    levels = max(1, int(high - low).bit_length()) if low is not None else 1
+    t = F.col("truth").cast("long") - F.lit(int(low or 0))
+    bits = base.withColumn("t", t).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    one = F.expr("shiftright(t, level) & 1")
+    bits = bits.select("g", "level", F.expr("shiftright(t, level + 1)").alias("above"), F.floor(F.col("predicted") / block).alias("blk"), F.col("predicted").cast("long").alias("p"), (F.col("n") * one).alias("o"), (F.col("n") * (1 - one)).alias("z"))
+    net = lambda w: F.col("o") * F.coalesce(F.sum("z").over(w), F.lit(0)) - F.col("z") * F.coalesce(F.sum("o").over(w), F.lit(0))
+    inner = Window.partitionBy("g", "level", "above", "blk").orderBy("p").rangeBetween(Window.unboundedPreceding, -1)
+    within = bits.select("g", net(inner).alias("c"))
+    totals = bits.groupBy("g", "level", "above", "blk").agg(F.sum("o").alias("o"), F.sum("z").alias("z"))
+    across = totals.select("g", net(Window.partitionBy("g", "level", "above").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)).alias("c"))
+    sums = within.unionByName(across).groupBy("g").agg(F.sum("c").alias("c"))
+    sizes = base.groupBy("g").agg(F.sum("n").cast("double").alias("n"))
+    tau = F.col("c") / (F.col("n") * (F.col("n") - 1) / 2)
+    return sizes.join(sums, "g").select("g", F.when(F.col("n") < 2, F.lit(1.0)).otherwise(tau).alias("tau"))
 
 
 def cohens_kappa(rated: DataFrame) -> DataFrame:
@@ -137,9 +158,21 @@ def precision_at(ranked: DataFrame, k: int, floor: float) -> DataFrame:
     return r.groupBy("g").agg(F.avg((F.col("relevance") >= floor).cast("double")).alias("precision_at_k"))
 
 
-def grouped_split(rows: DataFrame, group: str, share: float = 0.75) -> DataFrame:
-    """Rows with is_train: the first groups by id, at least one, train; no group is split."""
-    groups = rows.select(group).distinct()
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    marked = groups.select(group, (F.row_number().over(Window.orderBy(group)) <= F.greatest(F.lit(1), F.floor(n * share))).alias("is_train"))
-    return rows.join(marked, group)
+def grouped_split(rows: DataFrame, group: str, share: float = 0.75, ranges: int = 1000) -> DataFrame:
+    """Rows with is_train: the first groups by number, at least one, train; no group is split.
+
+    The last group that trains is found by counts of ranges, then within its range, so
+    no task sorts all groups.
+    """
+    groups = rows.select(F.col(group).alias("g")).filter("g IS NOT NULL").distinct()
+    cuts = groups.agg(F.percentile_approx("g", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    cut = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
+    at = groups.withColumn("r", F.size(F.filter(cut, lambda c: c < F.col("g"))))
+    sizes = dict(at.groupBy("r").count().collect())  # a number for each range
+    left = max(1, int(sum(sizes.values()) * share))
+    for r in sorted(sizes):
+        if left <= sizes[r]:
+            break
+        left -= sizes[r]
+    last = at.filter(F.col("r") == (r if sizes else 0)).orderBy("g").limit(left).agg(F.max("g")).first()[0]
+    return rows.withColumn("is_train", F.coalesce(F.col(group) <= F.lit(last), F.lit(False)))

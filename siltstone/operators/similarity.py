@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,32 +29,52 @@ def shingles(text: Column, k: int = 5) -> Column:
     return F.element_at(F.transform(F.array(words), runs), 1)
 
 
-def shingle_rows(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
-    """(id, n, h): each distinct shingle of each text as a 64-bit hash, with the size of its set."""
-    s = df.select(F.col(id_col).alias("id"), shingles(F.col(text_col), k).alias("s"))
-    return s.select("id", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("h"))
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
+    """(id, s array<long>): the sorted 64-bit hashes of each text's shingles, as shingles() has them.
+
+    Words are hashed once, and runs are hashes of those, so no run is ever put together as text.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?U)\w+"), 0)
+
+    def runs(w: Column) -> Column:
+        n = F.size(w) - k + 1
+        many = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))
+        return F.when(n > 0, many).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    s = F.element_at(F.transform(F.array(hashed), runs), 1)  # bound to a variable, so that words are split once
+    return df.select(F.col(id_col).alias("id"), F.sort_array(F.array_distinct(s)).alias("s"))
+
+
+def digests(sets: DataFrame) -> DataFrame:
+    """(id, d1, d2): two hashes of each set that isn't empty."""
+    return sets.filter(F.size("s") > 0).select("id", F.xxhash64("s").alias("d1"), F.xxhash64(F.lit(1), "s").alias("d2"))
 
 
 def jaccard_pairs(df: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """(a, b, jaccard) of all pairs of at least that likeness, a < b, by prefix filtering.
 
     Texts with equal sets meet once: pairs are between the least ids of equal sets, and
-    ``copies`` lists the others. In an order that puts rare shingles first, two sets of
+    representatives() has the others. In an order that puts rare shingles first, two sets of
     that likeness share one among their first few, so only those are joined, and
-    lengths rule out more before sets are compared.
+    lengths rule out more before sets are compared. Sets are made once.
     """
-    reps = representatives(df, id_col, text_col, k).filter("id = rep")
-    own = shingle_rows(df.join(reps.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text_col, k)
-    own = written(own)
-    often = own.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    ranked = own.join(often, "h").filter("c > 1")
-    sets = written(own.groupBy("id").agg(F.max("n").alias("n"), F.collect_list("h").alias("s")))
+    return jaccard_pairs_of(written(shingle_sets(df, id_col, text_col, k)), least)
+
+
+def jaccard_pairs_of(every: DataFrame, least: float) -> DataFrame:
+    """jaccard_pairs() of a written table of shingle_sets()."""
+    first = digests(every).groupBy("d1", "d2").agg(F.min("id").alias("id")).select("id")
+    sets = written(every.join(first, "id", "left_semi").withColumn("n", F.size("s")))
+    own = sets.select("id", "n", F.explode("s").alias("h"))
+    shared = own.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    ranked = written(own.join(shared.select((F.col("h") + F.lit(0)).alias("h"), "c"), "h"))
     place = Window.partitionBy("id").orderBy(F.asc("c"), "h")
-    # shared shingles alone are ranked; those of one text only would come before them and use up the prefix
-    single = own.join(often, "h").groupBy("id").agg(F.sum((F.col("c") == 1).cast("long")).alias("alone"))
-    prefix = ranked.withColumn("r", F.row_number().over(place)).join(single, "id")
-    prefix = prefix.filter(F.col("r") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    p = prefix.select("h", "id", "n")
+    # shingles of one text only would come before the shared ones and use up the prefix
+    alone = ranked.groupBy("id").agg(F.count(F.lit(1)).alias("m")).select("id", "m")
+    prefix = ranked.withColumn("r", F.row_number().over(place)).join(alone, "id")
+    prefix = prefix.filter(F.col("r") + F.col("n") - F.col("m") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    p = written(prefix.select("h", "id", "n"))
     pairs = p.select("h", F.col("id").alias("a"), F.col("n").alias("na")).join(p.select("h", F.col("id").alias("b"), F.col("n").alias("nb")), "h")
     pairs = pairs.filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)).select("a", "b").distinct()
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
@@ -61,25 +85,38 @@ def jaccard_pairs(df: DataFrame, least: float, id_col: str = "doc_id", text_col:
 
 def representatives(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
     """(id, rep): the least id whose text has the same shingle set; texts without words are left out."""
-    s = df.select(F.col(id_col).alias("id"), F.sort_array(shingles(F.col(text_col), k)).alias("s")).filter(F.size("s") > 0)
-    d = s.select("id", F.sha2(F.array_join("s", "\n"), 256).alias("d"))
-    return d.join(d.groupBy("d").agg(F.min("id").alias("rep")), "d").select("id", "rep")
+    return representatives_of(written(shingle_sets(df, id_col, text_col, k)))
+
+
+def representatives_of(sets: DataFrame) -> DataFrame:
+    """representatives() of a written table of shingle_sets().
+
+    The keys of the minima are sums, so that the join has a shuffle of its own, in which
+    a set that very many texts have is split.
+    """
+    d = digests(sets)
+    first = d.groupBy("d1", "d2").agg(F.min("id").alias("rep")).select((F.col("d1") + F.lit(0)).alias("d1"), (F.col("d2") + F.lit(0)).alias("d2"), "rep")
+    return d.join(first, ["d1", "d2"]).select("id", "rep")
 
 
 def minhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perms: int = 128, k: int = 5) -> DataFrame:
     """(id, n, signature array<long>): minima of ``perms`` hash functions; null for texts without words."""
-    rows = df.select(F.col(id_col).alias("id"), F.transform(shingles(F.col(text_col), k), lambda x: F.xxhash64(x)).alias("s"))
+    rows = shingle_sets(df, id_col, text_col, k)
+    multipliers = (np.arange(1, perms + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = (np.arange(1, perms + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-        for part in parts:
-            sig = []
-            for s in part["s"]:
-                h = np.asarray(s, dtype=np.int64).view(np.uint64)
-                sig.append([int(x) for x in (((h[:, None] ^ (a >> np.uint64(9))) * a) >> np.uint64(32)).min(axis=0)] if len(h) else None)
-            yield pd.DataFrame({"id": part["id"], "n": [len(s) for s in part["s"]], "signature": sig})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(1)).to_numpy()
+            have, flat = np.flatnonzero(sizes), batch.column(1).flatten().to_numpy().view(np.uint64)
+            least = np.zeros((len(sizes), perms), dtype=np.int64)
+            starts = (np.cumsum(sizes) - sizes)[have]
+            for j, a in enumerate(multipliers if len(have) else ()):
+                least[have, j] = np.minimum.reduceat(((flat ^ (a >> np.uint64(9))) * a) >> np.uint64(32), starts).view(np.int64)
+            edges = np.arange(len(sizes) + 1, dtype=np.int32) * perms
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(least.reshape(-1)), mask=pa.array(sizes == 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists], names=["id", "n", "signature"])
 
-    return rows.mapInPandas(run, f"id {df.schema[id_col].dataType.simpleString()}, n int, signature array<long>")
+    return rows.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, n int, signature array<long>")
 
 
 def signature_likeness(a: Column, b: Column) -> Column:
@@ -92,7 +129,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the vertices of (a, b): the least vertex reachable, by label passing with pointer jumps.
 
     Labels are written to the shared folder each round, which cuts the plan; rounds grow
-    with the logarithm of the longest path in usual graphs.
+    with the logarithm of the longest path in usual graphs. Both sides of each join are
+    written tables, so a hub's or a large component's rows are split in its shuffle.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("c")))
@@ -106,21 +144,33 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def hamming_pairs(df: DataFrame, most: int, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
+def near_values(value: Column, width: int, errors: int) -> Column:
+    """All values that differ from one of ``width`` bits in at most that many bits, as an array."""
+    flips = [sum(1 << i for i in bits) for n in range(errors + 1) for bits in combinations(range(width), n)]
+    return F.transform(F.array(*(F.lit(x).cast("long") for x in flips)), lambda x: value.bitwiseXOR(x))
+
+
+def hamming_pairs(df: DataFrame, most: int, id_col: str = "id", hash_col: str = "hash", chunks: int | None = None) -> DataFrame:
     """(a, b, distance) of 64-bit hashes within ``most`` bits, a < b.
 
-    The bits are cut into most + 1 chunks; two hashes so near agree on one of them
-    wholly, and on that chunk they meet. Equal hashes meet once: the least id of each
-    stands for it, and the others pair with that one.
+    Bits are cut into a few wide chunks. Two hashes so near differ in at most most //
+    chunks bits of some chunk, so one of them meets the other under that chunk with the
+    allowed errors put in. By default chunks have two errors at most. Equal hashes meet
+    once: the least id of each stands for it, and the others pair with that one.
     """
-    first = df.groupBy(hash_col).agg(F.min(id_col).alias("r"))
+    first = written(df.groupBy(hash_col).agg(F.min(id_col).alias("r")))
     rows = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
     copies = rows.join(first.select(F.col(hash_col).alias("h"), "r"), "h").filter("id > r").select(F.col("r").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
-    n = most + 1
+    n = chunks or max(1, -(-(most + 1) // 3))
     edges = [64 * k // n for k in range(n + 1)]
-    cut = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - edges[k + 1]), 64 - (edges[k + 1] - edges[k])).alias("v")) for k in range(n)]
-    keyed = first.select(F.col("r").alias("id"), F.col(hash_col).alias("h")).select("id", "h", F.explode(F.array(*cut)).alias("c"))
-    x, y = keyed.select("c", F.col("id").alias("a"), F.col("h").alias("ha")), keyed.select("c", F.col("id").alias("b"), F.col("h").alias("hb"))
+    widths = [edges[k + 1] - edges[k] for k in range(n)]
+    part = lambda k: F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - edges[k + 1]), 64 - widths[k])
+    keyed = first.select(F.col("r").alias("id"), F.col(hash_col).alias("h"))
+    named = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    exact = F.array(*(named(k, part(k)) for k in range(n)))
+    with_errors = F.flatten(F.array(*(F.transform(near_values(part(k), widths[k], most // n), partial(named, k)) for k in range(n))))
+    x = keyed.select(F.explode(exact).alias("c"), F.col("id").alias("a"), F.col("h").alias("ha"))
+    y = keyed.select(F.explode(with_errors).alias("c"), F.col("id").alias("b"), F.col("h").alias("hb"))
     pairs = x.join(y, "c").filter("a < b").withColumn("distance", S.hamming(F.col("ha"), F.col("hb"))).filter(F.col("distance") <= most)
     return pairs.select("a", "b", "distance").distinct().unionByName(copies)
 
@@ -192,12 +242,23 @@ def document_keep(members: DataFrame) -> DataFrame:
 def bursts(shots: DataFrame, group: list[str], time_col: str, gap: float, id_col: str = "id") -> DataFrame:
     """Rows with burst: runs of one group in which neighbours are at most ``gap`` seconds apart.
 
-    Neighbours in time link a run, so no pairs are made.
+    Neighbours in time link a run, so no pairs are made. Groups are cut into stretches of
+    time; what a stretch begins with follows from the last time of the one before, so a
+    group of very many rows is no one task's work. Rows without time are bursts of their own.
     """
-    order = Window.partitionBy(*group).orderBy(time_col, id_col)
-    new = F.when(F.col(time_col) - F.lag(time_col).over(order) <= gap, 0).otherwise(1)
-    marked = shots.withColumn("_n", new)
-    return marked.withColumn("burst", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
+    cut = shots.withColumn("_x", F.coalesce(F.floor(F.col(time_col) / (256 * gap)), F.lit(-(2**62))))
+    key = [*group, "_x"]
+    order = Window.partitionBy(*key).orderBy(time_col, id_col)
+    new = F.when(F.row_number().over(order) == 1, 0).when(F.col(time_col) - F.lag(time_col).over(order) <= gap, 0).otherwise(1)
+    rows = cut.withColumn("_n", new).withColumn("_i", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = cut.withColumn("_n", new).groupBy(*key).agg(F.min(time_col).alias("_a"), F.max(time_col).alias("_z"), F.sum("_n").alias("_m"))
+    by_x = Window.partitionBy(*group).orderBy("_x")
+    first = F.when(F.col("_a") - F.lag("_z").over(by_x) <= gap, 0).otherwise(1)
+    ends = ends.withColumn("_f", first)
+    ends = ends.withColumn("_o", F.sum(F.col("_f") + F.col("_m")).over(by_x.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"e.{c}")) for c in key]
+    both = rows.alias("l").join(ends.select(*key, "_o").alias("e"), same)
+    return both.select(*(F.col(f"l.{c}") for c in shots.columns), (F.col("_o") + F.col("_i")).alias("burst"))
 
 
 def alike_bursts(shots: DataFrame, group: list[str], time_col: str, hash_col: str, gap: float, most: int, id_col: str = "id") -> DataFrame:

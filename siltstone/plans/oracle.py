@@ -34,9 +34,9 @@ SQL["inv_logical_bytes"] = f"{INV} SELECT sum(size)::BIGINT AS logical_bytes FRO
 SQL["inv_physical_bytes"] = f"""{INV}, k AS (SELECT dev, ino, max(size) AS size FROM inv WHERE NOT is_dir AND (dev <> 0 OR ino <> 0) GROUP BY ALL UNION ALL SELECT dev, ino, size FROM inv WHERE NOT is_dir AND dev = 0 AND ino = 0)
 SELECT sum(size)::BIGINT AS physical_bytes FROM k"""
 FREE = "CASE WHEN nlink IS NULL OR is_reparse_point THEN 0 WHEN nlink <= 1 THEN size WHEN n >= nlink AND r = 1 THEN size ELSE 0 END"
-SQL["link_freeable"] = f"""{FIL}, w AS (SELECT *, count(*) OVER (PARTITION BY dev, ino) AS n, row_number() OVER (PARTITION BY dev, ino ORDER BY path) AS r FROM files WHERE file_id % 10 = 3)
+SQL["link_freeable"] = f"""{FIL}, w AS (SELECT *, count(*) OVER (PARTITION BY dev, ino) AS n, row_number() OVER (PARTITION BY dev, ino ORDER BY path) AS r FROM files)
 SELECT path, ({FREE})::BIGINT AS freeable_bytes, NOT (nlink IS NULL OR is_reparse_point) AS resolved FROM w"""
-SQL["link_freeable_all"] = SQL["link_freeable"].replace(" WHERE file_id % 10 = 3", "")
+SQL["link_freeable_all"] = SQL["link_freeable"]
 LOST = "lost AS (SELECT path, CASE WHEN file_id % 3 <> 0 THEN size END AS size_estimate_bytes FROM files WHERE file_id % 13 = 0)"
 SQL["inaccessible_summary"] = f"{FIL}, {LOST} SELECT count(*) AS n_paths, coalesce(sum(size_estimate_bytes), 0)::BIGINT AS known_bytes, count(*) FILTER (size_estimate_bytes IS NULL) AS n_unknown FROM lost"
 SQL["inaccessible_sample"] = f"{FIL}, {LOST} SELECT path, coalesce(size_estimate_bytes, -1) AS size_estimate_bytes FROM lost ORDER BY path LIMIT 20"
@@ -211,12 +211,12 @@ nn AS (SELECT * FROM s WHERE c >= 0.35 QUALIFY row_number() OVER (PARTITION BY a
 SQL["emb_knn"] = f"{KNN} SELECT a, b, round(c, 4) AS cosine FROM nn"
 SQL["emb_groups"] = f"""{KNN}, e2 AS (SELECT a, b FROM nn UNION SELECT b, a FROM nn), reach AS (SELECT a AS id, a AS r FROM e2 UNION SELECT e2.b, reach.r FROM reach JOIN e2 ON e2.a = reach.id),
 comp AS (SELECT id, min(r) AS g FROM reach GROUP BY id), worst AS (SELECT g, 1 - min(c) AS d FROM nn JOIN comp ON nn.a = comp.id GROUP BY g) SELECT id, comp.g AS "group", round(d, 4) AS distance FROM comp JOIN worst ON comp.g = worst.g"""
-SQL["hash_hamming_pairs"] = """WITH h AS (SELECT vec_id AS id, array_to_string(list_transform(flatten(list_transform(embedding[1:16], lambda x: [x, x, x, x])), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS h FROM embeddings),
+SQL["hash_hamming_pairs"] = """WITH h AS (SELECT vec_id AS id, array_to_string(list_transform(flatten(list_transform(range(0, 16), lambda i: list_transform([1, 1, 1, 1], lambda o: embedding[4 * i + 1]::DOUBLE + embedding[4 * i + 2]::DOUBLE + embedding[4 * i + 3]::DOUBLE + embedding[4 * i + 4]::DOUBLE))), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS h FROM embeddings),
 f AS (SELECT h, min(id) AS r FROM h GROUP BY h)
 SELECT x.r AS a, y.r AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM f x JOIN f y ON x.r < y.r AND bit_count(xor(x.h, y.h)) <= 14 UNION ALL SELECT r, id, 0 FROM h JOIN f ON h.h = f.h AND id > r"""
 SQL["burst_groups"] = """WITH e AS (SELECT event_id AS id, user_id, floor(epoch(ts))::BIGINT AS t FROM events), n AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 3600 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, id)),
 b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, id ROWS UNBOUNDED PRECEDING)::BIGINT AS burst FROM n) SELECT user_id, burst, count(*) AS n, min(id) AS first_id FROM b GROUP BY ALL"""
-SQL["burst_alike"] = """WITH RECURSIVE h AS (SELECT vec_id AS id, label, vec_id * 37 % 5000 AS t, array_to_string(list_transform(flatten(list_transform(embedding[1:16], lambda x: [x, x, x, x])), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS h FROM embeddings),
+SQL["burst_alike"] = """WITH RECURSIVE h AS (SELECT vec_id AS id, label, vec_id * 37 % 5000 AS t, array_to_string(list_transform(flatten(list_transform(range(0, 16), lambda i: list_transform([1, 1, 1, 1], lambda o: embedding[4 * i + 1]::DOUBLE + embedding[4 * i + 2]::DOUBLE + embedding[4 * i + 3]::DOUBLE + embedding[4 * i + 4]::DOUBLE))), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS h FROM embeddings),
 e AS (SELECT x.id AS a, y.id AS b FROM h x JOIN h y ON x.label = y.label AND abs(x.t - y.t) <= 60 AND bit_count(xor(x.h, y.h)) <= 14), reach AS (SELECT id, id AS r FROM h UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.id)
 SELECT id, min(r) AS burst FROM reach GROUP BY id"""
 
@@ -304,7 +304,7 @@ SQL["user_selection"] = f"""{CANDS}, asked AS (SELECT path FROM inv WHERE file_i
 SELECT path, category_group, tier FROM cands WHERE path IN (SELECT path FROM asked) UNION ALL SELECT path, 'user_selected', 'B' FROM uv WHERE {VERDICT} <> 'blocked'"""
 SQL["embedding_cache"] = "SELECT doc_id AS file_id, doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS hit FROM documents"
 SQL["ocr_text"] = "SELECT user_id, coalesce(string_agg(event_type, chr(10) ORDER BY event_id) FILTER (value / 100 >= 0.9), '-') AS text FROM events GROUP BY user_id"
-SQL["image_keep_best"] = """WITH RECURSIVE h AS (SELECT vec_id AS id, array_to_string(list_transform(flatten(list_transform(embedding[1:16], lambda x: [x, x, x, x])), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS h FROM embeddings),
+SQL["image_keep_best"] = """WITH RECURSIVE h AS (SELECT vec_id AS id, array_to_string(list_transform(flatten(list_transform(range(0, 16), lambda i: list_transform([1, 1, 1, 1], lambda o: embedding[4 * i + 1]::DOUBLE + embedding[4 * i + 2]::DOUBLE + embedding[4 * i + 3]::DOUBLE + embedding[4 * i + 4]::DOUBLE))), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS h FROM embeddings),
 e2 AS (SELECT x.id AS a, y.id AS b FROM h x JOIN h y ON x.id <> y.id AND bit_count(xor(x.h, y.h)) <= 14), reach AS (SELECT a AS id, a AS r FROM e2 UNION SELECT e2.b, reach.r FROM reach JOIN e2 ON e2.a = reach.id),
 c AS (SELECT id, min(r) AS component FROM reach GROUP BY id), s AS (SELECT *, round(2 * ln(1 + id % 50) + ln(1 + (id % 30) * 1000) - 0.05 * abs(id % 90 - 60), 9) AS score FROM c)
 SELECT id, component, id = first_value(id) OVER (PARTITION BY component ORDER BY score DESC, id) AS is_keep FROM s"""

@@ -134,13 +134,12 @@ def inv_physical_bytes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def link_freeable(spark: SparkSession, d: str) -> DataFrame:
-    rows = files(spark, d).filter(F.col("file_id") % 10 == 3)
-    return I.freeable(rows, F.col("path")).select("path", "freeable_bytes", "resolved")
+    return I.freeable(files(spark, d), F.col("path")).select("path", "freeable_bytes", "resolved")
 
 
 @query
 def link_freeable_all(spark: SparkSession, d: str) -> DataFrame:
-    """What deleting every file gives back, link by link."""
+    """What deleting every file gives back, link by link; link_freeable under its second name."""
     return I.freeable(files(spark, d), F.col("path")).select("path", "freeable_bytes", "resolved")
 
 
@@ -607,9 +606,9 @@ def doc_representatives(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_components(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    pairs = N.jaccard_pairs(docs, 0.5).select("a", "b")
-    same = N.representatives(docs, "doc_id", "text").filter("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    sets = written(N.shingle_sets(table(spark, d, "documents"), "doc_id", "text"))
+    pairs = N.jaccard_pairs_of(sets, 0.5).select("a", "b")
+    same = N.representatives_of(sets).filter("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     return N.components(pairs.unionByName(same))
 
 
@@ -655,8 +654,10 @@ def emb_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _wide_hash():
-    # sixteen signs of four bits each, so that some vectors are near
-    return N.sign_hash(F.flatten(F.transform(F.slice("embedding", 1, 16), lambda x: F.array_repeat(x, 4))))
+    # the signs of sixteen sums of four elements, four bits each, so that some vectors are near
+    e = [F.get("embedding", i).cast("double") for i in range(64)]
+    sums = F.array(*(e[i] + e[i + 1] + e[i + 2] + e[i + 3] for i in range(0, 64, 4)))
+    return N.sign_hash(F.flatten(F.transform(sums, lambda x: F.array_repeat(x, 4))))
 
 
 @query
