@@ -145,7 +145,7 @@ def opened(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
 
 
 def own_shuffle(side: DataFrame, *keys: str) -> DataFrame:
-    """An aggregate's rows with whole-number keys that Spark doesn't take to be dealt out already.
+    """An aggregate's rows with keys, whole numbers or strings, that Spark doesn't take to be dealt out already.
 
     A join on the aggregate's own keys would run within its stage, where adaptive
     execution can't split a hot key of the other side. This way both sides of the join
@@ -153,7 +153,8 @@ def own_shuffle(side: DataFrame, *keys: str) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
-    return side.select(*((F.col(c) + F.lit(0)).alias(c) if c in keys else F.col(c) for c in side.columns))
+    same = lambda c: F.concat(F.col(c), F.lit("")) if side.schema[c].dataType.typeName() == "string" else F.col(c) + F.lit(0)
+    return side.select(*(same(c).alias(c) if c in keys else F.col(c) for c in side.columns))
 
 
 def parts_for(spark: SparkSession) -> int:

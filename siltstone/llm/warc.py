@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import parts_for, scratch, written
+from siltstone.llm._blocks import own_shuffle, parts_for, scratch, written
 
 #: Bytes of an archive, about; a longer record has an archive of its own.
 ARCHIVE_BYTES = 16 << 20
@@ -267,7 +267,7 @@ def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page
     pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload")).withColumn("size", F.length("payload"))
     leads = pages.filter((F.col("size") >= least_bytes) & F.col("id").isNotNull()).groupBy("digest", "size").agg(F.max("id").alias("lead"))
-    pages = pages.join(leads, ["digest", "size"], "left").withColumn("refers", F.when(F.col("lead") != F.coalesce("id", F.lit(-1)), F.col("lead")))
+    pages = pages.join(own_shuffle(leads, "digest", "size"), ["digest", "size"], "left").withColumn("refers", F.when(F.col("lead") != F.coalesce("id", F.lit(-1)), F.col("lead")))
     pages = pages.select("id", "url", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"), "digest", "size", "refers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
