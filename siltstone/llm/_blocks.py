@@ -6,8 +6,10 @@ batch of texts into word codes with vectorised Arrow and numpy calls.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step takes at once.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
+
+
+def release() -> None:
+    """Gives memory that no step holds any more back to the machine, where an executor's other workers and its JVM need it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes of ``column`` or a single row."""
+    release()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -33,6 +43,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        batch = None
+        release()
 
 
 def texts_of(column: pa.Array) -> pa.Array:
@@ -133,7 +145,7 @@ def opened(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
     """Slices of squeezed() batches with their texts, of about ``limit`` bytes of text or a single row."""
     opener = zstandard.ZstdDecompressor()
     for batch in batches:
-        raw = batch.column(column).to_pylist()
+        texts, raw = None, batch.column(column).to_pylist()
         ends = np.cumsum([0 if x is None else zstandard.frame_content_size(x) for x in raw])
         start = 0
         while start < len(raw):
@@ -142,6 +154,8 @@ def opened(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             texts = [None if x is None else opener.decompress(x) for x in raw[start:stop]]
             yield batch.slice(start, stop - start).set_column(batch.schema.get_field_index(column), column, pa.array(texts, pa.binary()).cast(pa.string()))
             start = stop
+        batch = raw = texts = None
+        release()
 
 
 def own_shuffle(side: DataFrame, *keys: str) -> DataFrame:

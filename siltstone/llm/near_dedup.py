@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import BLOCK_BYTES, blocks, mix, own_shuffle, texts_of, word_codes, word_hashes, written
+from siltstone.llm._blocks import BLOCK_BYTES, blocks, mix, own_shuffle, release, texts_of, word_codes, word_hashes, written
 
 #: Signature: CHUNKS chunks of WIDTH minima, each cut to BITS bits. A chunk may have one
 #: error, so all pairs that differ in at most 2 * CHUNKS - 1 minima share a key.
@@ -325,6 +325,7 @@ def pairs_apart(rows: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int
 
     def compare(table: pa.Table) -> pa.Table:
         a, b = apart_pairs(table, percent)
+        release()
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()

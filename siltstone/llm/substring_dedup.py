@@ -11,14 +11,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import as_list, blocks, ddl, fields, gather, mix, opened, parts_for, row_of, squeezed, text_bytes, word_codes, word_hashes
+from siltstone.llm._blocks import as_list, blocks, ddl, fields, gather, mix, opened, parts_for, release, row_of, squeezed, text_bytes, word_codes, word_hashes
 
 #: Words of the grams that minimisers are taken from.
 GRAM = 5
 #: Bytes of packed super-k-mers in a bucket, about. Packing makes about three bytes of one.
-BUCKET_BYTES, PACKED = 8 << 20, 3
+BUCKET_BYTES, PACKED = 6 << 20, 3
 #: Text bytes of one block.
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 #: A gram is heavy if its share of all grams is over 1 / (HEAVY * partitions); so at most HEAVY * partitions are.
 HEAVY = 32
 HIGH = np.uint64(1 << 63)
@@ -253,6 +253,8 @@ def repeated_runs(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_
         if parts:
             columns = [np.concatenate([p[k] for p in parts]) for k in range(4)]
             out.append(np.stack(repeated_windows(*columns, b"".join(p[4] for p in parts), window)))
+            del parts, columns
+        release()
         rows = np.concatenate(out, axis=1) if out else np.empty((3, 0), dtype=np.int64)
         return pa.table([pa.array(x) for x in rows], names=["id", "start", "n"])
 
