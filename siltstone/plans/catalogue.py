@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans.oracle import SQL
-from siltstone.plans.queries import QUERIES
+from siltstone.plans import oracle, queries, review, review_oracle
+
+QUERIES = queries.QUERIES | review.QUERIES
+SQL = oracle.SQL | review_oracle.SQL
 
 __all__ = ["QUERIES", "SQL"]
