@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import blocks, gather, parts_for, word_codes, written
+from siltstone.llm._blocks import blocks, gather, parts_for, text_batches, word_codes, written
 from siltstone.llm.vocab import default_path, word_vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 #: Text bytes encoded at once.
-BLOCK = 8 << 20
+BLOCK = 12 << 20
 #: The id that ends each document.
 END_ID = 0
 #: Patterns that the fit chooses from, at most.
@@ -246,7 +246,9 @@ def pack_documents(docs: DataFrame, limit: int = 2048, id_col: str = "doc_id", t
     The pieces, a few numbers each, are written to the shared folder first, so texts
     are segmented once. An empty table gives no rows; repeated rows are packed each.
     """
-    return pack(written(token_pieces(docs, limit, id_col, text_col, path)), limit, id_col)
+    with text_batches(docs.sparkSession):
+        pieces = written(token_pieces(docs, limit, id_col, text_col, path))
+    return pack(pieces, limit, id_col)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
