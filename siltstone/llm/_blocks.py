@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +171,18 @@ def own_shuffle(side: DataFrame, *keys: str) -> DataFrame:
     return side.select(*(same(c).alias(c) if c in keys else F.col(c) for c in side.columns))
 
 
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """While texts are written right away: Arrow batches of fewer rows, since a batch of whole texts is held twice outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def parts_for(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

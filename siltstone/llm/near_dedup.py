@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import BLOCK_BYTES, blocks, mix, own_shuffle, release, texts_of, word_codes, word_hashes, written
+from siltstone.llm._blocks import BLOCK_BYTES, blocks, mix, own_shuffle, release, text_batches, texts_of, word_codes, word_hashes, written
 
 #: Signature: CHUNKS chunks of WIDTH minima, each cut to BITS bits. A chunk may have one
 #: error, so all pairs that differ in at most 2 * CHUNKS - 1 minima share a key.
@@ -21,6 +21,8 @@ ROUNDS = 2
 BITMAP_EACH, LEAST_BITS = 8, 512
 #: Text bytes of a block whose sets are passed on whole.
 SET_BLOCK = 4 << 20
+#: Signatures whose keys are passed on at once.
+KEY_ROWS = 1024
 #: Rows of one key that meet in one task at most; larger groups are cut into blocks against blocks.
 BLOCK_ROWS = 4096
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -101,13 +103,16 @@ def keys_of(signed: DataFrame) -> DataFrame:
     """(id, key, at): all chunk keys of each signature, with the chunk and the minimum left out as one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             if batch.num_rows:
                 sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1)
-                keys = chunk_keys(sig)
-                n, m = keys.shape
-                columns = [np.repeat(batch.column(0).to_numpy(), m), keys.reshape(-1).view(np.int64), np.tile(np.arange(m, dtype=np.int16), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "key", "at"])
+                ids = batch.column(0).to_numpy()
+                for low in range(0, len(ids), KEY_ROWS):
+                    keys = chunk_keys(sig[low : low + KEY_ROWS])
+                    n, m = keys.shape
+                    columns = [np.repeat(ids[low : low + n], m), keys.reshape(-1).view(np.int64), np.tile(np.arange(m, dtype=np.int16), n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "key", "at"])
 
     return signed.select("id", "signature").mapInArrow(run, "id long, key long, at short")
 
@@ -249,7 +254,8 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     An empty table gives no rows; other columns are ignored.
     """
     name = df.select(id_col, text_col)
-    signed = written(document_signatures(name, shingle, id_col, text_col))
+    with text_batches(df.sparkSession):
+        signed = written(document_signatures(name, shingle, id_col, text_col))
     first = signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("id", "signature")).alias("f"))
     classes = written(first.select("d1", "d2", F.col("f.id").alias("class"), F.col("f.signature").alias("signature")))
     labels = class_components(classes.select(F.col("class").alias("id"), "signature"), name, shingle, percent, id_col, text_col)
@@ -271,7 +277,8 @@ def class_components(reps: DataFrame, docs: DataFrame, shingle: int, percent: in
     keyed = written(weighed.join(weight, "id").select("id", "key", "at", "weight"))
     ids = keyed.select("id").distinct()
     candidates = docs.join(ids, F.col(id_col) == F.col("id"), "left_semi")
-    sets = written(set_table(candidates, shingle, id_col, text_col))
+    with text_batches(docs.sparkSession):
+        sets = written(set_table(candidates, shingle, id_col, text_col))
     labels = written(ids.select("id", F.col("id").alias("component")))
     tested = None
     for step in range(ROUNDS + 1):
