@@ -361,3 +361,124 @@ def selected_totals(cands: DataFrame, chosen: DataFrame, failed: DataFrame) -> D
     """(n_items, bytes) of the chosen paths that didn't fail."""
     rows = cands.join(chosen.select("path").distinct(), "path", "left_semi").join(failed.select("path"), "path", "left_anti")
     return rows.agg(F.count(F.lit(1)).alias("n_items"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+
+
+# ---- images ----
+
+
+def image_features(images: DataFrame, pixels: str, width: int, height: int) -> DataFrame:
+    """Rows with dhash, phash, sharpness and spread of grey images (``pixels``: values row by row).
+
+    ``dhash`` has a bit for each pair of neighbours in a row, ``phash`` one for each of
+    the 64 lowest cosine frequencies that is above their median; sharpness is the variance
+    of the Laplacian over inner pixels, spread the deviation of all. Rows without
+    the right number of pixels have nulls.
+    """
+    k = np.arange(min(8, height, width))
+    basis = lambda n: np.cos(np.pi * k[:, None] * (2 * np.arange(n)[None, :] + 1) / (2 * n))
+
+    def run(batches):
+        for part in batches:
+            values = part[pixels]
+            ok = np.array([v is not None and len(v) == width * height for v in values], dtype=bool)
+            out = {"dhash": [None] * len(part), "phash": [None] * len(part), "sharpness": [None] * len(part), "spread": [None] * len(part)}
+            if ok.any():
+                m = np.stack(values[ok].to_list()).astype(np.float64).reshape(-1, height, width)
+                text = lambda bits: ["".join(row) for row in np.where(bits.reshape(len(m), -1), "1", "0")]
+                waves = np.einsum("ah,nhw,bw->nab", basis(height), m, basis(width)).reshape(len(m), -1)
+                inner = m[:, :-2, 1:-1] + m[:, 2:, 1:-1] + m[:, 1:-1, :-2] + m[:, 1:-1, 2:] - 4 * m[:, 1:-1, 1:-1]
+                found = (text(m[:, :, 1:] > m[:, :, :-1]), text(waves > np.median(waves, axis=1, keepdims=True)), inner.reshape(len(m), -1).var(axis=1).tolist(), m.reshape(len(m), -1).std(axis=1).tolist())
+                for name, new in zip(out, found, strict=True):
+                    for i, x in zip(np.flatnonzero(ok), new, strict=True):
+                        out[name][i] = x
+            yield part.drop(columns=[pixels]).assign(**out)
+
+    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema if f.name != pixels]
+    return images.mapInPandas(run, ", ".join([*rest, "dhash string", "phash string", "sharpness double", "spread double"]))
+
+
+# ---- more of the state of items, logs and settings ----
+
+
+def category_label(group: Column) -> Column:
+    """The short label of a category; an unknown id in title case."""
+    out = F.initcap(F.replace(group, F.lit("_"), F.lit(" ")))
+    for name, label in R.CATEGORY_LABELS.items():
+        out = F.when(group == name, label).otherwise(out)
+    return out
+
+
+def settings(spark: SparkSession, mode: str) -> DataFrame:
+    """A row a category: its flag, retention, label, and whether the mode forces it off."""
+    rows = [(g, on, days, mode == "safe" and g in R.OFF_IN_SAFE_MODE) for g, (on, days, _) in R.CATEGORIES.items()]
+    return spark.createDataFrame(rows, "category_group string, enabled boolean, retention_days int, forced_off boolean").withColumn("label", category_label(F.col("category_group")))
+
+
+def batch_estimates(events: DataFrame, warn: float = 10.0) -> DataFrame:
+    """Per batch the seconds that writing its items takes, and whether that is worth a warning."""
+    n = events.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_items"))
+    seconds = F.col("n_items") * R.SECONDS_PER_ITEM
+    return n.withColumn("seconds", seconds).withColumn("warn", F.col("seconds") >= warn)
+
+
+def shown_reconciliation(scans: DataFrame) -> DataFrame:
+    """Scans with delta_bytes and delta_percent only where a scan was completed over just one root, a volume's."""
+    whole = F.coalesce((F.col("status") == "completed") & (F.col("n_roots") == 1) & P.is_volume_root(F.col("root")), F.lit(False))
+    return scans.withColumns({c: F.when(whole, F.col(c)) for c in ("delta_bytes", "delta_percent")})
+
+
+def eligible_paths(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The asked paths that exist and are eligible."""
+    return asked.select("path").distinct().join(verdicts.filter(F.col("verdict") == "eligible").select("path"), "path", "left_semi")
+
+
+def cache_object_root(path: Column) -> Column:
+    """The folder of one cached object (``models--x``, ``datasets--x``, ``spaces--x`` above blobs or snapshots); null elsewhere."""
+    found = F.regexp_extract(path, r"(?i)^(.*/(?:models|datasets|spaces)--[^/]+)/(?:blobs|snapshots|refs)(?:/|$)", 1)
+    return F.when(found != "", found)
+
+
+def protected_root(path: Column, protected: tuple[str, ...] = R.PROTECTED_ROOTS) -> Column:
+    """Whether a path alone, whatever else is known of it, is never to be written to."""
+    return P.is_network_path(path) | P.matches_any(path, protected) | P.matches_any(path, R.CONTAINER_ROOTS)
+
+
+def restore_violations(items: DataFrame, vault_dir: str, protected: tuple[str, ...] = R.PROTECTED_ROOTS) -> DataFrame:
+    """(original_path, why): items whose vault path lies elsewhere, and items that would go to a protected place; one can be both."""
+    inside = (F.col("vault_path") == vault_dir) | F.col("vault_path").startswith(vault_dir + "/")
+    out = items.filter(F.col("vault_path").isNotNull() & ~inside).select("original_path", F.lit("outside_vault").alias("why"))
+    return out.unionByName(items.filter(protected_root(F.col("original_path"), protected)).select("original_path", F.lit("protected_root").alias("why")))
+
+
+def purge_records(items: DataFrame) -> DataFrame:
+    """Items of the log as rows for the safety rules, from what the log has: no repository, no attributes."""
+    name = P.name_of(F.col("original_path"))
+    return items.select(
+        F.col("original_path").alias("path"), F.coalesce("is_dir", F.lit(False)).alias("is_dir"), F.col("size_bytes").alias("size"),
+        F.when(F.coalesce("is_dir", F.lit(False)), "").otherwise(P.ext_of(name)).alias("ext"), F.lit(None).cast("string").alias("git_repo_root"), F.lit(False).alias("git_repo_clean"), F.lit(False).alias("is_cloud_placeholder"),
+    )
+
+
+def notification_state(log: DataFrame) -> DataFrame:
+    """Per volume of (volume, seq, at, kind, days): when last notified and snoozed until when; each kind leaves the other as it was."""
+    last = lambda kind, v: F.max_by(F.when(F.col("kind") == kind, v), F.when(F.col("kind") == kind, F.col("seq")))
+    return log.groupBy("volume").agg(last("notified", F.col("at")).alias("last_notified"), last("snooze", F.col("at") + F.col("days") * R.DAY).alias("snoozed_until"))
+
+
+def listed_bytes(dirs: DataFrame, children: DataFrame) -> DataFrame:
+    """Directories that couldn't be read with the bytes of the children that were listed, a lower bound; null without any."""
+    known = children.groupBy(F.col("parent").alias("path")).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size_estimate_bytes"), F.count(F.lit(1)).alias("n_listed"))
+    return dirs.select("path").join(known, "path", "left").withColumn("partial", F.col("n_listed").isNotNull()).drop("n_listed")
+
+
+def still_there(members: DataFrame, present: DataFrame) -> DataFrame:
+    """Members of groups that still exist, of the groups with two such or more."""
+    left = members.join(present.select("id").distinct(), "id", "left_semi")
+    sizes = left.groupBy("group").agg(F.count(F.lit(1)).alias("n_members")).filter("n_members > 1")
+    return left.join(sizes, "group")
+
+
+def ranking_rows(members: DataFrame, records: DataFrame) -> DataFrame:
+    """Members with size, times and placeholder flag of their record; zeros and false for those without one."""
+    out = members.join(records.select("path", "mtime", "ctime", "is_cloud_placeholder"), "path", "left")
+    return out.withColumns({"mtime": F.coalesce("mtime", F.lit(0.0)), "ctime": F.coalesce("ctime", F.lit(0.0)), "is_cloud_placeholder": F.coalesce("is_cloud_placeholder", F.lit(False))})

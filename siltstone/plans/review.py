@@ -305,3 +305,134 @@ def selected_totals(spark: SparkSession, d: str) -> DataFrame:
 def supported_documents(spark: SparkSession, d: str) -> DataFrame:
     f = files(spark, d)
     return f.select("path", P.ext_of(P.name_of(F.col("path"))).isin(*R.DOCUMENT_EXTENSIONS).alias("supported"))
+
+
+# ---- images, settings and states ----
+
+
+@query
+def image_features(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as grey images of 8 times 8."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("pixels"))
+    return V.image_features(e, "pixels", 8, 8).select("vec_id", "dhash", F.round("sharpness", 6).alias("sharpness"), F.round("spread", 6).alias("spread"))
+
+
+@query
+def category_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select("s_suppkey", V.category_label(_at(GROUPS, F.col("s_suppkey") % len(GROUPS))).alias("label"))
+
+
+@query
+def settings_listing(spark: SparkSession, d: str) -> DataFrame:
+    return V.settings(spark, "safe").withColumn("retention_days", F.coalesce("retention_days", F.lit(-1)))
+
+
+@query
+def batch_estimates(spark: SparkSession, d: str) -> DataFrame:
+    return V.batch_estimates(Q._events(spark, d), 2.0).select("batch_id", "n_items", F.round("seconds", 6).alias("seconds"), "warn")
+
+
+@query
+def shown_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    s = table(spark, d, "supplier").select("s_suppkey", _at(("completed", "cancelled", "completed"), k % 3).alias("status"), (k % 2 + 1).alias("n_roots"), _at(("/c", "/c/users", "/d"), k % 5).alias("root"), (k * 10).alias("delta_bytes"), (k / 4).alias("delta_percent"))
+    out = V.shown_reconciliation(s)
+    return out.select("s_suppkey", F.coalesce("delta_bytes", F.lit(-1)).alias("delta_bytes"), F.coalesce("delta_percent", F.lit(-1.0)).alias("delta_percent"))
+
+
+@query
+def eligible_paths(spark: SparkSession, d: str) -> DataFrame:
+    inv = Q.inventory(spark, d)
+    asked = inv.select(F.when(F.length("path") % 2 == 0, F.col("path")).otherwise(F.concat("path", F.lit("?"))).alias("path"))
+    return V.eligible_paths(asked, Y.with_verdict(inv))
+
+
+@query
+def cache_roots(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("/hub/"), _at(("models", "Datasets", "spaces", "other"), k % 4), F.lit("--"), "p_brand", _at(("/blobs/", "/snapshots", "/x/", "/refs/"), k % 5), k.cast("string"))
+    return table(spark, d, "part").select("p_partkey", F.coalesce(V.cache_object_root(path), F.lit("-")).alias("root"))
+
+
+@query
+def protected_roots(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    path = F.concat(_at(("C:/Windows/", "C:/Users/", "//srv/share/", "//?/UNC/srv/", "//?/C:/Windows/", "c:/program files/"), k % 6), "s_name")
+    return table(spark, d, "supplier").select("s_suppkey", V.protected_root(path).alias("protected"))
+
+
+@query
+def restore_violations(spark: SparkSession, d: str) -> DataFrame:
+    last = E.fold_latest(Q._events(spark, d))
+    return V.restore_violations(last, "/vault", ("/files/click/*",)).groupBy("original_path", "why").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def purge_records(spark: SparkSession, d: str) -> DataFrame:
+    last = E.fold_latest(Q._events(spark, d)).withColumn("is_dir", F.when(F.col("seq") % 3 == 0, F.col("seq") % 2 == 0)).withColumn("original_path", F.concat("original_path", F.lit(".PDF")))
+    return Y.with_verdict(V.purge_records(last)).groupBy("path", "is_dir", "ext", "verdict").agg(F.sum("size").alias("bytes"))
+
+
+@query
+def notification_states(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    log = table(spark, d, "events").select((F.col("user_id") % 50).alias("volume"), i.alias("seq"), i.cast("double").alias("at"), _at(("notified", "snooze", "other", "notified"), i % 4).alias("kind"), (i % 5).alias("days"))
+    return V.notification_state(log)
+
+
+@query
+def listed_bytes(spark: SparkSession, d: str) -> DataFrame:
+    inv = Q.inventory(spark, d)
+    return V.listed_bytes(inv.filter("is_dir"), inv.filter((F.col("size") % 3 != 0) & ~F.col("is_dir"))).select("path", F.coalesce("size_estimate_bytes", F.lit(-1)).alias("bytes"), "partial")
+
+
+@query
+def groups_still_there(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    members = e.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 3).alias("group"))
+    return V.still_there(members, e.filter("label % 4 <> 1").select(F.col("vec_id").alias("id")))
+
+
+@query
+def ranking_rows(spark: SparkSession, d: str) -> DataFrame:
+    f = files(spark, d)
+    members = f.select("file_id", F.when(F.col("size") % 2 == 0, F.col("path")).otherwise("/gone").alias("path"))
+    return V.ranking_rows(members, f).select("file_id", "mtime", "ctime", "is_cloud_placeholder")
+
+
+@query
+def residual_images(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that no near pair has, for the next track."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), Q._wide_hash().alias("hash"))
+    pairs = N.hamming_pairs(e, 4)
+    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return e.join(used, "id", "left_anti").select("id")
+
+
+@query
+def candidate_display(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates with the copy that is kept of their content, where they are duplicates."""
+    kept = Q._kept(spark, d).filter(~F.col("is_keep")).select("path", "keep_path")
+    rows = Q._cands(spark, d).join(kept, "path", "left")
+    return rows.select("path", V.category_label(F.col("category_group")).alias("label"), S.format_bytes(F.col("size_bytes")).alias("shown"), F.coalesce("keep_path", F.lit("-")).alias("keep_path"))
+
+
+@query
+def member_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """The cached hash where it still counts, else a new one."""
+    old, _ = Q._rescan(spark, d)
+    cache = old.select("path", F.col("size").alias("hash_size"), F.when(F.length("path") % 2 == 0, F.col("mtime")).otherwise(0.0).alias("hash_mtime"), F.md5("path").alias("partial_hash"), F.lit(None).cast("string").alias("full_hash"))
+    f = files(spark, d)
+    valid = I.valid_hashes(f.select("path", "size", "mtime").join(cache, "path", "left")).select("path", "partial_hash")
+    return f.join(valid, "path").select("path", F.coalesce("partial_hash", F.sha2("content", 256), F.lit("-")).alias("hash"))
+
+
+@query
+def log_of_batch(spark: SparkSession, d: str) -> DataFrame:
+    e = Q._events(spark, d)
+    return E.fold_latest(e.filter(F.col("batch_id") == "b7")).select("original_path", "seq", "method")
+
+
+@query
+def stat_cache(spark: SparkSession, d: str) -> DataFrame:
+    return I.subtree(Q.inventory(spark, d), "/src2/de").filter(~F.col("is_dir")).select("path", "size", "mtime")

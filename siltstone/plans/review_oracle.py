@@ -101,3 +101,38 @@ SQL["cand_safe_mode"] = f"{O.CANDS} SELECT path, category_group FROM cands WHERE
 SQL["stored_hashes"] = f"""{O.SCAN} SELECT o.path, o.size, CASE WHEN n.path IS NULL THEN 'old' ELSE 'new' END AS partial_hash, CASE WHEN n.path IS NULL THEN '-' ELSE md5(o.path) END AS full_hash FROM old o LEFT JOIN (SELECT path FROM new WHERE file_id % 2 = 0) n ON o.path = n.path"""
 SQL["selected_totals"] = f"{O.CANDS} SELECT count(*) AS n_items, coalesce(sum(size_bytes), 0)::BIGINT AS bytes FROM cands WHERE regexp_matches(path, '[0268]\\.')"
 SQL["supported_documents"] = f"{O.FIL} SELECT path, regexp_matches(lower(path), '\\.(txt|md|docx|pdf)$') AS supported FROM files"
+
+# ---- images, settings and states ----
+SQL["image_features"] = """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS p FROM embeddings),
+l AS (SELECT vec_id, p, list_transform(range(0, 36), lambda j: p[(j // 6) * 8 + j % 6 + 2] + p[(j // 6 + 2) * 8 + j % 6 + 2] + p[(j // 6 + 1) * 8 + j % 6 + 1] + p[(j // 6 + 1) * 8 + j % 6 + 3] - 4 * p[(j // 6 + 1) * 8 + j % 6 + 2]) AS l FROM p)
+SELECT vec_id, array_to_string(list_transform(range(0, 56), lambda j: CASE WHEN p[(j // 7) * 8 + j % 7 + 2] > p[(j // 7) * 8 + j % 7 + 1] THEN '1' ELSE '0' END), '') AS dhash, round(list_var_pop(l), 6) AS sharpness, round(list_stddev_pop(p), 6) AS spread FROM l"""
+LABELS = R.CATEGORY_LABELS | {"ai_new_group": "Ai New Group"}
+SQL["category_labels"] = f"WITH s AS (SELECT s_suppkey, [{', '.join(map(text, GROUPS))}][s_suppkey % {len(GROUPS)} + 1] AS g FROM supplier) SELECT s_suppkey, {choice('g', LABELS)} END AS label FROM s"
+SQL["settings_listing"] = f"""WITH g AS (SELECT unnest(['dev_artifacts', 'package_caches', 'model_caches', 'temp_and_browser_caches', 'crash_dumps', 'old_installers', 'large_logs', 'archive_pairs', 'duplicates']) AS category_group)
+SELECT category_group, category_group IN ('dev_artifacts', 'package_caches', 'temp_and_browser_caches', 'crash_dumps') AS enabled, CASE WHEN enabled THEN -1 ELSE 30 END::INT AS retention_days,
+category_group IN ('duplicates', 'model_caches', 'dev_artifacts') AS forced_off, {choice("category_group", LABELS)} END AS label FROM g"""
+SQL["batch_estimates"] = f"{O.EV} SELECT batch_id, count(*) AS n_items, round(count(*) * 0.008088::DOUBLE, 6) AS seconds, count(*) * 0.008088::DOUBLE >= 2 AS warn FROM ev GROUP BY batch_id"
+SQL["shown_reconciliation"] = """WITH s AS (SELECT s_suppkey, s_suppkey % 3 <> 1 AND s_suppkey % 2 = 0 AND s_suppkey % 5 IN (0, 2) AS whole FROM supplier)
+SELECT s_suppkey, CASE WHEN whole THEN s_suppkey * 10 ELSE -1 END AS delta_bytes, CASE WHEN whole THEN s_suppkey / 4 ELSE -1 END::DOUBLE AS delta_percent FROM s"""
+SQL["eligible_paths"] = f"{O.INV}, v AS (SELECT path, {O.reason(True)} AS reason_code FROM inv) SELECT path FROM v WHERE {O.VERDICT} = 'eligible' AND length(path) % 2 = 0"
+SQL["cache_roots"] = """WITH s AS (SELECT p_partkey, '/hub/' || ['models', 'Datasets', 'spaces', 'other'][p_partkey % 4 + 1] || '--' || p_brand AS base, ['/blobs/', '/snapshots', '/x/', '/refs/'][p_partkey % 5 + 1] AS sub FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 4 <> 3 AND sub IN ('/blobs/', '/refs/') THEN base ELSE '-' END AS root FROM s"""
+SQL["protected_roots"] = "SELECT s_suppkey, s_suppkey % 6 <> 1 AS protected FROM supplier"
+SQL["restore_violations"] = f"""{O.EV}, x AS (SELECT original_path, 'outside_vault' AS why FROM lastd WHERE NOT starts_with(vault_path, '/vault/') UNION ALL SELECT original_path, 'protected_root' FROM lastd WHERE starts_with(original_path, '/files/click/'))
+SELECT original_path, why, count(*) AS n FROM x GROUP BY ALL"""
+SQL["purge_records"] = f"""{O.EV}, x AS (SELECT original_path || '.PDF' AS path, coalesce(seq % 3 = 0 AND seq % 2 = 0, false) AS is_dir, size_bytes FROM lastd)
+SELECT path, is_dir, CASE WHEN is_dir THEN '' ELSE '.pdf' END AS ext, 'eligible' AS verdict, sum(size_bytes)::BIGINT AS bytes FROM x GROUP BY ALL"""
+SQL["notification_states"] = """SELECT user_id % 50 AS volume, max(event_id) FILTER (event_id % 4 IN (0, 3))::DOUBLE AS last_notified, arg_max(event_id::DOUBLE + event_id % 5 * 86400.0, event_id) FILTER (event_id % 4 = 1)::DOUBLE AS snoozed_until FROM events GROUP BY 1"""
+SQL["listed_bytes"] = f"""{O.INV}, c AS (SELECT parent, sum(size)::BIGINT AS b FROM inv WHERE NOT is_dir AND size % 3 <> 0 GROUP BY parent)
+SELECT path, coalesce(b, -1)::BIGINT AS bytes, b IS NOT NULL AS partial FROM inv LEFT JOIN c ON c.parent = inv.path WHERE is_dir"""
+SQL["groups_still_there"] = """WITH m AS (SELECT vec_id AS id, vec_id // 3 AS "group", count(*) OVER (PARTITION BY vec_id // 3) AS n_members FROM embeddings WHERE label % 4 <> 1) SELECT * FROM m WHERE n_members > 1"""
+SQL["ranking_rows"] = f"""{O.FIL} SELECT file_id, CASE WHEN size % 2 = 0 THEN mtime ELSE 0 END::DOUBLE AS mtime, CASE WHEN size % 2 = 0 THEN ctime ELSE 0 END::DOUBLE AS ctime, size % 2 = 0 AND is_cloud_placeholder AS is_cloud_placeholder FROM files"""
+SQL["residual_images"] = """WITH h AS (SELECT vec_id AS id, list_transform(range(0, 16), lambda i: (embedding[4 * i + 1]::DOUBLE + embedding[4 * i + 2]::DOUBLE + embedding[4 * i + 3]::DOUBLE + embedding[4 * i + 4]::DOUBLE) > 0) AS s FROM embeddings)
+SELECT a.id FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE a.id <> b.id AND len(list_filter(list_zip(a.s, b.s), lambda z: z[1] <> z[2])) <= 1)"""
+SQL["candidate_display"] = f"""WITH c AS ({O.CANDS} SELECT path, category_group, size_bytes AS n FROM cands), d AS ({O.DUP} SELECT path, keep_path FROM ke WHERE path <> keep_path),
+u AS (SELECT *, CASE WHEN n >= 1099511627776 THEN 4 WHEN n >= 1073741824 THEN 3 WHEN n >= 1048576 THEN 2 WHEN n >= 1024 THEN 1 ELSE 0 END AS k FROM c)
+SELECT u.path, {choice("category_group", R.CATEGORY_LABELS)} END AS label, CASE WHEN k = 0 THEN n || ' B' ELSE printf('%.1f', round_even(n / pow(1024.0, k), 1)) || ' ' || ['KB', 'MB', 'GB', 'TB'][k] END AS shown, coalesce(keep_path, '-') AS keep_path
+FROM u LEFT JOIN d ON u.path = d.path"""
+SQL["member_hashes"] = f"""{O.FIL} SELECT path, CASE WHEN file_id % 5 <> 0 AND length(path) % 2 = 0 THEN md5(path) ELSE coalesce(sha256(content), '-') END AS hash FROM files"""
+SQL["log_of_batch"] = f"{O.EV} SELECT original_path, seq, method FROM lastd WHERE batch_id = 'b7'"
+SQL["stat_cache"] = f"{O.INV} SELECT path, size, mtime FROM inv WHERE starts_with(path, '/src2/de/') AND NOT is_dir"
