@@ -201,7 +201,8 @@ def pack(pieces: DataFrame, limit: int = 2048, id_col: str = "doc_id") -> DataFr
     stored table, as it is read more than once. Only the histogram (at most ``limit``
     counts) reaches the driver, and the plan that goes to the tasks is bounded by
     ``limit`` as well. Ranks within a length come from counts of (length, bucket), so a
-    length that a third of all pieces share is no single task's work.
+    length that a third of all pieces share is no single task's work. The fit chooses from at
+    most MOST_PATTERNS patterns; pieces that its patterns leave are packed all the same.
     """
     spark = pieces.sparkSession
     counted = pieces.groupBy("length").count().collect()

@@ -16,7 +16,7 @@ import regex
 
 #: Parts of the pattern above that end with letters but start with a mark.
 CONTRACTIONS = {b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d"}
-#: The longest word that the array form merges; longer ones go to the library.
+#: The longest word that the array form merges; longer ones take the prefix table.
 LONGEST = 40
 #: The pattern that the vocabulary file splits words with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
