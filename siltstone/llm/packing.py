@@ -15,7 +15,7 @@ from siltstone.llm.vocab import default_path, word_vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 #: Text bytes encoded at once.
-BLOCK = 12 << 20
+BLOCK = 20 << 20
 #: The id that ends each document.
 END_ID = 0
 #: Patterns that the fit chooses from, at most.
@@ -247,7 +247,7 @@ def pack_documents(docs: DataFrame, limit: int = 2048, id_col: str = "doc_id", t
     The pieces, a few numbers each, are written to the shared folder first, so texts
     are segmented once. An empty table gives no rows; repeated rows are packed each.
     """
-    with text_batches(docs.sparkSession):
+    with text_batches(docs.sparkSession, 5000):
         pieces = written(token_pieces(docs, limit, id_col, text_col, path))
     return pack(pieces, limit, id_col)
 
