@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset, as in tests, one of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/siltstone-checkpoints"
+    """A new folder below the shared folder of ``spark.checkpoint.dir``.
+
+    Only where the setting is absent, as in tests, it is one of this machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = known.get() if known.isDefined() else "file:/tmp/siltstone-checkpoints"
     return f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
 
 
