@@ -7,7 +7,6 @@ batch of texts into word codes with vectorised Arrow and numpy calls.
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
@@ -17,6 +16,8 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.sources.shared import scratch, written  # noqa: F401 - the operators' own imports
+
 #: Text bytes that one vectorised step takes at once.
 BLOCK_BYTES = 6 << 20
 
@@ -108,26 +109,6 @@ def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
     return np.fromiter((xxh3_64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(words))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder of ``spark.checkpoint.dir``.
-
-    Only where the setting is absent, as in tests, a folder of this machine is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else "file:/tmp/siltstone-checkpoints"
-    return f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again, which cuts the lineage."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def squeezed(df: DataFrame, column: str) -> DataFrame:
     """The rows with a text column compressed, for a shuffle of whole texts; opened() has them back."""
 
