@@ -176,6 +176,19 @@ def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0)
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference that stands for it alone, whatever dots or backticks it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of the rows has it, in any case of letters."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def fields(df: DataFrame, leave: tuple[str, ...] = ()) -> list[str]:
     """The names of the columns that pass through, without those that results replace."""
     return [c for c in df.columns if c not in leave]

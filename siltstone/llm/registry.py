@@ -5,6 +5,7 @@ from __future__ import annotations
 from siltstone.llm.chat import OP2_SQL, op2_perspectives
 from siltstone.llm.fingerprints import op10_fingerprints
 from siltstone.llm.line_dedup import OP3_SQL, op3_line_dedup
+from siltstone.llm.manifest import OP13_SQL, op13_manifest
 from siltstone.llm.near_dedup import op8_minhash
 from siltstone.llm.packing import op7_packing
 from siltstone.llm.pieces import op9_sentencepiece
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_fingerprints": op10_fingerprints,
+    "op13_manifest": op13_manifest,
 }
 SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op2_perspectives": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
     "op4_warc": OP4_SQL,
+    "op13_manifest": OP13_SQL,
 }
