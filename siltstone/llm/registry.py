@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siltstone.llm.chat import OP2_SQL, op2_perspectives
+from siltstone.llm.contamination import OP11_SQL, op11_decontamination
 from siltstone.llm.fingerprints import op10_fingerprints
 from siltstone.llm.line_dedup import OP3_SQL, op3_line_dedup
 from siltstone.llm.manifest import OP13_SQL, op13_manifest
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_fingerprints": op10_fingerprints,
+    "op11_decontamination": op11_decontamination,
     "op13_manifest": op13_manifest,
 }
 SQL: dict[str, str] = {
@@ -32,5 +34,6 @@ SQL: dict[str, str] = {
     "op2_perspectives": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
     "op4_warc": OP4_SQL,
+    "op11_decontamination": OP11_SQL,
     "op13_manifest": OP13_SQL,
 }

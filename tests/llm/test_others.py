@@ -252,14 +252,14 @@ def test_perspectives(spark, monkeypatch):
     assert C.rotate_perspectives(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_perspectives", "op4_warc", "op13_manifest"])
+@pytest.mark.parametrize("name", ["op2_perspectives", "op4_warc", "op11_decontamination", "op13_manifest"])
 def test_sql(spark, duck, same, name):
     same(registry.QUERIES[name](spark, DIR), duck.sql(registry.SQL[name]))
 
 
 def test_native_plans(spark):
     """No Python in the plans of the operators that are to be native."""
-    for name in ("op2_perspectives", "op10_fingerprints"):
+    for name in ("op2_perspectives", "op10_fingerprints", "op11_decontamination"):
         plan = registry.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
 
