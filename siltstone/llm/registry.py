@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siltstone.llm.chat import OP2_SQL, op2_perspectives
+from siltstone.llm.collocations import OP12_SQL, op12_collocations
 from siltstone.llm.contamination import OP11_SQL, op11_decontamination
 from siltstone.llm.fingerprints import op10_fingerprints
 from siltstone.llm.line_dedup import OP3_SQL, op3_line_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_fingerprints": op10_fingerprints,
     "op11_decontamination": op11_decontamination,
+    "op12_collocations": op12_collocations,
     "op13_manifest": op13_manifest,
 }
 SQL: dict[str, str] = {
@@ -35,5 +37,6 @@ SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_warc": OP4_SQL,
     "op11_decontamination": OP11_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_manifest": OP13_SQL,
 }

@@ -252,7 +252,7 @@ def test_perspectives(spark, monkeypatch):
     assert C.rotate_perspectives(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_perspectives", "op4_warc", "op11_decontamination", "op13_manifest"])
+@pytest.mark.parametrize("name", ["op2_perspectives", "op4_warc", "op11_decontamination", "op12_collocations", "op13_manifest"])
 def test_sql(spark, duck, same, name):
     same(registry.QUERIES[name](spark, DIR), duck.sql(registry.SQL[name]))
 
