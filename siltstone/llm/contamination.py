@@ -1,10 +1,11 @@
 """Benchmark decontamination over a positional inverted index, in DataFrame functions only.
 
-The index is sharded by documents: each task sorts the postings of its rows by term, so
-nothing is shuffled to build it, and a term's list in a shard lies together in the
-file. A phrase is looked up from its rarest term: that list gives the candidate
-starts, the second rarest list, moved by its offset, cuts them down, and the other
-lists are then read in the candidates' documents alone.
+The index is sharded by documents, so nothing is shuffled to build it: a document's
+postings are one sorted array of numbers, each a term's hash above a position, which
+is its terms' position lists one after the other. A phrase is looked up from its
+rarest term: that list gives the candidate starts, the second rarest, moved by its
+offset, cuts them down, and the other lists are read in the candidates' documents
+alone. What is left is held against the words themselves, since hashes may collide.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from siltstone.llm._blocks import own_shuffle, quoted, written
 
 #: What separates words, once A-Z are lower case.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Words of a phrase, and the words on either side of its rarest one that a proximity match looks at.
+#: Words of a phrase, and the words in a row that a proximity match looks at.
 PHRASE, NEAR = 10, 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What tells a document: its id and, where rows share one, its text.
@@ -33,43 +34,56 @@ def variant(text: Column) -> Column:
     return F.hash(F.coalesce(text, F.lit("")))
 
 
+def term_hash(term: Column) -> Column:
+    """The upper half of a posting: 32 bits of a term's hash, the lower half being free."""
+    return F.xxhash64(term).bitwiseAND(F.lit(-1 << 32))
+
+
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written positional index (h, term, doc, variant, pos) of all words of all rows.
+    """The written positional index (doc, variant, n_words, postings array<bigint>), a row for each row of ``df``.
 
-    ``h`` is the term's hash, by which each shard is sorted. Rows without text have no
-    postings; rows without id have theirs under a null ``doc``; equal rows have theirs
-    twice. Other columns are ignored, whatever their names.
+    Null and empty texts have no postings. Rows without id have theirs under a null
+    ``doc``. Other columns are ignored, whatever their names.
     """
     text = F.col(quoted(text_col))
-    rows = df.select(F.col(quoted(id_col)).alias("doc"), variant(text).alias("variant"), F.posexplode(words_of(text)).alias("pos", "term"))
-    return written(rows.withColumn("h", F.xxhash64("term")).select("h", "term", *DOC, "pos").sortWithinPartitions("h"))
+    lists = F.sort_array(F.transform(words_of(text), lambda w, i: term_hash(w).bitwiseOR(i.cast("long"))))
+    rows = df.select(F.col(quoted(id_col)).alias("doc"), variant(text).alias("variant"), lists.alias("postings"))
+    return written(rows.select(*DOC, F.size("postings").cast("long").alias("n_words"), "postings"))
 
 
 def phrases(items: DataFrame, size: int = PHRASE, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(phrase id, item) pairs and (phrase id, n, off, term) words of the items' windows of ``size`` words.
+    """(pid, item) pairs, and (pid, phrase, n) of the items' windows of ``size`` words, equal ones once. Both are written.
 
-    An item of fewer words, but not none, is one phrase. Equal phrases are one. Both
-    are written.
+    An item of fewer words, but not none, is one phrase.
     """
-    words = words_of(F.col(quoted(text_col)))
-    own = items.select(F.col(quoted(id_col)).alias("item"), words.alias("w")).filter(F.size("w") > 0)
+    own = items.select(F.col(quoted(id_col)).alias("item"), words_of(F.col(quoted(text_col))).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))
-    each = own.select("item", "w", F.explode(starts).alias("s")).select("item", F.array_join(F.slice("w", F.col("s"), size), " ").alias("phrase"))
-    each = written(each.distinct())
-    known = written(each.select("phrase").distinct().withColumn("pid", F.monotonically_increasing_id()))
-    of_item = written(each.join(known, "phrase").select("pid", "item"))
-    said = known.select("pid", F.split("phrase", " ").alias("w"))
-    return of_item, written(said.select("pid", F.size("w").alias("n"), F.posexplode("w").alias("off", "term")))
-
-
-def ranked(index: DataFrame, said: DataFrame) -> DataFrame:
-    """The phrases' words with h and ``rank``, from 1 for the rarest in the index; phrases with a word it hasn't are left out."""
-    asked = said.select("term").distinct().withColumn("h", F.xxhash64("term"))
-    lists = index.join(asked, ["h", "term"], "left_semi").groupBy("h", "term").agg(F.count(F.lit(1)).alias("cf"))
-    lists = own_shuffle(lists, "term")
+    each = written(own.withColumn("s", F.explode(starts)).select("item", F.array_join(F.slice("w", F.col("s"), size), " ").alias("phrase")).distinct())
+    known = each.select("phrase").distinct().withColumn("pid", F.monotonically_increasing_id())
+    known = written(known.withColumn("n", F.size(F.split("phrase", " "))))
+    return written(each.join(known, "phrase").select("pid", "item")), known
+
+
+def lists_of(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(tid, doc, variant, pos): the lists of some terms (h, tid)."""
+    each = index.select(*DOC, F.explode("postings").alias("p"))
+    each = each.select(F.col("p").bitwiseAND(F.lit(-1 << 32)).alias("h"), *DOC, F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+    return each.join(terms.select("h", "tid"), "h").drop("h")
+
+
+def ranked(index: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pid, n, off, tid, rank) of the phrases' words, 1 for the rarest in the index, and the terms (term, h, tid). Both are written.
+
+    Phrases with a word that the index hasn't are left out.
+    """
+    said = known.select("pid", "n", F.posexplode(F.split("phrase", " ")).alias("off", "term"))
+    terms = said.select("term").distinct().select("term", term_hash(F.col("term")).alias("h"), F.monotonically_increasing_id().alias("tid"))
+    terms = written(terms)
+    sizes = own_shuffle(lists_of(index, terms).groupBy("tid").agg(F.count(F.lit(1)).alias("cf")), "tid")
     phrase = Window.partitionBy("pid")  # at most a phrase's words
-    known = said.join(lists, "term").withColumn("there", F.count(F.lit(1)).over(phrase)).filter(F.col("there") == F.col("n"))
-    return written(known.withColumn("rank", F.row_number().over(phrase.orderBy("cf", "off"))).drop("cf", "there"))
+    words = said.join(terms, "term").join(sizes, "tid").withColumn("_there", F.count(F.lit(1)).over(phrase)).filter(F.col("_there") == F.col("n"))
+    words = words.withColumn("rank", F.row_number().over(phrase.orderBy("cf", "off")))
+    return written(words.select("pid", "n", "off", "tid", "rank")), terms
 
 
 def other(side: DataFrame) -> DataFrame:
@@ -85,58 +99,70 @@ def met_on(*names: str) -> Column:
     return same
 
 
-def in_documents(index: DataFrame, found: DataFrame) -> DataFrame:
-    """The postings of the documents that candidates are in."""
-    return index.join(other(written(found.select(*DOC).distinct())), met_on(), "left_semi")
-
+def in_documents(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows, with doc and variant, of the documents that something was found in (and few others)."""
+    key = F.xxhash64(*DOC).alias("_key")
+    return rows.withColumn("_key", key).join(written(found.select(key).distinct()), "_key", "left_semi").drop("_key")
 
-def firsts(index: DataFrame, words: DataFrame) -> DataFrame:
-    """(pid, n, doc, variant, start) of the rarest words' lists."""
-    rare = words.filter(F.col("rank") == 1).select("h", "term", "pid", "n", "off")
-    return index.join(rare, ["h", "term"]).filter(F.col("pos") >= F.col("off")).select("pid", "n", *DOC, (F.col("pos") - F.col("off")).alias("start")).distinct()
 
+def at_offsets(candidates: DataFrame, lists: DataFrame, words: DataFrame) -> DataFrame:
+    """Candidates (pid, n, doc, variant, start) once for each of some words that is where it is to be."""
+    need = candidates.join(words.select("pid", "tid", "off"), "pid").withColumn("pos", F.col("start") + F.col("off"))
+    return need.join(other(lists), met_on("tid", "pos"), "left_semi").select(*candidates.columns)
 
-def phrase_matches(index: DataFrame, words: DataFrame) -> DataFrame:
-    """(pid, n, doc, variant, start): every occurrence of every phrase, from ranked() words. Written."""
 
-    def met(candidates: DataFrame, lists: DataFrame, asked: DataFrame) -> DataFrame:
-        need = candidates.join(asked.select("pid", "h", "term", "off"), "pid").withColumn("pos", F.col("start") + F.col("off"))
-        return need.join(other(lists), met_on("h", "term", "pos"), "left_semi")
+def within_reach(candidates: DataFrame, lists: DataFrame, words: DataFrame, within: int) -> DataFrame:
+    """Anchors (pid, m, doc, variant, pos) with each occurrence (tid, there) of some words less than ``within`` words away.
 
-    start = firsts(index, words)
-    second = words.filter(F.col("rank") == 2)
-    lists = index.join(second.select("h", "term").distinct(), ["h", "term"], "left_semi")
-    two = written(met(start.filter(F.col("n") > 1), lists, second).select(*start.columns))
-    rest = met(two.filter(F.col("n") > 2), in_documents(index, two), words.filter(F.col("rank") > 2))
-    whole = rest.groupBy(*start.columns).agg(F.count(F.lit(1)).alias("_met")).filter(F.col("_met") == F.col("n") - 2).drop("_met")
-    return written(start.filter(F.col("n") == 1).unionByName(two.filter(F.col("n") == 2)).unionByName(whole))
+    Lists meet by stretches of ``within`` words, so only neighbours are compared.
+    """
+    stretch = F.floor(F.col("pos") / within)
+    need = candidates.join(words.select("pid", "tid"), "pid").withColumn("s", F.explode(F.array(*(stretch + k for k in (-1, 0, 1)))))
+    near = met_on("tid", "s") & (F.abs(F.col("pos") - F.col("_pos")) < within)
+    return need.join(other(lists.withColumn("s", stretch)), near).select(*candidates.columns, F.col("_tid").alias("tid"), F.col("_pos").alias("there")).distinct()
 
 
-def proximity_matches(index: DataFrame, words: DataFrame, within: int = NEAR) -> DataFrame:
-    """(pid, doc, variant, pos): where a phrase's rarest word has all its other words at most ``within`` words away.
+def matches(df: DataFrame, index: DataFrame, known: DataFrame, within: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Exact and proximity matches of phrases() in the rows that an index was built from. Both are written.
 
-    Order and repeats of the words don't count. Lists meet by stretches of ``within``
-    words, so only neighbours are compared. Written.
+    Exact ones (pid, n, doc, variant, start): every occurrence of every phrase. Proximity
+    ones (pid, doc, variant): documents where some ``within`` words in a row hold all
+    words of the phrase, in any order, repeated words once.
     """
-    stretch = lambda c: F.floor(c / within)
-    once = words.groupBy("pid", "h", "term").agg(F.min("rank").alias("rank"))
-    once = once.withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy("rank")))
-    once = once.withColumn("m", F.max("rank").over(Window.partitionBy("pid")))
-    rare = once.filter(F.col("rank") == 1).select("h", "term", "pid", "m")
-    start = index.join(rare, ["h", "term"]).select("pid", "m", *DOC, "pos").distinct()
-
-    def met(candidates: DataFrame, lists: DataFrame, asked: DataFrame) -> DataFrame:
-        need = candidates.join(asked.select("pid", "h", "term", "rank"), "pid")
-        need = need.withColumn("s", F.explode(F.array(*(stretch(F.col("pos")) + k for k in (-1, 0, 1)))))
-        near = met_on("h", "term", "s") & (F.abs(F.col("pos") - F.col("_pos")) <= within)
-        return need.join(other(lists.withColumn("s", stretch(F.col("pos")))), near, "left_semi").drop("s").distinct()
-
-    second = once.filter(F.col("rank") == 2)
-    lists = index.join(second.select("h", "term").distinct(), ["h", "term"], "left_semi")
-    two = written(met(start.filter(F.col("m") > 1), lists, second).select(*start.columns))
-    rest = met(two.filter(F.col("m") > 2), in_documents(index, two), once.filter(F.col("rank") > 2))
-    whole = rest.groupBy(*start.columns).agg(F.count(F.lit(1)).alias("_met")).filter(F.col("_met") == F.col("m") - 2).drop("_met")
-    return written(start.filter(F.col("m") == 1).unionByName(two.filter(F.col("m") == 2)).unionByName(whole).drop("m"))
+    words, terms = ranked(index, known)
+    once = words.groupBy("pid", "tid").agg(F.min("rank").alias("rank"))
+    phrase = Window.partitionBy("pid")
+    once = written(once.withColumn("rank", F.row_number().over(phrase.orderBy("rank"))).withColumn("m", F.max("rank").over(phrase)))
+    first = words.filter(F.col("rank") <= 2).select("tid").unionByName(once.filter(F.col("rank") <= 2).select("tid")).distinct()
+    rare = written(lists_of(index, written(terms.join(first, "tid", "left_semi"))).distinct())
+
+    starts = rare.join(words.filter(F.col("rank") == 1).drop("rank"), "tid").filter(F.col("pos") >= F.col("off"))
+    starts = starts.select("pid", "n", *DOC, (F.col("pos") - F.col("off")).alias("start"))
+    two = at_offsets(starts.filter(F.col("n") > 1), rare, words.filter(F.col("rank") == 2))
+    exact = written(two.unionByName(starts.filter(F.col("n") == 1)))
+    anchors = rare.join(once.filter(F.col("rank") == 1).drop("rank"), "tid").select("pid", "m", *DOC, "pos")
+    near = within_reach(anchors.filter(F.col("m") > 1), rare, once.filter(F.col("rank") == 2), within).select(*anchors.columns).distinct()
+    near = written(near.unionByName(anchors.filter(F.col("m") == 1)))
+
+    found = exact.select(*DOC).unionByName(near.select(*DOC))
+    rest = written(lists_of(in_documents(index, found), terms).distinct())
+    whole = at_offsets(exact.filter(F.col("n") > 2), rest, words.filter(F.col("rank") > 2)).groupBy(*exact.columns).agg(F.count(F.lit(1)).alias("_met"))
+    exact = exact.filter(F.col("n") <= 2).unionByName(whole.filter(F.col("_met") == F.col("n") - 2).drop("_met"))
+    # an anchor's neighbours are at most 2 * within - 1 places, each with the terms of one hash
+    close = within_reach(near, rest, once, within).groupBy(*near.columns).agg(F.collect_list(F.struct("there", "tid")).alias("_at"))
+    held = lambda s: F.size(F.array_distinct(F.transform(F.filter("_at", lambda x: (x["there"] >= s) & (x["there"] < s + within)), lambda x: x["tid"]))) == F.col("m")
+    close = close.withColumn("s", F.explode(F.filter(F.array_distinct(F.transform("_at", lambda x: x["there"])), held)))
+
+    texts = df.select(F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text")).withColumn("variant", variant(F.col("text")))
+    exact, close = written(exact), written(close.select("pid", *DOC, "s").distinct())
+    said = in_documents(texts, exact.select(*DOC).unionByName(close.select(*DOC))).distinct()
+    said = other(said.select(*DOC, words_of(F.col("text")).alias("w")))
+    spoken = F.array_join(F.slice("_w", F.col("start") + 1, F.col("n")), " ")
+    exact = exact.join(known.select("pid", "phrase"), "pid").join(said, met_on()).filter(spoken == F.col("phrase")).select("pid", "n", *DOC, "start")
+    asked = F.array_distinct(F.split("phrase", " "))
+    all_there = F.size(F.array_intersect(asked, F.slice("_w", F.col("s") + 1, within))) == F.size(asked)
+    close = close.join(known.select("pid", "phrase"), "pid").join(said, met_on()).filter(all_there).select("pid", *DOC).distinct()
+    return written(exact), written(close)
 
 
 def contamination(df: DataFrame, items: DataFrame, size: int = PHRASE, within: int = NEAR, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -144,26 +170,24 @@ def contamination(df: DataFrame, items: DataFrame, size: int = PHRASE, within: i
 
     ``n_hit`` words lie in an occurrence of a phrase of an item; ``item_ids`` are the
     items with such phrases, as strings in order; ``near_ids`` those with a phrase whose
-    words all lie near its rarest one, exact ones included. Null and empty texts have
-    no words. Items without words ask for nothing; the words of items without an id are
+    words all lie within some ``within`` words in a row. Null and empty texts have no
+    words. Items without words ask for nothing; the words of items without an id are
     hit, but the item isn't listed. Rows of ``df`` without an id are documents as
     others; rows that share one are told apart by their texts, and repeated rows get
     equal results. Other columns are ignored, whatever their names. No rows give none.
     """
-    text = F.col(quoted(text_col))
     index = build_index(df, id_col, text_col)
-    of_item, said = phrases(items, size, item_col, item_text_col)
-    words = ranked(index, said)
-    hits = phrase_matches(index, words)
+    of_item, known = phrases(items, size, item_col, item_text_col)
+    hits, close = matches(df, index, known, within, id_col, text_col)
     covered = hits.select(*DOC, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
     covered = covered.groupBy(*DOC).agg(F.count(F.lit(1)).alias("n_hit"))
 
-    def items_of(matches: DataFrame, name: str) -> DataFrame:
-        own = matches.select(*DOC, "pid").distinct().join(of_item, "pid").select(*DOC, F.col("item").cast("string").alias("item")).distinct()
+    def items_of(found: DataFrame, name: str) -> DataFrame:
+        own = found.select(*DOC, "pid").distinct().join(of_item, "pid").select(*DOC, F.col("item").cast("string").alias("item")).distinct()
         return own.groupBy(*DOC).agg(F.sort_array(F.collect_list("item")).alias(name))
 
-    out = df.select(F.col(quoted(id_col)).alias("doc"), variant(text).alias("variant"), F.size(words_of(text)).cast("long").alias("n_words"))
-    for side in (covered, items_of(hits, "item_ids"), items_of(proximity_matches(index, words, within), "near_ids")):
+    out = index.select(*DOC, "n_words")
+    for side in (covered, items_of(hits, "item_ids"), items_of(close, "near_ids")):
         out = out.join(other(side), met_on(), "left").drop("_doc", "_variant")
     none = F.array().cast("array<string>")
     return out.select(F.col("doc").alias(id_col), "n_words", F.coalesce("_n_hit", F.lit(0)).alias("n_hit"), F.coalesce("_item_ids", none).alias("item_ids"), F.coalesce("_near_ids", none).alias("near_ids"))
@@ -199,14 +223,11 @@ WITH d AS (
 ), c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(st, st + n)) AS pos FROM h) GROUP BY doc_id
 ), o AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256 FROM (SELECT DISTINCT h.doc_id, p.item_id FROM h JOIN p ON h.phrase = p.phrase) GROUP BY doc_id
-), cf AS (SELECT term, count(*) AS cf FROM t GROUP BY term
-), q AS (SELECT phrase, n, unnest(string_split(phrase, ' ')) AS term, generate_subscripts(string_split(phrase, ' '), 1) AS off FROM (SELECT DISTINCT phrase, n FROM p)
-), qq AS (SELECT phrase, term, min(off) AS off, any_value(cf) AS cf FROM q LEFT JOIN cf USING (term) GROUP BY phrase, term
-), r AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY cf, off) AS rank, count(*) OVER (PARTITION BY phrase) AS m, count(cf) OVER (PARTITION BY phrase) AS k FROM qq
-), a AS (SELECT DISTINCT r.phrase, r.m, t.doc_id, t.pos FROM r JOIN t ON r.term = t.term WHERE rank = 1 AND k = m
-), two AS (SELECT DISTINCT a.* FROM a JOIN r ON a.phrase = r.phrase AND r.rank = least(2, a.m) JOIN t ON a.doc_id = t.doc_id AND r.term = t.term AND t.pos BETWEEN a.pos - 20 AND a.pos + 20
-), f AS (SELECT a.phrase, a.doc_id, a.pos FROM two a JOIN r ON a.phrase = r.phrase JOIN t ON a.doc_id = t.doc_id AND r.term = t.term AND t.pos BETWEEN a.pos - 20 AND a.pos + 20 GROUP BY a.phrase, a.doc_id, a.pos, a.m HAVING count(DISTINCT r.term) = a.m
-), z AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM f JOIN p ON f.phrase = p.phrase GROUP BY doc_id)
+), q AS (SELECT DISTINCT phrase, unnest(string_split(phrase, ' ')) AS term FROM p
+), m AS (SELECT phrase, count(*) AS m FROM q GROUP BY phrase
+), e AS (
+  SELECT q.phrase, t.doc_id, count(DISTINCT t.term) OVER (PARTITION BY q.phrase, t.doc_id ORDER BY t.pos RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS k FROM q JOIN t ON q.term = t.term
+), z AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM (SELECT DISTINCT e.phrase, doc_id FROM e JOIN m ON e.phrase = m.phrase AND e.k = m.m) x JOIN p ON x.phrase = p.phrase GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN z USING (doc_id)
 """
