@@ -118,7 +118,7 @@ def squeezed(df: DataFrame, column: str) -> DataFrame:
             raw = [None if x is None else packer.compress(x) for x in batch.column(column).cast(pa.binary()).to_pylist()]
             yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(raw, pa.binary()))
 
-    schema = ", ".join(f"`{c}` {'binary' if c == column else df.schema[c].dataType.simpleString()}" for c in df.columns)
+    schema = ", ".join(f"{quoted(c)} {'binary' if c == column else df.schema[c].dataType.simpleString()}" for c in df.columns)
     return df.mapInArrow(run, schema)
 
 
@@ -181,12 +181,13 @@ def quoted(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """The name, with underscores in front until no column of the rows has it, in any case of letters."""
-    known = {c.lower() for c in df.columns}
-    while name.lower() in known:
-        name = f"_{name}"
-    return name
+def plain(df: DataFrame, names: list[str], *wanted: str) -> tuple[DataFrame, list[str]]:
+    """Some columns under names that clash with nothing (c0, c1, ...), and the new names of the wanted ones.
+
+    Arrow steps address columns by name, which dots, backticks and names that differ in
+    case don't survive.
+    """
+    return df.select(*map(quoted, names)).toDF(*(f"c{i}" for i in range(len(names)))), [f"c{names.index(w)}" for w in wanted]
 
 
 def fields(df: DataFrame, leave: tuple[str, ...] = ()) -> list[str]:
@@ -196,4 +197,4 @@ def fields(df: DataFrame, leave: tuple[str, ...] = ()) -> list[str]:
 
 def ddl(df: DataFrame, names: list[str]) -> str:
     """The schema string of some columns."""
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+    return ", ".join(f"{quoted(c)} {df.schema[c].dataType.simpleString()}" for c in names)

@@ -139,20 +139,16 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     to the one before, and the others follow each other.
     """
     kept = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    runs = in_runs(kept, id_col, "text")
+    none = F.array().cast("array<bigint>")
+    lone = kept.filter(F.col(id_col).isNull()).withColumn("sketch", sketch(F.col("text"), k, size))
+    lone = lone.select(id_col, "text", "sketch", F.lit("").alias("next_text"), none.alias("next_sketch"))
+    runs = in_runs(kept.filter(F.col(id_col).isNotNull()), id_col, "text")
     runs = runs.repartition("_run").withColumn("sketch", sketch(F.col("text"), k, size))
     order = Window.partitionBy("_run").orderBy("_behind", id_col, "text")
     out = runs.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
     out = out.filter(~F.col("_behind"))
-    none = F.array().cast("array<bigint>")
-    lone = F.col(id_col).isNull()
-    return out.select(
-        id_col,
-        "text",
-        "sketch",
-        F.when(lone, F.lit("")).otherwise(F.coalesce("next_text", F.lit(""))).alias("next_text"),
-        F.when(lone, none).otherwise(F.coalesce("next_sketch", none)).alias("next_sketch"),
-    )
+    out = out.select(id_col, "text", "sketch", F.coalesce("next_text", F.lit("")).alias("next_text"), F.coalesce("next_sketch", none).alias("next_sketch"))
+    return out.unionByName(lone)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

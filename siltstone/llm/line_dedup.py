@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import BLOCK_BYTES, as_list, blocks, ddl, fields, mix, parts_for, row_of, text_bytes, texts_of, written
+from siltstone.llm._blocks import BLOCK_BYTES, as_list, blocks, ddl, fields, mix, parts_for, plain, quoted, row_of, text_bytes, texts_of, written
 
 #: Characters stripped at both ends of a line for its key.
 BLANK = " \t\n\v\f\r"
@@ -154,7 +154,7 @@ def line_index(df: DataFrame, min_chars: int = 10, n_shards: int | None = None,
         row = [[shard], [len(keys)], [int(counts.sum())], [table_hash.dump()], [prints.tobytes()], [by_slot.tobytes()], [first.tobytes()]]
         return pa.table(row, names=["shard", "n_keys", "load", "hash", "prints", "counts", "firsts"])
 
-    counted = df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(count, "shard long, keys binary, counts binary, firsts binary")
+    counted = df.select(F.col(quoted(id_col)), F.col(quoted(text_col)).alias("text")).mapInArrow(count, "shard long, keys binary, counts binary, firsts binary")
     return counted.groupBy("shard").applyInArrow(build, "shard long, n_keys long, load long, hash binary, prints binary, counts binary, firsts binary")
 
 
@@ -202,7 +202,7 @@ def repeated_keys(df: DataFrame, index: DataFrame, n_shards: int, min_chars: int
         known[known] = (counts[slot[known]] > 1) & (firsts[slot[known]] < ids[known])
         return pa.table([pa.array(ids[known]), pa.array(keys[known, 0].view(np.int64))], names=["id", "key"])
 
-    probes = df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(probe, "shard long, salt long, keys binary, ids binary")
+    probes = df.select(F.col(quoted(id_col)), F.col(quoted(text_col)).alias("text")).mapInArrow(probe, "shard long, salt long, keys binary, ids binary")
     if hot:
         copies = spark.createDataFrame(list(hot.items()), "shard long, copies long")
         index = index.join(F.broadcast(copies), "shard", "left")  # at most twice the number of partitions
@@ -221,19 +221,22 @@ def line_dedup(df: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_
     ``df`` (of those named n_lines, n_dropped or kept_text the results stand instead)
     with n_lines, n_dropped and kept_text. Null and empty texts are one empty line.
     Rows without an id keep all lines and lend none. Rows of one id are one document:
-    none of its lines is dropped for another row of it. Empty tables give no rows.
+    none of its lines is dropped for another row of it. Empty tables give no rows. Other
+    columns pass through, whatever their names.
     """
-    n_shards = shards_for(df, text_col)
-    index = written(line_index(df, min_chars, n_shards, id_col, text_col))
-    repeated = repeated_keys(df, index, n_shards, min_chars, id_col, text_col)
-    return drop_lines(df, repeated, min_chars, id_col, text_col)
+    names = fields(df, ("n_lines", "n_dropped", "kept_text"))
+    rows, (id_, text) = plain(df, names, id_col, text_col)
+    n_shards = shards_for(rows, text)
+    index = written(line_index(rows, min_chars, n_shards, id_, text))
+    repeated = repeated_keys(rows, index, n_shards, min_chars, id_, text)
+    return drop_lines(rows, repeated, min_chars, id_, text).toDF(*names, "n_lines", "n_dropped", "kept_text")
 
 
 def drop_lines(df: DataFrame, repeated: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
     """The lines of each document whose keys are among its repeated ones are dropped."""
-    names = fields(df, ("n_lines", "n_dropped", "kept_text", "_keys"))
+    names = df.columns
     keys = repeated.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("key").alias("_keys"))
-    joined = df.select(*names).join(keys.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left").select(*names, F.coalesce("_keys", F.array().cast("array<bigint>")).alias("_keys"))
+    joined = df.join(keys.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left").select(*names, F.coalesce("_keys", F.array().cast("array<bigint>")).alias("_keys"))
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

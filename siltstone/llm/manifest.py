@@ -12,15 +12,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import own_shuffle, quoted, written
+from siltstone.llm._blocks import quoted, written
+from siltstone.llm._places import placed
 
 #: Children of a parent, and characters of a digest.
 FAN_OUT, WIDTH = 8, 64
-#: monotonically_increasing_id() counts the rows of a partition in so many lower bits.
-ROW_BITS = 33
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,24 +56,6 @@ def tree_key(group: Column) -> Column:
     return F.when(group.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), group.cast("string")))
 
 
-def placed(df: DataFrame, tree: str, order: Sequence[str], n_col: str) -> DataFrame:
-    """Written rows with ``at``, their place from 0 within their tree by ``order``, and the number of rows of the tree.
-
-    Ranges of (tree, order) are sorted where they lie and counted by (tree, range), so a
-    tree with most rows is spread over all tasks. A tree has at most one count for each
-    partition.
-    """
-    ranged = df.repartitionByRange(tree, *order).sortWithinPartitions(tree, *order)
-    rows = written(ranged.withColumn("_mid", F.monotonically_increasing_id()))
-    rows = rows.withColumn("_part", F.shiftright("_mid", ROW_BITS))
-    runs = rows.groupBy(tree, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    of_tree = Window.partitionBy(tree)
-    before = F.sum("_n").over(of_tree.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.withColumn("_shift", F.coalesce(before, F.lit(0)) - F.col("_first")).withColumn(n_col, F.sum("_n").over(of_tree))
-    runs = own_shuffle(runs.select(tree, "_part", "_shift", n_col), tree, "_part")
-    return rows.join(runs, [tree, "_part"]).withColumn("at", F.col("_mid") + F.col("_shift")).drop("_mid", "_part", "_shift")
-
-
 def grown(nodes: DataFrame, most: int) -> list[DataFrame]:
     """The levels above some nodes (_tree, at, digest, n_nodes), lowest first; ``most`` is the largest tree's number of nodes.
 

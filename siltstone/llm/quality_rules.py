@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import as_list, blocks, ddl, fields, gather, row_of, texts_of, word_codes
+from siltstone.llm._blocks import as_list, blocks, ddl, fields, gather, plain, row_of, texts_of, word_codes
 
 #: Labelled documents of each kind that a fit uses at most.
 MOST_LABELLED = 1000
@@ -267,14 +267,16 @@ def quality_rules(df: DataFrame, field: Field | None, least_share: float = LEAST
     line_labels array<int> (1 content, 0 boilerplate, by line), content_share (of the
     words) and kept; they stand instead of columns of the same names. Null, empty and
     blank texts fail the base rules. Without a field every line is content. Each row is
-    judged alone, so repeated rows get equal results and empty tables none.
+    judged alone, so repeated rows get equal results and empty tables none. Other columns
+    pass through, whatever their names.
     """
     new = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "line_labels": "array<int>", "content_share": "double", "kept": "boolean"}
     names = fields(df, tuple(new))
+    rows, (text,) = plain(df, names, text_col)
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text_col, BLOCK):
+        for block in blocks(batches, text, BLOCK):
             m = measured(block.column(at))
             labels = field.labels(m) if field else np.ones(len(m.words), dtype=np.int8)
             n = m.base["n_words"]
@@ -282,9 +284,9 @@ def quality_rules(df: DataFrame, field: Field | None, least_share: float = LEAST
             failed = (n < FEWEST_WORDS) | (100 * m.base["n_repeat_words"] > MOST_REPEATED * n)
             lists = pa.ListArray.from_arrays(pa.array(m.edges, pa.int32()), pa.array(labels.astype(np.int32)))
             results = [*map(pa.array, m.base.values()), pa.array(failed), lists, pa.array(share), pa.array(~failed & (share >= least_share))]
-            yield pa.RecordBatch.from_arrays([*block.columns, *results], names=[*names, *new])
+            yield pa.RecordBatch.from_arrays([*block.columns, *results], names=[*block.schema.names, *new])
 
-    return df.select(*names).mapInArrow(run, ddl(df, names) + "".join(f", {c} {t}" for c, t in new.items()))
+    return rows.mapInArrow(run, ddl(rows, rows.columns) + "".join(f", {c} {t}" for c, t in new.items())).toDF(*names, *new)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import as_list, blocks, ddl, fields, gather, mix, opened, parts_for, release, row_of, squeezed, text_bytes, word_codes, word_hashes
+from siltstone.llm._blocks import as_list, blocks, ddl, fields, gather, mix, opened, parts_for, plain, quoted, release, row_of, squeezed, text_bytes, word_codes, word_hashes
 
 #: Words of the grams that minimisers are taken from.
 GRAM = 5
@@ -238,7 +238,7 @@ def repeated_runs(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_
     documents share spread by the words beside it.
     """
     gram = min(GRAM, window)
-    df = df.filter(F.col(id_col).isNotNull())  # rows without an id remove nothing
+    df = df.filter(F.col(quoted(id_col)).isNotNull())  # rows without an id remove nothing
     heavy = heavy_grams(df, window, gram, text_col)
     n_buckets = max(2 * parts_for(df.sparkSession), text_bytes(df, text_col) * PACKED // BUCKET_BYTES + 1)
 
@@ -258,7 +258,7 @@ def repeated_runs(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_
         rows = np.concatenate(out, axis=1) if out else np.empty((3, 0), dtype=np.int64)
         return pa.table([pa.array(x) for x in rows], names=["id", "start", "n"])
 
-    moved = df.select(F.col(id_col).cast("long"), F.col(text_col).alias("text")).mapInArrow(cut, "bucket long, packed binary, known binary")
+    moved = df.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).alias("text")).mapInArrow(cut, "bucket long, packed binary, known binary")
     return moved.groupBy("bucket").applyInArrow(count, "id long, start long, n long")
 
 
@@ -272,14 +272,22 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
     stand instead) with n_words, n_removed and kept_text, the kept words joined by
     one space. Null and empty texts have no words. Rows without an id keep theirs and
     remove none. Rows of one id are one document: what goes in one of them goes in all,
-    and neither removes words of the other from the same place.
+    and neither removes words of the other from the same place. Other columns pass
+    through, whatever their names.
     """
-    runs = repeated_runs(df, window, id_col, text_col)
-    names = fields(df, ("n_words", "n_removed", "kept_text", "_starts", "_counts"))
+    names = fields(df, ("n_words", "n_removed", "kept_text"))
+    rows, (id_, text) = plain(df, names, id_col, text_col)
+    out = without_runs(rows, repeated_runs(rows, window, id_, text), window, id_, text)
+    return out.toDF(*names, "n_words", "n_removed", "kept_text")
+
+
+def without_runs(df: DataFrame, runs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """The documents without the words of runs of windows."""
+    names = df.columns
     by_doc = runs.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
     by_doc = by_doc.select("_id", F.col("_runs.start").alias("_starts"), F.col("_runs.n").alias("_counts"))
     none = F.array().cast("array<bigint>")
-    joined = squeezed(df.select(*names), text_col).join(by_doc.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
+    joined = squeezed(df, text_col).join(by_doc.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
     joined = joined.select(*names, F.coalesce("_starts", none).alias("_starts"), F.coalesce("_counts", none).alias("_counts"))
     at = names.index(text_col)
 

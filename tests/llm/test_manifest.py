@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import manifest as M
+from siltstone.llm._places import placed
 
 COLUMNS = ("doc_id", "lang", "text")
 
@@ -72,5 +73,5 @@ def test_small_manifests(spark):
 def test_places_of_one_large_group(spark):
     """A tree over several ranges of ids is counted through."""
     df = spark.range(0, 5000, 1, 7).select(F.col("id"), F.lit("x").alias("_tree"), F.sha2(F.col("id").cast("string"), 256).alias("leaf"))
-    out = M.placed(df, "_tree", ("id", "leaf"), "n")
+    out = placed(df, "_tree", ("id", "leaf"), "n")
     assert out.filter((F.col("at") != F.col("id")) | (F.col("n") != 5000)).count() == 0

@@ -252,6 +252,27 @@ def test_perspectives(spark, monkeypatch):
     assert C.rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_hot_dialogue(spark, monkeypatch):
+    """One dialogue with most rows, with and without turn numbers; no text is sorted by perspective."""
+    monkeypatch.setattr(C, "PART_TURNS", 4)
+    monkeypatch.setattr(C, "MOST_IN_BLOCK", 16)
+    rows = [(1, i, "ab"[i % 2], f"turn {i}") for i in range(500)] + [(1, None, "a", f"none {i:03}") for i in range(90)] + [(1, 8, "c", f"again {i:03}") for i in range(70)] + [(2, 0, "a", "x"), (2, 1, "b", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = C.rotate_perspectives(df)
+    out = got.filter("conv_id = 1 AND perspective = 'b'").orderBy("part").collect()
+    order = sorted(((t is not None, t or 0, w, x) for c, t, w, x in rows if c == 1))
+    said = "".join(f"<|im_start|>{'assistant' if w == 'b' else f'user name={w}'}\n{x}<|im_end|>\n" for _, _, w, x in order)
+    assert "".join(r["rendered"] for r in out) == said
+    assert [r["part"] for r in out] == list(range(len(out))) and max(r["n_turns"] for r in out) <= 4
+    at = 0
+    for r in out:
+        assert r["start_char"] == at and all(r["rendered"][s["start"] : s["end"]].endswith("<|im_end|>") for s in r["target_spans"])
+        at += len(r["rendered"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    by_perspective = [line for line in plan.splitlines() if "Window [" in line and "perspective" in line.split("], [")[1]]
+    assert by_perspective and not any(c in line for line in by_perspective for c in ("rendered", "body", "said"))
+
+
 @pytest.mark.parametrize("name", ["op2_perspectives", "op4_warc", "op11_decontamination", "op12_collocations", "op13_manifest"])
 def test_sql(spark, duck, same, name):
     same(registry.QUERIES[name](spark, DIR), duck.sql(registry.SQL[name]))
