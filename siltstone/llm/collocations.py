@@ -2,9 +2,9 @@
 
 Texts are coded into shards. Each shard's suffix automaton counts its words and pairs;
 hashed counts of all shards, added up in buckets, tell each shard which of its words and
-pairs can be frequent enough. A deeper automaton over those alone gives the classes of
-longer phrases with their counts, which Spark adds up by phrase, so all counts that
-matter are exact and nothing rare travels as text.
+pairs can be frequent enough. A deeper automaton over those alone gives longer phrases
+with their counts, which are added up by phrase, so all counts that matter are exact
+and nothing with a rare word or pair travels as text.
 """
 
 from __future__ import annotations
@@ -134,35 +134,61 @@ def promising(shards: DataFrame, n_buckets: int, min_count: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(add, "shard long, bucket long, alive binary")
 
 
-def classes(shards: DataFrame, alive: DataFrame, n_buckets: int, longest: int) -> DataFrame:
-    """(lang, phrase, length, least, count): the states of each shard's automaton over promising words and pairs.
+def phrase_hashes(own: np.ndarray, codes: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the phrases of ``length`` words that end at some places, from those of the words."""
+    out = np.full(len(end), length, dtype=np.uint64)
+    for k in range(length - 1, -1, -1):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + own[codes[end - k]])
+    return out
 
-    A state stands for the suffixes of its phrase from ``least`` words on, which occur
-    ``count`` times in the shard each.
+
+def substrings(found: SuffixAutomaton, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ends, counts) of the substrings that an automaton's states stand for."""
+    states = list(found.states())
+    for k in range(1, longest + 1):
+        own = [(end[least <= k], count[least <= k]) for length, end, least, count in states if length >= k]
+        yield k, np.concatenate([e for e, _ in own]), np.concatenate([c for _, c in own])
+
+
+def counted(shards: DataFrame, alive: DataFrame, n_buckets: int, min_count: int, longest: int) -> DataFrame:
+    """(lang, phrase, length, f): the phrases of at least ``min_count`` occurrences in all shards.
+
+    A shard's automaton over promising words and pairs gives its phrases and counts, which
+    travel packed by bucket, a phrase once for each shard, and are added up there.
     """
 
     def grow(shard: pa.Table, bits: pa.Table) -> pa.Table:
-        columns = ([], [], [], [], [])
+        rows, packer = [], zstandard.ZstdCompressor(level=1)
         for row in shard.to_pylist():
             words, codes = opened(row["words"], row["codes"])
-            pairs = SuffixAutomaton(codes, len(words), 2).pairs()
-            keys = keys_of(words, row["lang"], *pairs)
+            keys = keys_of(words, row["lang"], *SuffixAutomaton(codes, len(words), 2).pairs())
             told = {r["bucket"]: r["alive"] for r in bits.to_pylist()}
             good = np.zeros(len(keys), dtype=bool)
             for b, at in by_bucket(keys, n_buckets):
                 good[at] = np.unpackbits(np.frombuffer(told[b], dtype=np.uint8), count=len(at)).astype(bool)
-            found = SuffixAutomaton(codes, len(words), longest, (good[: len(words)], good[len(words) :]))
-            names = pa.array(words, pa.string())
-            for length, end, least, count in found.states():
+            own, names = keys[: len(words)], pa.array(words, pa.string())
+            for length, end, count in substrings(SuffixAutomaton(codes, len(words), longest, (good[: len(words)], good[len(words) :])), longest):
                 flat = names.take(pa.array(codes[gather(end - length + 1, np.full(len(end), length))]))
-                phrase = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(len(end) + 1) * length, pa.int32()), flat), " ")
-                for column, part in zip(columns, (pa.array([row["lang"]] * len(end), pa.string()), phrase, pa.array(np.full(len(end), length)), pa.array(least), pa.array(count)), strict=True):
-                    column.append(part)
+                phrases = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(len(end) + 1) * length, pa.int32()), flat), " ")
+                for b, at in by_bucket(phrase_hashes(own, codes, end, length), n_buckets):
+                    rows.append((b, row["lang"], length, packer.compress("\n".join(phrases.take(pa.array(at)).to_pylist()).encode()), packer.compress(count[at].astype("<i8").tobytes())))
+        release()
+        types = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["bucket", "lang", "length", "phrases", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        opener, parts = zstandard.ZstdDecompressor(), []
+        for row in table.to_pylist():
+            phrases = pa.array(opener.decompress(row["phrases"]).decode().split("\n"), pa.string())
+            counts = pa.array(np.frombuffer(opener.decompress(row["counts"]), dtype="<i8"))
+            parts.append(pa.table({"lang": pa.array([row["lang"]] * len(phrases), pa.string()).dictionary_encode(), "phrase": phrases, "length": pa.array(np.full(len(phrases), row["length"])), "f": counts}))
+        whole = pa.concat_tables(parts).unify_dictionaries().group_by(["lang", "phrase", "length"]).aggregate([("f", "sum")])
+        whole = whole.filter(pc.greater_equal(whole["f_sum"], min_count))
         release()
-        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        return pa.table([pa.chunked_array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "phrase", "length", "least", "count"])
+        return pa.table({"lang": whole["lang"].cast(pa.string()), "phrase": whole["phrase"], "length": whole["length"], "f": whole["f_sum"]})
 
-    return shards.groupBy("shard").cogroup(alive.groupBy("shard")).applyInArrow(grow, "lang string, phrase string, length long, least long, count long")
+    packed = shards.groupBy("shard").cogroup(alive.groupBy("shard")).applyInArrow(grow, "bucket long, lang string, length long, phrases binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(add, "lang string, phrase string, length long, f long")
 
 
 def part(words: Column, start: Column | int, length: Column | int) -> Column:
@@ -174,10 +200,7 @@ def phrase_counts(df: DataFrame, min_count: int = 100, longest: int = 5, text_co
     """(lang, phrase, length, f) of all phrases of up to ``longest`` words with at least ``min_count`` occurrences, and (lang, n), the words of each language. Both are written."""
     shards = coded(df, text_col, lang_col)
     n_buckets = max(2 * parts_for(df.sparkSession), text_bytes(df.select(F.col(quoted(text_col)).alias("text"))) // BUCKET_TEXT + 1)
-    states = classes(shards, promising(shards, n_buckets, min_count), n_buckets, max(2, longest))
-    suffixes = F.transform(F.sequence("least", "length"), lambda k: F.struct(part(F.split("phrase", " "), F.col("length") - k + 1, k).alias("phrase"), k.alias("length")))
-    each = states.select("lang", F.explode(suffixes).alias("s"), "count").filter(F.col("s.length") <= longest)
-    counts = each.groupBy("lang", "s.phrase", "s.length").agg(F.sum("count").alias("f")).filter(F.col("f") >= min_count)
+    counts = counted(shards, promising(shards, n_buckets, min_count), n_buckets, min_count, max(2, longest)).filter(F.col("length") <= longest)
     return written(counts), written(shards.groupBy("lang").agg(F.sum("n_words").alias("n")))
 
 
