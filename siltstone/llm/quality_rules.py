@@ -1,4 +1,10 @@
-"""Quality rules: line labels from a linear-chain conditional random field decide what stays."""
+"""Quality rules: line labels from a linear-chain conditional random field decide what stays.
+
+Nobody has labelled lines, so their labels are hidden: a good document is mostly content and a bad one
+mostly boilerplate, and lines that recur among ever different neighbours all over the corpus are
+boilerplate in whatever document. The fit starts from these and then takes, in turns, the labels that
+the field itself gives and the field that those labels give.
+"""
 
 from __future__ import annotations
 
@@ -11,19 +17,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import as_list, blocks, ddl, fields, gather, plain, row_of, texts_of, word_codes
+from siltstone.llm._blocks import as_list, blocks, ddl, fields, gather, mix, plain, row_of, texts_of, word_codes, word_hashes
 
 #: Labelled documents of each kind that a fit uses at most.
 MOST_LABELLED = 1000
+#: Lines of a labelled document that a fit uses at most.
+MOST_LINES = 400
+#: A line recurs if it has at least so many different pairs of neighbours, and at least this share of the number of documents.
+FEWEST_PLACES, RECURRING = 8, 1e-3
+#: A line of so many words weighs twice as much as one of none.
+WEIGHING = 4
+#: Code points of a line that can recur.
+LEAST_LINE = 10
 #: A document stays if content lines hold at least this share of its words.
 LEAST_SHARE = 0.5
 #: Steps and rate of the fit, and the weight of its penalty.
 STEPS, RATE, PENALTY = 120, 0.2, 1e-3
+#: Rounds of labels and fit.
+ROUNDS = 3
 #: Text bytes measured at once.
 BLOCK = 2 << 20
 #: Fixed values of the rules.
 SYMBOLS, FEWEST_WORDS, MOST_REPEATED = "#*$%&|<>", 50, 50
-FEATURES = ("bias", "length", "letters", "capitals", "digits", "symbols", "marks", "sentence_end", "word_length", "distinct_words", "repeats_line", "repeated_words")
+FEATURES = ("bias", "length", "letters", "capitals", "digits", "symbols", "marks", "sentence_end", "word_length", "distinct_words", "repeats_line", "repeated_words", "recurs")
 
 
 def _classes(chars: str) -> np.ndarray:
@@ -51,7 +67,7 @@ class Measures:
     base: dict[str, np.ndarray]  # by document
     edges: np.ndarray  # lines of document i: edges[i] to edges[i + 1]
     words: np.ndarray  # by line
-    features: np.ndarray  # by line
+    features: np.ndarray  # by line, greater for lines of more words, which say more of their kind
 
 
 def sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -61,7 +77,41 @@ def sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return (total[edges[1:]] - total[edges[:-1]]).astype(np.int64)
 
 
-def measured(column: pa.Array) -> Measures:
+def line_hashes(lines: pa.Array) -> np.ndarray:
+    """A hash of each line, stripped and with A-Z in lower case; 0 for lines of fewer than LEAST_LINE code points."""
+    coded = pc.ascii_lower(pc.ascii_trim(lines, characters=" \t\n\v\f\r")).dictionary_encode()
+    hashes = word_hashes(coded.dictionary)
+    hashes[pc.less(pc.utf8_length(coded.dictionary), LEAST_LINE).to_numpy(zero_copy_only=False)] = 0
+    return hashes[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def recurring_lines(df: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The sorted hashes of the lines of ``df`` that recur among different neighbours.
+
+    Copies of a text don't make its lines recur, since those keep their neighbours. A line
+    counts if it has FEWEST_PLACES pairs of neighbours and RECURRING times as many as there
+    are documents, so there are at most 1 / RECURRING such lines for each line of an
+    average document. Places are made distinct in the tasks before they travel.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, limit=BLOCK):
+            lines, edges = as_list(pc.split_pattern(texts_of(block.column(0)), "\n"))
+            own = line_hashes(lines)
+            before, after = np.append(np.uint64(1), own[:-1]), np.append(own[1:], np.uint64(1))
+            full = np.diff(edges) > 0
+            before[edges[:-1][full]] = after[edges[1:][full] - 1] = 1
+            found = own != 0
+            places = np.unique(np.stack([own[found], mix(before[found] + mix(after[found]))], axis=1).view(np.int64), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(places[:, 0]), pa.array(places[:, 1])], names=["line", "place"])
+
+    least = max(FEWEST_PLACES, int(RECURRING * df.count()))
+    places = df.select(F.col(text_col).alias("text")).mapInArrow(run, "line long, place long").distinct()
+    found = places.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("line")
+    return np.sort(np.array([r["line"] for r in found.collect()], dtype=np.int64).view(np.uint64))
+
+
+def measured(column: pa.Array, recurring: np.ndarray | None = None) -> Measures:
     """The measures of whole texts; null counts as empty, which is one line without words."""
     texts = texts_of(column)
     lines, edges = as_list(pc.split_pattern(texts, "\n"))
@@ -124,9 +174,10 @@ def measured(column: pa.Array) -> Measures:
             1 - sums(twice, offsets) / many,
             again,
             sums(repeated, offsets) / many,
+            np.zeros(len(lines)) if recurring is None or not len(recurring) else np.isin(line_hashes(lines), recurring),
         ],
         axis=1,
-    ).astype(np.float64)
+    ).astype(np.float64) * (1 + np.log2(1 + per_line / WEIGHING))[:, None]
     base = {
         "n_words": n_words,
         "word_chars": sums(line_chars_in_words, edges),
@@ -198,10 +249,11 @@ def marginals(scores: np.ndarray, edges: np.ndarray, turn: np.ndarray) -> tuple[
 
 @dataclass
 class Field:
-    """A fitted field: weights (features x 2) and turns (2 x 2)."""
+    """A fitted field: weights (features x 2), turns (2 x 2), and the hashes of the lines that recur."""
 
     weights: np.ndarray
     turn: np.ndarray
+    recurring: np.ndarray | None = None
 
     def labels(self, m: Measures) -> np.ndarray:
         """1 for content lines."""
@@ -228,13 +280,37 @@ def fit(features: np.ndarray, edges: np.ndarray, labels: np.ndarray) -> Field:
     return Field(weights, turn)
 
 
+def fit_hidden(features: np.ndarray, edges: np.ndarray, words: np.ndarray, quality: np.ndarray) -> Field:
+    """A field fitted to lines whose labels are hidden, from the quality of their documents.
+
+    Lines start with the label of their document, recurring ones as boilerplate. In each
+    of ROUNDS rounds a field is fitted, and lines take the labels that it finds likely,
+    as long as their document still has most of its words in lines of its own kind;
+    recurring lines stay boilerplate.
+    """
+    recurs = features[:, FEATURES.index("recurs")] > 0
+    of = row_of(edges)
+    start = np.where(recurs, 0, quality[of])
+    labels = start
+    for _ in range(ROUNDS):
+        field = fit(features, edges, labels)
+        single, _ = marginals(features @ field.weights, edges, field.turn)
+        new = np.where(recurs, 0, single[:, 1] > 0.5).astype(np.int64)
+        own = np.bincount(of, weights=words * (new == quality[of]), minlength=len(quality))
+        all_ = np.bincount(of, weights=words, minlength=len(quality))
+        labels = np.where((2 * own > all_)[of], new, start)
+    return fit(features, edges, labels)
+
+
 def fit_field(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
     """The field fitted to the lines of labelled documents; None without documents of both kinds.
 
     ``labels`` has (id_col, quality 0/1). At most ``most`` documents of each kind count,
-    the first by a hash of the id; lines take the label of their document. Tasks turn
-    texts to features, so the driver gets a few numbers for each line.
+    the first by a hash of the id, and MOST_LINES lines of each. Their lines'
+    labels are hidden (fit_hidden()). Tasks turn texts to features, so the driver gets a
+    few numbers for each of these lines.
     """
+    recurring = recurring_lines(docs, text_col)
     known = labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").cast("long").alias("quality"))
     known = known.join(docs.filter(F.col(text_col).isNotNull()).select(id_col).distinct(), id_col, "left_semi")
     parts = [known.filter(F.col("quality") == q).orderBy(F.xxhash64(id_col), id_col).limit(most) for q in (0, 1)]
@@ -243,11 +319,12 @@ def fit_field(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, limit=BLOCK):
-            m = measured(block.column(0))
+            m = measured(block.column(0), recurring)
             out = []
             for i in range(block.num_rows):
                 own = slice(m.edges[i], m.edges[i + 1])
-                out.append(m.features[own][m.words[own] > 0].astype("<f4").tobytes())
+                used = np.flatnonzero(m.words[own] > 0)[:MOST_LINES] + m.edges[i]
+                out.append(np.column_stack([m.features[used], m.words[used]]).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([block.column(2), block.column(1), pa.array(out, pa.binary())], names=["id", "quality", "features"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -255,9 +332,11 @@ def fit_field(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_
     rows = sorted((r for r in rows if r["features"]), key=lambda r: (r["id"], bytes(r["features"])))
     if len({r["quality"] for r in rows}) < 2:
         return None
-    matrices = [np.frombuffer(r["features"], dtype="<f4").reshape(-1, len(FEATURES)).astype(np.float64) for r in rows]
+    matrices = [np.frombuffer(r["features"], dtype="<f4").reshape(-1, len(FEATURES) + 1).astype(np.float64) for r in rows]
     edges = np.cumsum([0, *map(len, matrices)])
-    return fit(np.concatenate(matrices), edges, np.repeat([r["quality"] for r in rows], np.diff(edges)))
+    lines = np.concatenate(matrices)
+    field = fit_hidden(lines[:, :-1], edges, lines[:, -1], np.array([r["quality"] for r in rows]))
+    return Field(field.weights, field.turn, recurring)
 
 
 def quality_rules(df: DataFrame, field: Field | None, least_share: float = LEAST_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +356,7 @@ def quality_rules(df: DataFrame, field: Field | None, least_share: float = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text, BLOCK):
-            m = measured(block.column(at))
+            m = measured(block.column(at), field.recurring if field else None)
             labels = field.labels(m) if field else np.ones(len(m.words), dtype=np.int8)
             n = m.base["n_words"]
             share = sums(m.words * labels, m.edges) / np.maximum(n, 1)

@@ -80,6 +80,31 @@ def test_field_on_held_out(spark):
     assert Q.fit_field(docs, labels.limit(0)) is None
 
 
+def test_line_labels_within_documents(spark):
+    """Lines planted in good documents among ever new neighbours are boilerplate, the lines beside them content."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    planted = "Share this page, sign in or see our terms"
+    good = labels.filter("quality = 1").select("doc_id")
+    rows = docs.join(good, "doc_id", "left_semi").filter("size(split(text, '\\n')) >= 4 AND doc_id % 3 = 0")
+    cut = F.split("text", "\n")
+    text = F.array_join(F.concat(F.slice(cut, 1, 2), F.array(F.lit(planted)), F.slice(cut, F.lit(3), F.size(cut))), "\n")
+    changed = docs.join(rows.select("doc_id", text.alias("new")), "doc_id", "left").withColumn("text", F.coalesce("new", "text")).drop("new")
+    out = Q.quality_rules(changed, Q.fit_field(changed, labels)).filter(F.contains("text", F.lit(planted)) & ~F.col("base_failed")).collect()
+    assert len(out) > 30
+    lines = [(x, y, len(words(x))) for r in out for x, y in zip(r["text"].split("\n"), r["line_labels"], strict=True)]
+    assert np.mean([y == 0 for x, y, _ in lines if x == planted]) > 0.95
+    assert np.mean([y == 1 for x, y, n in lines if x != planted and n > 15]) > 0.95
+    mixed = [r["content_share"] for r in Q.quality_rules(docs, Q.fit_field(docs, labels)).filter(~F.col("base_failed")).collect() if len(set(r["line_labels"])) > 1]
+    assert len(mixed) > 100 and min(mixed) > 0 and max(mixed) < 1
+
+
+def test_copies_do_not_recur(spark):
+    same = [(i, "a line of many copies\nand another one beside it") for i in range(50)]
+    apart = [(100 + i, f"first words of {i}\nA LINE that stands among others \nlast words of {i}") for i in range(50)]
+    found = Q.recurring_lines(spark.createDataFrame([*same, *apart, (200, None), (201, "")], "doc_id long, text string"))
+    assert found.tolist() == Q.line_hashes(pa.array(["a line that stands among others"])).tolist()
+
+
 def pages(spark):
     html = ["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "é" * 5000, "<p>a</p>"]
     return spark.createDataFrame([(i * 2, f"http://x/{i}\r\nX: y" if i != 1 else None, h, "clash") for i, h in enumerate(html)], "page_id long, url string, html string, payload string")
