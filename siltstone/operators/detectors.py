@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,12 +80,12 @@ def old_installers(inv: DataFrame, now: float, days: int = R.INSTALLER_AGE_DAYS)
     return _raw(rows.filter((F.lit(now) - F.col("mtime")) / R.DAY >= days), "old_installers", "old_installer", 6)
 
 
+ARCHIVE = f"(?is)^(.*?)(?:{'|'.join(map(re.escape, R.ARCHIVE_SUFFIXES))})$"
+
+
 def archive_stem(name: Column) -> Column:
     """The name without its archive suffix; null for other files."""
-    low, out = F.lower(name), F.lit(None).cast("string")
-    for suffix in reversed(R.ARCHIVE_SUFFIXES):
-        out = F.when(low.endswith(suffix), F.left(name, F.length(name) - len(suffix))).otherwise(out)
-    return out
+    return F.when(F.rlike(name, F.lit(ARCHIVE)), F.regexp_extract(name, ARCHIVE, 1))
 
 
 def archive_pairs(inv: DataFrame, ratio: float = R.ARCHIVE_RATIO) -> DataFrame:
@@ -95,7 +97,7 @@ def archive_pairs(inv: DataFrame, ratio: float = R.ARCHIVE_RATIO) -> DataFrame:
     step = (2 - ratio) / ratio * 1.01
     size_class = lambda name: F.floor(F.log(F.length(name).cast("double")) / math.log(step)).cast("int")
     archives = inv.filter(~F.col("is_dir")).select("path", "parent", archive_stem(F.col("name")).alias("stem")).filter("stem <> ''")
-    archives = archives.withColumn("cls", F.explode(F.array(*(size_class(F.col("stem")) + k for k in (-1, 0, 1)))))
+    archives = archives.withColumn("cls", F.explode(F.transform(F.array(size_class(F.col("stem"))), lambda c: F.sequence(c - 1, c + 1))[0]))
     dirs = inv.filter("is_dir").select("parent", F.col("name").alias("sibling"), size_class(F.col("name")).alias("cls"))
     both = archives.join(dirs, ["parent", "cls"])
     la, lb = F.length("stem"), F.length("sibling")
@@ -116,6 +118,21 @@ def large_logs(inv: DataFrame, now: float, least: int = R.LOG_BYTES, days: int =
     return _raw(inv.filter(~F.col("is_dir") & (F.col("size") >= least) & log & ((F.lit(now) - F.col("mtime")) / R.DAY >= days)), "large_logs", "large_log", 8)
 
 
+def run_all(inv: DataFrame, now: float, package_globs: tuple[str, ...], model_globs: tuple[str, ...], cache_globs: tuple[str, ...], temp_globs: tuple[str, ...], dump_globs: tuple[str, ...], model_exts: tuple[str, ...] = R.MODEL_EXTENSIONS, log_bytes: int = R.LOG_BYTES) -> DataFrame:
+    """The raw candidates of all detectors in their fixed order; ``ordinal`` says which comes first."""
+    found = (
+        dev_artifacts(inv),
+        package_caches(inv, package_globs),
+        model_caches(inv, model_globs, model_exts),
+        temp_and_browser_caches(inv, cache_globs, temp_globs, now),
+        crash_dumps(inv, dump_globs),
+        old_installers(inv, now),
+        archive_pairs(inv),
+        large_logs(inv, now, log_bytes),
+    )
+    return reduce(DataFrame.unionByName, found)
+
+
 def first_wins(raw: DataFrame) -> DataFrame:
     """One row per path: the one of the earliest detector."""
     order = Window.partitionBy("path").orderBy("ordinal", "category")
@@ -161,13 +178,18 @@ def assembled(raw: DataFrame, inv: DataFrame, mode: str = "power") -> DataFrame:
 
 
 def link_aware(candidates: DataFrame, inv: DataFrame) -> DataFrame:
-    """(path, freeable_bytes) of directory candidates: what their files free once links are resolved."""
+    """(path, freeable_bytes) of directory candidates: what their files free once links are resolved.
+
+    Files of one link are added up; only those of several meet by file within a directory.
+    """
     dirs = candidates.filter("is_dir").select(F.col("path").alias("root"))
     members = inv.filter(~F.col("is_dir") & ~F.col("is_cloud_placeholder"))
     under = members.withColumn("root", F.explode(P.proper_ancestors(F.col("path")))).join(dirs, "root", "left_semi")
-    group = Window.partitionBy("root", "dev", "ino")
     lost = F.col("nlink").isNull() | F.col("is_reparse_point")
-    w = under.withColumn("_n", F.count(F.lit(1)).over(group)).withColumn("_r", F.row_number().over(group.orderBy("path")))
-    free = F.when(lost, F.lit(0)).when(F.col("nlink") <= 1, F.col("size")).when((F.col("_n") >= F.col("nlink")) & (F.col("_r") == 1), F.col("size")).otherwise(F.lit(0))
-    sums = w.groupBy("root").agg(F.sum(free).cast("long").alias("freeable_bytes"))
+    unknown = (F.col("dev") == 0) & (F.col("ino") == 0)
+    one = under.filter(~lost & (F.col("nlink") <= 1)).groupBy("root").agg(F.sum("size").alias("bytes"))
+    files = under.filter((F.col("nlink") > 1) & ~unknown).groupBy("root", "dev", "ino")
+    files = files.agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("size", "nlink", lost.alias("lost")), "path").alias("f"))
+    several = files.filter(~F.col("f.lost") & (F.col("n") >= F.col("f.nlink"))).groupBy("root").agg(F.sum("f.size").alias("bytes"))
+    sums = one.unionByName(several).groupBy("root").agg(F.sum("bytes").cast("long").alias("freeable_bytes"))
     return dirs.join(sums, "root", "left").select(F.col("root").alias("path"), F.coalesce("freeable_bytes", F.lit(0)).alias("freeable_bytes"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import paths as P
@@ -80,8 +80,8 @@ def with_keep(members: DataFrame) -> DataFrame:
 def candidates(kept: DataFrame, enabled: bool = True, mode: str = "power") -> DataFrame:
     """Duplicates to remove: whole clusters go if any member that isn't kept is blocked."""
     rows = S.with_verdict(kept.filter(~F.col("is_keep")))
-    veto = Window.partitionBy("size", "full_hash")
-    rows = rows.withColumn("_blocked", F.max((F.col("verdict") == S.BLOCKED).cast("int")).over(veto)).filter("_blocked = 0")
+    vetoed = rows.filter(F.col("verdict") == S.BLOCKED).select("size", "full_hash").distinct()
+    rows = rows.join(vetoed, ["size", "full_hash"], "left_anti")
     tier = F.when(F.lit(mode == "safe") | (F.col("verdict") == S.REVIEW) | F.col("needs_review") | F.lit(not enabled), "B").otherwise("A")
     return rows.select("path", "keep_path", "full_hash", "size", "verdict", "needs_review", tier.alias("tier"), *(c for c in ("dev", "ino", "nlink", "is_reparse_point") if c in rows.columns))
 

@@ -115,15 +115,22 @@ def freeable(rows: DataFrame, order: Column) -> DataFrame:
     """Rows with freeable_bytes and resolved: what deleting them all gives back.
 
     One link or fewer frees the size; a reparse point or missing link count frees
-    nothing and is unresolved; of several links, the first row of the group frees the
-    size if the rows hold all links, else none does.
+    nothing and is unresolved; of several links, the first row of the file frees the
+    size if the rows hold all links, else none does. Only rows of several links meet by
+    file; such a row whose file isn't known (no dev and ino, or 0 for both) is unresolved.
     """
-    group = Window.partitionBy("dev", "ino")
-    w = rows.withColumn("_n", F.count(F.lit(1)).over(group)).withColumn("_r", F.row_number().over(group.orderBy(order)))
-    lost = F.col("nlink").isNull() | F.col("is_reparse_point")
-    first = (F.col("_n") >= F.col("nlink")) & (F.col("_r") == 1)
-    bytes_ = F.when(lost, F.lit(0)).when(F.col("nlink") <= 1, F.col("size")).when(first, F.col("size")).otherwise(F.lit(0))
-    return w.withColumn("freeable_bytes", bytes_.cast("long")).withColumn("resolved", ~lost).drop("_n", "_r")
+    unknown = F.col("dev").isNull() | F.col("ino").isNull() | ((F.col("dev") == 0) & (F.col("ino") == 0))
+    several = F.coalesce(F.col("nlink") > 1, F.lit(False))
+    linked = rows.filter(several & ~unknown).withColumn("_o", order)
+    groups = linked.groupBy("dev", "ino").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
+    groups = groups.select((F.col("dev") + F.lit(0)).alias("dev"), (F.col("ino") + F.lit(0)).alias("ino"), "_n", "_first")  # a shuffle of its own for the join
+    lost = F.col("is_reparse_point") | F.col("nlink").isNull()
+    first = ~lost & (F.col("_n") >= F.col("nlink")) & (F.col("_o") == F.col("_first"))
+    met = linked.join(groups, ["dev", "ino"]).withColumn("freeable_bytes", F.when(first, F.col("size")).otherwise(F.lit(0)).cast("long")).withColumn("resolved", ~lost)
+    alone = rows.filter(~several | unknown).withColumn("resolved", ~lost & ~several)
+    alone = alone.withColumn("freeable_bytes", F.when(F.col("resolved"), F.col("size")).otherwise(F.lit(0)).cast("long"))
+    names = [*rows.columns, "freeable_bytes", "resolved"]
+    return alone.select(*names).unionByName(met.select(*names))
 
 
 def nearest_marker(paths: DataFrame, markers: DataFrame) -> DataFrame:

@@ -68,11 +68,11 @@ SQL["safety_verdict"] = f"""{INV}, v AS (SELECT path, {reason(True, "path GLOB '
 SQL["safety_reason_counts"] = f"{INV}, v AS (SELECT {reason(False)} AS reason_code FROM inv) SELECT {VERDICT} AS verdict, reason_code, count(*) AS n FROM v GROUP BY ALL"
 DETECT = f"""{INV},
 d1 AS (SELECT path, 'dev_artifacts' AS category_group, 'dev_artifact_node_modules' AS category, 1 AS ordinal FROM inv d WHERE is_dir AND name = 'node_modules' AND EXISTS (SELECT 1 FROM inv m WHERE m.parent = d.parent AND m.name = 'package.json' AND NOT m.is_dir)),
-d2 AS (SELECT path, 'package_caches' AS category_group, 'package_cache' AS category, 2 AS ordinal FROM inv WHERE is_dir AND path LIKE '/src1/%/projects/%'),
-d3 AS (SELECT path, 'model_caches' AS category_group, 'model_cache' AS category, 3 AS ordinal FROM inv WHERE (is_dir AND path LIKE '/src4/%/downloads') OR (NOT is_dir AND ext = '.zip' AND path LIKE '/src4/%/downloads/%')),
-d4 AS (SELECT path, 'temp_and_browser_caches' AS category_group, 'browser_cache' AS category, 4 AS ordinal FROM inv WHERE path LIKE '/src5/%/logs' UNION ALL
+d2 AS (SELECT path, 'package_caches' AS category_group, 'package_cache' AS category, 2 AS ordinal FROM inv WHERE is_dir AND (path LIKE '/src12/%/projects/p1_' OR path LIKE '/src15/%/projects/%')),
+d3 AS (SELECT path, 'model_caches' AS category_group, 'model_cache' AS category, 3 AS ordinal FROM inv WHERE (is_dir AND path LIKE '/src18/%/downloads') OR (NOT is_dir AND ext = '.zip' AND path LIKE '/src18/%/downloads/%')),
+d4 AS (SELECT path, 'temp_and_browser_caches' AS category_group, 'browser_cache' AS category, 4 AS ordinal FROM inv WHERE path LIKE '/src11/%/logs' UNION ALL
   SELECT path, 'temp_and_browser_caches', 'temp_file', 4 FROM inv WHERE parent IN (SELECT path FROM inv WHERE is_dir AND path LIKE '/%/temp') AND (1700000000.0 - mtime) / 3600 >= 168),
-d5 AS (SELECT path, 'crash_dumps' AS category_group, 'crash_dump' AS category, 5 AS ordinal FROM inv WHERE NOT is_dir AND ext = '.dmp' UNION ALL SELECT path, 'crash_dumps', 'crash_dump', 5 FROM inv WHERE parent IN (SELECT path FROM inv WHERE is_dir AND path LIKE '/src6/%/keys')),
+d5 AS (SELECT path, 'crash_dumps' AS category_group, 'crash_dump' AS category, 5 AS ordinal FROM inv WHERE NOT is_dir AND ext = '.dmp' UNION ALL SELECT path, 'crash_dumps', 'crash_dump', 5 FROM inv WHERE parent IN (SELECT path FROM inv WHERE is_dir AND path LIKE '/src19/%/keys')),
 d6 AS (SELECT path, 'old_installers' AS category_group, 'old_installer' AS category, 6 AS ordinal FROM inv WHERE ext IN ('.exe', '.msi', '.iso') AND path LIKE '%/downloads/%' AND (1700000000.0 - mtime) / 86400 >= 90),
 d8 AS (SELECT path, 'large_logs' AS category_group, 'large_log' AS category, 8 AS ordinal FROM inv WHERE NOT is_dir AND size >= 1000000 AND (ext = '.log' OR contains(lower(name), 'log')) AND (1700000000.0 - mtime) / 86400 >= 30),
 raw AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4 UNION ALL SELECT * FROM d5 UNION ALL SELECT * FROM d6 UNION ALL SELECT * FROM d8),
@@ -83,6 +83,12 @@ for k, name in enumerate(("dev_artifacts", "package_caches", "model_caches", "te
     SQL[f"det_{name}"] = f"{DETECT} SELECT path, category_group, category, ordinal FROM d{k}"
 SQL["det_large_logs"] = f"{DETECT} SELECT path, category_group, category, ordinal FROM d8"
 SQL["cand_first_wins"] = f"{DETECT} SELECT path, category_group, category FROM wins"
+# unpacked directories are named like their archive with an x behind, or with old- before: only the first come near enough, by 2n / (2n + 1)
+UNPACKED = DETECT.replace("raw AS (", """z AS (SELECT *, regexp_replace(name, '\\.zip$', '') AS stem FROM inv WHERE ext = '.zip' AND file_id % 3 = 0),
+x AS (SELECT *, CASE WHEN file_id % 2 = 0 THEN stem || 'x' ELSE 'old-' || stem END AS made FROM z),
+d7 AS (SELECT i.path, 'archive_pairs' AS category_group, 'archive_pair' AS category, 7 AS ordinal FROM inv i WHERE ext = '.zip' AND EXISTS (SELECT 1 FROM x WHERE x.parent = i.parent AND x.made = regexp_replace(i.name, '\\.zip$', 'x'))),
+raw AS (SELECT * FROM d7 UNION ALL """)
+SQL["cand_all_detectors"] = f"{UNPACKED} SELECT path, category_group, category FROM wins"
 SQL["cand_nested_drop"] = f"{DETECT} SELECT path, category_group FROM kept"
 CANDS = f"""{DETECT},
 v AS (SELECT k.path, i.is_dir, k.category_group, k.category, CASE WHEN i.is_dir THEN coalesce((SELECT sum(size) FROM inv f WHERE NOT f.is_dir AND starts_with(f.path, i.path || '/')), 0) ELSE i.size END::BIGINT AS size_bytes,

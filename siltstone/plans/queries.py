@@ -195,7 +195,7 @@ def det_dev_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return D.dev_artifacts(inventory(spark, d))
 
 
-PACKAGE_GLOBS, MODEL_GLOBS, TEMP_GLOBS, CACHE_GLOBS, DUMP_GLOBS = ("/src1/*/projects/p1?", "/src1/*/projects/*"), ("/src4/*/downloads",), ("/*/temp",), ("/src5/*/logs",), ("/src6/*/keys",)
+PACKAGE_GLOBS, MODEL_GLOBS, TEMP_GLOBS, CACHE_GLOBS, DUMP_GLOBS = ("/src12/*/projects/p1?", "/src15/*/projects/*"), ("/src18/*/downloads",), ("/*/temp",), ("/src11/*/logs",), ("/src19/*/keys",)
 
 
 @query
@@ -242,18 +242,13 @@ def det_archive_pairs(spark: SparkSession, d: str) -> DataFrame:
     return D.archive_pairs(_with_extracted(spark, d))
 
 
+def _detected(inv: DataFrame) -> DataFrame:
+    return D.run_all(inv, NOW, PACKAGE_GLOBS, MODEL_GLOBS, CACHE_GLOBS, TEMP_GLOBS, DUMP_GLOBS, (".zip",), 1_000_000)
+
+
 def _raw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     inv = written(inventory(spark, d))  # every detector reads it
-    raw = D.dev_artifacts(inv)
-    for more in (
-        D.package_caches(inv, PACKAGE_GLOBS),
-        D.model_caches(inv, MODEL_GLOBS, (".zip",)),
-        D.temp_and_browser_caches(inv, CACHE_GLOBS, TEMP_GLOBS, NOW),
-        D.crash_dumps(inv, DUMP_GLOBS),
-        D.old_installers(inv, NOW),
-        D.large_logs(inv, NOW, 1_000_000),
-    ):
-        raw = raw.unionByName(more)
+    raw = _detected(inv)
     return inv, raw
 
 
@@ -262,6 +257,12 @@ def cand_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return D.first_wins(_raw(spark, d)[1]).select("path", "category_group", "category")
 
 
+@query
+def cand_all_detectors(spark: SparkSession, d: str) -> DataFrame:
+    """What each of the eight detectors is first to find, over an inventory with unpacked archives."""
+    return D.first_wins(_detected(written(_with_extracted(spark, d)))).select("path", "category_group", "category")
+
+
 @query
 def cand_nested_drop(spark: SparkSession, d: str) -> DataFrame:
     inv, raw = _raw(spark, d)

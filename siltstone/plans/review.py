@@ -178,10 +178,12 @@ def label_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def event_log_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """The event log in two appends, the later lines without the newer fields, read back with defaults."""
+    """The event log in two batches, one tried twice, the later lines without the newer fields, and lines cut short, read back with defaults."""
     e, path = Q._events(spark, d).drop("rebuildable"), scratch(spark)
-    L.append_events(e.filter("seq % 2 = 0"), path)
-    L.append_events(e.filter("seq % 2 = 1").drop("phase", "operation", "restored", "purged"), path)
+    L.append_events(e.filter("seq % 2 = 0"), path, "even")
+    L.append_events(e.filter("seq % 2 = 1").drop("phase", "operation", "restored", "purged"), path, "odd")
+    L.append_events(e.filter("seq % 2 = 0"), path, "even")
+    e.select(F.substring(F.to_json(F.struct("seq", "batch_id", "original_path")), 1, 30)).write.mode("append").text(f"{path}/sink_batch=cut")
     back = L.read_events(spark, path)
     return back.groupBy("phase", "operation", "schema_version").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"), F.sum(F.col("restored").cast("long")).alias("n_restored"))
 

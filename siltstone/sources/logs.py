@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 EVENTS = (
     "seq long, batch_id string, original_path string, size_bytes long, is_dir boolean, category string, method string, vault_path string, "
@@ -18,14 +19,37 @@ def with_defaults(events: DataFrame) -> DataFrame:
     return events.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULTS.items() if c in events.columns})
 
 
+def read_event_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The events of a log and its malformed lines (``value``), which are no events.
+
+    Blank lines are skipped, unknown fields ignored, missing ones of older lines filled in.
+    """
+    good, bad = parsed(spark.read.option("recursiveFileLookup", "true").text(path), EVENTS)
+    return with_defaults(good), bad
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """An event log; blank lines are skipped, unknown fields ignored."""
-    return with_defaults(spark.read.schema(EVENTS).json(path))
+    """The events of a log, without its malformed lines."""
+    return read_event_log(spark, path)[0]
+
+
+def append_events(events: DataFrame, path: str, batch: str | None = None) -> None:
+    """Events added to a log folder.
+
+    A batch with an id has a folder of its own, which writing the same batch again
+    replaces, so a rerun adds nothing twice.
+    """
+    if batch is None:
+        events.write.mode("append").json(path)
+    else:
+        named = events.withColumn("sink_batch", F.lit(batch))
+        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sink_batch").json(path)
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Events added to a log folder."""
-    events.write.mode("append").json(path)
+def append_stream(events: DataFrame, path: str, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """A stream of events into a log folder, each micro-batch once, however often it is tried."""
+    add = lambda batch, number: append_events(batch, path, f"{name}-{number}")
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def parsed(lines: DataFrame, schema: str, column: str = "value") -> tuple[DataFrame, DataFrame]:

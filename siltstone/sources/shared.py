@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared folder of ``spark.checkpoint.dir``.
 
-    Only where the setting is absent, as in tests, it is one of this machine.
+    Where the setting is absent, a session of one machine, as in tests, uses one of that
+    machine; a cluster has no folder that all its executors see, which is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else "file:/tmp/siltstone-checkpoints"
+        base = known.get() if known.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file:/tmp/siltstone-checkpoints"
     return f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
 
 

@@ -23,6 +23,11 @@ def test_all_links_have_freeable_bytes(spark):
     assert {"tmp", "zip", "exe", "log"} <= kinds
 
 
+@pytest.mark.parametrize("name", sorted(n for n in catalogue.QUERIES if n.startswith("det_")))
+def test_detectors_find_something(spark, name):
+    assert not catalogue.QUERIES[name](spark, DIR).isEmpty()
+
+
 def test_sql_has_queries():
     assert set(catalogue.SQL) <= set(catalogue.QUERIES)
 

@@ -94,6 +94,8 @@ def test_links(spark):
     df = spark.createDataFrame([(*r, 10) for r in rows], "path string, dev long, ino long, nlink int, is_reparse_point boolean, size long")
     out = {r["path"]: (r["freeable_bytes"], r["resolved"]) for r in I.freeable(df, F.col("path")).collect()}
     assert out == {"/a": (10, True), "/b": (0, True), "/c": (0, True), "/d": (10, True), "/e": (0, False), "/f": (0, False)}
+    lost = spark.createDataFrame([("/a", 0, 0, 2, False, 10), ("/b", 0, 0, 2, False, 10), ("/c", 0, 0, 1, False, 7), ("/d", None, 3, 2, False, 7)], df.schema)
+    assert {r["path"]: (r["freeable_bytes"], r["resolved"]) for r in I.freeable(lost, F.col("path")).collect()} == {"/a": (0, False), "/b": (0, False), "/c": (7, True), "/d": (0, False)}
 
 
 def test_nested(spark):
@@ -128,6 +130,13 @@ def test_log_source(spark, tmp_path):
     L.append_events(spark.createDataFrame([(3, "c")], "seq long, batch_id string"), str(tmp_path / "out"))
     L.append_events(spark.createDataFrame([(4, "c")], "seq long, batch_id string"), str(tmp_path / "out"))
     assert L.read_events(spark, str(tmp_path / "out")).count() == 2
+    (tmp_path / "cut.json").write_text('{"seq": 1, "batch_id": "b"}\n{"seq": 2, "batch_id": "b", "original_pa\nnull\n[1]\n{"seq": "x"}\n')
+    rows, bad = L.read_event_log(spark, str(tmp_path / "cut.json"))
+    assert [r["seq"] for r in rows.collect()] == [1] and bad.count() == 4
+    one = spark.createDataFrame([(5, "d"), (6, "d")], "seq long, batch_id string")
+    for batch in ("a", "b", "a"):
+        L.append_events(one, str(tmp_path / "once"), batch)
+    assert sorted(r["seq"] for r in L.read_events(spark, str(tmp_path / "once")).collect()) == [5, 5, 6, 6]
     good, bad = L.parsed(spark.createDataFrame([('{"a": 1}',), ("{bad",), (" ",)], "value string"), "a int")
     assert (good.count(), bad.count()) == (1, 1)
     (tmp_path / "v.tsv").write_text("﻿/a\t/v/a\t5\nbroken\n/b\t/v/b\tx\n")
