@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from siltstone.functions import paths as P
 from siltstone.functions import scalars as S
 from siltstone.operators import eventlog as E
+from siltstone.operators import groups as GR
 from siltstone.operators import inventory as I
 from siltstone.operators import report as T
 from siltstone.operators import review as V
 from siltstone.operators import rules as R
 from siltstone.operators import safety as Y
 from siltstone.operators import similarity as N
+from siltstone.operators import tracks as A
 from siltstone.plans import queries as Q
 from siltstone.sources import files as X
 from siltstone.sources import logs as L
@@ -438,3 +440,57 @@ def log_of_batch(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stat_cache(spark: SparkSession, d: str) -> DataFrame:
     return I.subtree(Q.inventory(spark, d), "/src2/de").filter(~F.col("is_dir")).select("path", "size", "mtime")
+
+
+# ---- all tracks over one inventory ----
+
+
+def _media(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as images and texts as documents of one inventory, with even and odd ids."""
+    i, name = F.col("vec_id"), F.when(F.col("vec_id") % 3 == 0, "Screenshot_").otherwise("photo_")
+    images = table(spark, d, "embeddings").select(
+        (i * 2).alias("id"), F.concat(F.lit("/pics/"), F.col("label").cast("string"), F.lit("/"), name, i.cast("string"), F.when(i % 5 == 0, ".jpg").otherwise(".PNG")).alias("path"),
+        F.when(i % 41 == 0, 50_000_000).otherwise((i % 7 + 1) * 1000).cast("long").alias("size"), (i * 37 % 5000).cast("double").alias("mtime"), (F.col("label") * 100 + 800).cast("int").alias("width"), F.lit(600).alias("height"),
+        F.when(i % 29 != 0, Q._wide_hash()).alias("hash"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"), F.lit(None).cast("string").alias("text"),
+    )
+    k = F.col("doc_id")
+    stem = F.concat(F.when(k % 4 == 0, F.concat(F.lit("plan_v"), (k % 9).cast("string"), F.lit("_"))).otherwise(F.lit("note_")), k.cast("string"))
+    letters = _letters(spark, d).withColumnRenamed("id", "doc_id")
+    texts = table(spark, d, "documents").join(letters, "doc_id").select(
+        (k * 2 + 1).alias("id"), F.concat(F.lit("/docs/"), stem, F.lit(".txt")).alias("path"), F.when(k % 53 == 0, 50_000_000).otherwise(F.col("n_chars")).cast("long").alias("size"), F.lit(0.0).alias("mtime"),
+        F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("long").alias("hash"), F.col("v").alias("vector"), "text",
+    )
+    return written(images.unionByName(texts))
+
+
+def _analysis(spark: SparkSession, d: str) -> tuple[DataFrame, A.Analysis]:
+    inv = _media(spark, d)
+    return inv, A.analysis(inv, vector=0.35, text=0.99)
+
+
+@query
+def analysis_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """The state of each of the six tracks over one inventory, and the files left out."""
+    a = _analysis(spark, d)[1]
+    states = a.states.select("track", "state", F.col("reason").isNotNull().alias("has_reason"), "n_considered", "n_members", "n_clusters")
+    none = F.lit(0).cast("long")
+    return states.unionByName(a.left_out.select(F.concat(F.lit("too large: "), "kind").alias("track"), F.lit("left out").alias("state"), F.lit(True).alias("has_reason"), F.col("n").alias("n_considered"), none.alias("n_members"), none.alias("n_clusters")))
+
+
+@query
+def analysis_members(spark: SparkSession, d: str) -> DataFrame:
+    """The members of all clusters of all tracks with their scores; images claimed by one track aren't in the next."""
+    return _analysis(spark, d)[1].members.withColumn("raw_score", F.round("raw_score", 5))
+
+
+@query
+def analysis_order(spark: SparkSession, d: str) -> DataFrame:
+    """All clusters of an analysis in the order without a model."""
+    inv, a = _analysis(spark, d)
+    return A.in_order(a.members, inv)
+
+
+@query
+def emb_groups_all(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of vectors by all links of a likeness, however many copies are near."""
+    return GR.threshold_groups(table(spark, d, "embeddings"), 0.35).select("id", "group", F.round("distance", 5).alias("distance"))

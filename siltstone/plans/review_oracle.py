@@ -136,3 +136,36 @@ FROM u LEFT JOIN d ON u.path = d.path"""
 SQL["member_hashes"] = f"""{O.FIL} SELECT path, CASE WHEN file_id % 5 <> 0 AND length(path) % 2 = 0 THEN md5(path) ELSE coalesce(sha256(content), '-') END AS hash FROM files"""
 SQL["log_of_batch"] = f"{O.EV} SELECT original_path, seq, method FROM lastd WHERE batch_id = 'b7'"
 SQL["stat_cache"] = f"{O.INV} SELECT path, size, mtime FROM inv WHERE starts_with(path, '/src2/de/') AND NOT is_dir"
+
+# ---- all tracks over one inventory ----
+
+WIDE_HASH = "array_to_string(list_transform(flatten(list_transform(range(0, 16), lambda i: list_transform([1, 1, 1, 1], lambda o: embedding[4 * i + 1]::DOUBLE + embedding[4 * i + 2]::DOUBLE + embedding[4 * i + 3]::DOUBLE + embedding[4 * i + 4]::DOUBLE))), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT"
+LINKED = "AS (SELECT a AS id, a AS r FROM {0} UNION SELECT e.b, x.r FROM {1} x JOIN {0} e ON e.a = x.id)"
+TRACKS = f"""WITH RECURSIVE im AS (SELECT vec_id * 2 AS id, vec_id, CASE WHEN vec_id % 41 = 0 THEN 50000000 ELSE (vec_id % 7 + 1) * 1000 END::BIGINT AS size, vec_id * 37 % 5000 AS t, label, CASE WHEN vec_id % 29 <> 0 THEN {WIDE_HASH} END AS h, embedding::DOUBLE[] AS v FROM embeddings),
+ok AS (SELECT * FROM im WHERE vec_id % 41 <> 0),
+e1 AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h)) AS n FROM ok x JOIN ok y ON x.id <> y.id AND bit_count(xor(x.h, y.h)) <= 14), r1 {LINKED.format("e1", "r1")}, c1 AS (SELECT id, min(r) AS cluster FROM r1 GROUP BY id),
+w1 AS (SELECT x.cluster, max(bit_count(xor(p.h, q.h)))::DOUBLE AS w FROM c1 x JOIN c1 y ON x.cluster = y.cluster AND x.id < y.id JOIN ok p ON p.id = x.id JOIN ok q ON q.id = y.id GROUP BY 1),
+rest AS (SELECT * FROM ok WHERE id NOT IN (SELECT id FROM c1)),
+e2 AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS n FROM rest x JOIN rest y ON x.id <> y.id AND list_cosine_similarity(x.v, y.v) >= 0.35), r2 {LINKED.format("e2", "r2")}, c2 AS (SELECT id, min(r) AS cluster FROM r2 GROUP BY id),
+w2 AS (SELECT cluster, 1 - min(n) AS w FROM e2 JOIN c2 ON c2.id = e2.a GROUP BY 1),
+shots AS (SELECT * FROM ok WHERE vec_id % 3 = 0), e4 AS (SELECT x.id AS a, y.id AS b FROM shots x JOIN shots y ON x.id <> y.id AND x.label = y.label AND abs(x.t - y.t) <= 60 AND bit_count(xor(x.h, y.h)) <= 14), r4 {LINKED.format("e4", "r4")}, c4 AS (SELECT id, min(r) AS cluster FROM r4 GROUP BY id),
+w4 AS (SELECT x.cluster, max(bit_count(xor(p.h, q.h)))::DOUBLE AS w FROM c4 x JOIN c4 y ON x.cluster = y.cluster AND x.id < y.id JOIN ok p ON p.id = x.id JOIN ok q ON q.id = y.id GROUP BY 1),
+docs AS (SELECT * FROM documents WHERE doc_id % 53 <> 0),
+{O.PAIRS.removeprefix("WITH ").replace("FROM documents", "FROM docs").replace(">= 0.5)", ">= 0.1)")},
+ed AS (SELECT a, b FROM pairs UNION SELECT rep, id FROM reps WHERE id > rep), eb AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), r3 {LINKED.format("eb", "r3")}, g3 AS (SELECT id, min(r) AS grp FROM r3 GROUP BY id),
+lv AS (SELECT doc_id AS id, [{LETTERS}] AS v FROM docs WHERE regexp_matches(text, '[a-zA-Z]')), st AS (SELECT g3.id, grp, v FROM g3 JOIN lv ON g3.id = lv.id),
+co AS (SELECT a.grp, a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM st a JOIN st b ON a.grp = b.grp AND a.id < b.id), l3 AS (SELECT a, b FROM co WHERE c >= 0.99 UNION SELECT b, a FROM co WHERE c >= 0.99),
+r5 {LINKED.format("l3", "r5")}, c3 AS (SELECT id, min(r) AS cluster FROM r5 GROUP BY id), w3 AS (SELECT x.cluster, min(c) AS w FROM co JOIN c3 x ON x.id = a JOIN c3 y ON y.id = b AND x.cluster = y.cluster GROUP BY 1),
+n3 AS (SELECT cluster, bool_or(id % 4 = 0) AS named FROM c3 GROUP BY 1),
+m AS (SELECT 'near_identical_image' AS track, c1.cluster, id, w AS raw_score FROM c1 JOIN w1 ON c1.cluster = w1.cluster UNION ALL SELECT 'semantic_image', c2.cluster, id, w FROM c2 JOIN w2 ON c2.cluster = w2.cluster
+  UNION ALL SELECT 'screenshot_burst', c4.cluster, id, w FROM c4 JOIN w4 ON c4.cluster = w4.cluster
+  UNION ALL SELECT CASE WHEN named THEN 'version_chain' ELSE 'near_dup_document' END, c3.cluster * 2 + 1, id * 2 + 1, w FROM c3 JOIN w3 ON c3.cluster = w3.cluster JOIN n3 ON c3.cluster = n3.cluster),
+seen AS (SELECT 'near_identical_image' AS track, count(*) AS n FROM ok UNION ALL SELECT 'semantic_image', count(*) FROM rest UNION ALL SELECT unnest(['near_dup_document', 'version_chain']), count(*) FROM docs UNION ALL SELECT 'screenshot_burst', count(*) FROM shots),
+sized AS (SELECT m.*, size FROM m JOIN (SELECT id, size FROM im UNION ALL SELECT doc_id * 2 + 1, CASE WHEN doc_id % 53 = 0 THEN 50000000 ELSE n_chars END FROM documents) f ON m.id = f.id),
+o AS (SELECT track, cluster, count(*) AS n_members, sum(size)::BIGINT AS bytes, min(id) AS id FROM sized GROUP BY 1, 2)"""
+SQL["analysis_members"] = f"{TRACKS} SELECT track, cluster, id, round(raw_score, 5) AS raw_score FROM m"
+SQL["analysis_order"] = f"{TRACKS} SELECT track, cluster, n_members, bytes, id, row_number() OVER (ORDER BY track = 'semantic_image', bytes DESC, track, cluster) AS place FROM o"
+SQL["analysis_tracks"] = f"""{TRACKS} SELECT seen.track, 'run' AS state, false AS has_reason, n AS n_considered, count(id) AS n_members, count(DISTINCT cluster) AS n_clusters FROM seen LEFT JOIN m ON seen.track = m.track GROUP BY 1, 4
+UNION ALL SELECT 'ranked_clutter', 'skipped', true, (SELECT count(*) FROM o), 0, 0 UNION ALL SELECT 'too large: image', 'left out', true, count(*), 0, 0 FROM im WHERE vec_id % 41 = 0 HAVING count(*) > 0 UNION ALL SELECT 'too large: document', 'left out', true, count(*), 0, 0 FROM documents WHERE doc_id % 53 = 0 HAVING count(*) > 0"""
+SQL["emb_groups_all"] = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), e AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS n FROM v x JOIN v y ON x.id <> y.id AND list_cosine_similarity(x.v, y.v) >= 0.35),
+r {LINKED.format("e", "r")}, c AS (SELECT id, min(r) AS g FROM r GROUP BY id), w AS (SELECT g, 1 - min(n) AS d FROM e JOIN c ON c.id = e.a GROUP BY g) SELECT id, c.g AS "group", round(d, 5) AS distance FROM c JOIN w ON c.g = w.g"""
