@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from contextlib import suppress
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from siltstone.operators import tracks as A
 from siltstone.plans import queries as Q
 from siltstone.sources import files as X
 from siltstone.sources import logs as L
+from siltstone.sources import walk as WK
 from siltstone.sources.adapters import files, table
 from siltstone.sources.shared import scratch, written
 
@@ -494,3 +498,51 @@ def analysis_order(spark: SparkSession, d: str) -> DataFrame:
 def emb_groups_all(spark: SparkSession, d: str) -> DataFrame:
     """Groups of vectors by all links of a likeness, however many copies are near."""
     return GR.threshold_groups(table(spark, d, "embeddings"), 0.35).select("id", "group", F.round("distance", 5).alias("distance"))
+
+
+# ---- walking a tree ----
+
+
+def _plant(batches):
+    """Makes in each folder a link to itself and directories so deep that the last can't be looked at under its path; making them again changes nothing."""
+    for batch in batches:
+        for folder in batch["path"]:
+            if not os.path.lexists(f"{folder}/link"):
+                os.symlink(folder, f"{folder}/link")
+            here = os.open(folder, os.O_RDONLY)
+            for _ in range(18):
+                with suppress(FileExistsError):
+                    os.mkdir("d" * 250, dir_fd=here)
+                below = os.open("d" * 250, os.O_RDONLY, dir_fd=here)
+                os.close(here)
+                here = below
+            os.close(here)
+        yield batch
+
+
+def _walked(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """A tree with a folder for each nation and segment of customers, their names in a file, and what _plant() adds to each nation's folder."""
+    path = scratch(spark)
+    names = table(spark, d, "customer").select("c_nationkey", "c_mktsegment", "c_name")
+    names.repartition("c_nationkey", "c_mktsegment").write.partitionBy("c_nationkey", "c_mktsegment").text(path)
+    root = "/" + path.removeprefix("file:").lstrip("/")
+    nations = WK.entries(WK.read_tree(spark, root)).filter(F.col("is_dir") & (F.col("parent") == root)).select("path")
+    nations.mapInPandas(_plant, "path string").count()
+    return root, WK.read_tree(spark, root)
+
+
+@query
+def walked_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The walk of a tree: folders, files, links that aren't followed, and what can't be read."""
+    root, rows = _walked(spark, d)
+    kind = F.when(F.col("error").isNotNull(), "unreadable").when(F.col("is_reparse_point"), "link").when(F.col("is_dir"), "dir").otherwise("file")
+    short = F.regexp_replace(F.replace(F.when(kind == "file", F.col("parent")).otherwise(F.col("path")), F.lit(root), F.lit("")), "/d{250}.*$", "/deep")
+    rows = rows.filter(~F.startswith("name", F.lit(".")) & ~F.startswith("name", F.lit("_"))).select(short.alias("place"), kind.alias("kind"), F.when(kind == "file", F.col("size")).otherwise(0).alias("size"), F.coalesce(F.split("error", ":")[0], F.lit("-")).alias("error"))
+    return rows.filter("kind <> 'dir' OR NOT endswith(place, '/deep')")
+
+
+@query
+def walk_stats(spark: SparkSession, d: str) -> DataFrame:
+    """What a scan says of itself: files, links, bytes, the exact number of skips and the size of their sample."""
+    rows = _walked(spark, d)[1].filter(~F.startswith("name", F.lit(".")) & ~F.startswith("name", F.lit("_")))
+    return WK.scan_stats(rows).select("n_files", "n_links", "bytes", "n_skipped", "skipped_bytes_known", F.size("skips").alias("n_shown"))

@@ -169,3 +169,10 @@ SQL["analysis_tracks"] = f"""{TRACKS} SELECT seen.track, 'run' AS state, false A
 UNION ALL SELECT 'ranked_clutter', 'skipped', true, (SELECT count(*) FROM o), 0, 0 UNION ALL SELECT 'too large: image', 'left out', true, count(*), 0, 0 FROM im WHERE vec_id % 41 = 0 HAVING count(*) > 0 UNION ALL SELECT 'too large: document', 'left out', true, count(*), 0, 0 FROM documents WHERE doc_id % 53 = 0 HAVING count(*) > 0"""
 SQL["emb_groups_all"] = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), e AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS n FROM v x JOIN v y ON x.id <> y.id AND list_cosine_similarity(x.v, y.v) >= 0.35),
 r {LINKED.format("e", "r")}, c AS (SELECT id, min(r) AS g FROM r GROUP BY id), w AS (SELECT g, 1 - min(n) AS d FROM e JOIN c ON c.id = e.a GROUP BY g) SELECT id, c.g AS "group", round(d, 5) AS distance FROM c JOIN w ON c.g = w.g"""
+
+# ---- walking a tree ----
+
+TREE = """WITH g AS (SELECT '/c_nationkey=' || c_nationkey AS n, '/c_nationkey=' || c_nationkey || '/c_mktsegment=' || c_mktsegment AS f, sum(strlen(c_name) + 1)::BIGINT AS size FROM customer GROUP BY 1, 2), n AS (SELECT DISTINCT n FROM g)"""
+SQL["walked_tree"] = f"""{TREE} SELECT f AS place, 'file' AS kind, size, '-' AS error FROM g UNION ALL SELECT f, 'dir', 0, '-' FROM g UNION ALL SELECT n, 'dir', 0, '-' FROM n UNION ALL SELECT n || '/link', 'link', 0, '-' FROM n
+UNION ALL SELECT n || '/deep', 'unreadable', 0, 'OSError' FROM n"""
+SQL["walk_stats"] = f"{TREE} SELECT (SELECT count(*) FROM g) AS n_files, (SELECT count(*) FROM n) AS n_links, (SELECT sum(size) FROM g)::BIGINT AS bytes, (SELECT count(*) FROM n) AS n_skipped, 0 AS skipped_bytes_known, least(20, (SELECT count(*) FROM n))::INT AS n_shown"
