@@ -105,14 +105,16 @@ def in_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Ids are cut at quantiles, and each of these parts at its own quantiles, so runs hold
     about as many rows each. The driver gets the upper cuts, at most WIDEST numbers; the
     lower ones, the first id of each run, are a table of a row for each part, WIDEST *
-    WIDEST numbers at most (8 MB), which goes to all tasks. Returns the rows with ``_run`` and ``_behind``,
-    whether the row is such a copy.
+    WIDEST numbers at most (8 MB), which goes to all tasks. Rows without an id, which are
+    next to nothing, are dealt out by their texts to runs up to 0. Returns the rows with
+    ``_run`` and ``_behind``, whether the row is such a copy.
     """
     wide = min(WIDEST, max(1, int((max(parts_for(df.sparkSession), text_bytes(df, text_col) / RUN_BYTES)) ** 0.5) + 1))
     ids = df.select(id_col).filter(F.col(id_col).isNotNull())
     upper = ids.agg(quantiles(id_col, wide)).first()[0]
+    dealt = -F.pmod(F.xxhash64(text_col), F.lit(wide)).cast("int")
     if upper is None:
-        return df.withColumn("_run", F.lit(0)).withColumn("_behind", F.lit(False))
+        return df.withColumn("_run", dealt).withColumn("_behind", F.lit(False))
     x, part = F.col(id_col), part_of(F.col(id_col), F.array(*map(F.lit, upper)))
     ids = ids.withColumn("_part", part)
     lower = ids.groupBy("_part").agg(quantiles(id_col, wide).alias("_c"))
@@ -122,7 +124,7 @@ def in_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = parts.withColumn("_before", before).withColumn("_all", F.sum(F.size("_cuts")).over(Window.partitionBy()))
     placed = df.withColumn("_part", F.when(x.isNotNull(), part)).join(F.broadcast(parts), "_part", "left")
     at = part_of(x, F.col("_cuts"))
-    placed = placed.withColumn("_run", F.when(x.isNull(), F.lit(0)).otherwise(F.col("_before") + at).cast("int"))
+    placed = placed.withColumn("_run", F.when(x.isNull(), dealt).otherwise(F.col("_before") + at).cast("int"))
     # the first row of a run also follows the run before; the very first follows the last
     ahead = F.when(F.col("_run") == 1, F.col("_all")).otherwise(F.col("_run") - 1).cast("int")
     copy = F.when(x == F.get("_cuts", at - 1), ahead)
@@ -139,16 +141,14 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     to the one before, and the others follow each other.
     """
     kept = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    none = F.array().cast("array<bigint>")
-    lone = kept.filter(F.col(id_col).isNull()).withColumn("sketch", sketch(F.col("text"), k, size))
-    lone = lone.select(id_col, "text", "sketch", F.lit("").alias("next_text"), none.alias("next_sketch"))
-    runs = in_runs(kept.filter(F.col(id_col).isNotNull()), id_col, "text")
+    runs = in_runs(kept, id_col, "text")
     runs = runs.repartition("_run").withColumn("sketch", sketch(F.col("text"), k, size))
     order = Window.partitionBy("_run").orderBy("_behind", id_col, "text")
     out = runs.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
     out = out.filter(~F.col("_behind"))
-    out = out.select(id_col, "text", "sketch", F.coalesce("next_text", F.lit("")).alias("next_text"), F.coalesce("next_sketch", none).alias("next_sketch"))
-    return out.unionByName(lone)
+    none, lone = F.array().cast("array<bigint>"), F.col(id_col).isNull()
+    after = lambda c, without: F.when(lone, without).otherwise(F.coalesce(c, without)).alias(c)
+    return out.select(id_col, "text", "sketch", after("next_text", F.lit("")), after("next_sketch", none))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
