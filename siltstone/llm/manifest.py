@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm._blocks import quoted, written
-from siltstone.llm._places import placed
+from siltstone.operators.places import placed
 
 #: Children of a parent, and characters of a digest.
 FAN_OUT, WIDTH = 8, 64
@@ -118,6 +118,7 @@ def build(df: DataFrame, id_col: str, group_col: str, leaf_cols: Sequence[str],
     spark = df.sparkSession
     leaf = row_digest(*(F.col(quoted(c)) for c in leaf_cols))
     rows = df.select(F.col(quoted(id_col)).alias("id"), tree_key(F.col(quoted(group_col))).alias("_tree"), leaf.alias("leaf"), *keep)
+    rows = written(rows)  # digests alone from here on: texts are read once
     leaves = written(placed(rows, "_tree", ("id", "leaf"), "n_leaves"))
     nodes = leaves.select("_tree", "at", F.col("leaf").alias("digest"), F.col("n_leaves").alias("n_nodes"))
     levels = grown(nodes, leaves.agg(F.max("n_leaves")).first()[0] or 0)
