@@ -13,6 +13,7 @@ from siltstone.functions import scalars as S
 from siltstone.operators import eventlog as E
 from siltstone.operators import groups as GR
 from siltstone.operators import inventory as I
+from siltstone.operators import listwise as LW
 from siltstone.operators import report as T
 from siltstone.operators import review as V
 from siltstone.operators import rules as R
@@ -546,3 +547,35 @@ def walk_stats(spark: SparkSession, d: str) -> DataFrame:
     """What a scan says of itself: files, links, bytes, the exact number of skips and the size of their sample."""
     rows = _walked(spark, d)[1].filter(~F.startswith("name", F.lit(".")) & ~F.startswith("name", F.lit("_")))
     return WK.scan_stats(rows).select("n_files", "n_links", "bytes", "n_skipped", "skipped_bytes_known", F.size("skips").alias("n_shown"))
+
+
+# ---- ranking of lists ----
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    """Files as rows of twenty lists with all thirteen features and a relevance: one for each of old, large and not kept, now and then one less."""
+    f = files(spark, d)
+    i = F.col("file_id")
+    cls = I.path_class(F.col("path"), F.col("is_cloud_placeholder"), F.col("git_repo_root"), R.PATH_CLASSES)
+    rows = f.select(
+        F.concat(F.lit("list"), (i % 20).cast("string")).alias("grp"), i.alias("id"), "size", "mtime", "ctime", cls.alias("path_class"), _at(TRACKS, i % 6).alias("category"), P.ext_of(P.name_of(F.col("path"))).alias("ext"),
+        (i % 6 + 1).alias("cluster_size"), (i % 3 == 0).alias("is_keep"), (i % 100 / 100.0).alias("raw_score"), "is_cloud_placeholder", (i % 5).alias("n_accepted"), (i % 7).alias("n_rejected"), (i % 4).alias("n_kept"),
+    )
+    x = LW.features(rows, Q.NOW)
+    label = (F.col("age_days") > 200).cast("int") + (F.col("size") > 2_000_000).cast("int") + (~F.col("is_keep")).cast("int")
+    return x.withColumn("label", F.greatest(F.lit(0), label - (F.col("id") % 11 == 0).cast("int")).cast("int"))
+
+
+@query
+def rank_features_all(spark: SparkSession, d: str) -> DataFrame:
+    x = _lists(spark, d)
+    return x.select("id", *(F.round(c, 6).alias(c) for c in LW.FEATURES))
+
+
+@query
+def ranked_listwise(spark: SparkSession, d: str) -> DataFrame:
+    """The places that a ranker of lists, which has learnt from the first ten, gives all rows in their lists."""
+    x = written(_lists(spark, d))
+    first = F.regexp_extract("grp", "([0-9]+)", 1).cast("int") < 10
+    model = LW.fitted(x.filter(first).select("grp", "id", "label", *LW.FEATURES), rounds=10)
+    return model.ranked(x).select("grp", "id", "label", "place")

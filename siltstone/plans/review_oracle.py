@@ -176,3 +176,10 @@ TREE = """WITH g AS (SELECT '/c_nationkey=' || c_nationkey AS n, '/c_nationkey='
 SQL["walked_tree"] = f"""{TREE} SELECT f AS place, 'file' AS kind, size, '-' AS error FROM g UNION ALL SELECT f, 'dir', 0, '-' FROM g UNION ALL SELECT n, 'dir', 0, '-' FROM n UNION ALL SELECT n || '/link', 'link', 0, '-' FROM n
 UNION ALL SELECT n || '/deep', 'unreadable', 0, 'OSError' FROM n"""
 SQL["walk_stats"] = f"{TREE} SELECT (SELECT count(*) FROM g) AS n_files, (SELECT count(*) FROM n) AS n_links, (SELECT sum(size) FROM g)::BIGINT AS bytes, (SELECT count(*) FROM n) AS n_skipped, 0 AS skipped_bytes_known, least(20, (SELECT count(*) FROM n))::INT AS n_shown"
+
+# ---- ranking of lists ----
+
+SQL["rank_features_all"] = f"""{O.FIL}, x AS (SELECT *, file_id AS i, lower(regexp_extract(path, '(\\.[^.]+)$')) AS ext, {O.CLASS} AS cls, ['near_identical_image', 'semantic_image', 'near_dup_document', 'version_chain', 'screenshot_burst', 'ranked_clutter'][file_id % 6 + 1] AS cat FROM files)
+SELECT i AS id, round(ln(1 + greatest(size, 0)::DOUBLE), 6) AS log_size, round(greatest((1700000000.0 - mtime) / 86400, 0), 6)::DOUBLE AS age_days, round(greatest((1700000000.0 - ctime) / 86400, 0), 6)::DOUBLE AS lived_days,
+{O.BUCKET.format('cls')}::DOUBLE AS class_bucket, {O.BUCKET.format('cat')}::DOUBLE AS category_bucket, {O.BUCKET.format('ext')}::DOUBLE AS ext_bucket, (i % 6 + 1)::DOUBLE AS cluster_size, (i % 3 = 0)::INT::DOUBLE AS keep, (i % 100)::DOUBLE / 100 AS raw_score,
+is_cloud_placeholder::INT::DOUBLE AS cloud, (i % 5)::DOUBLE AS prior_accepted, (i % 7)::DOUBLE AS prior_rejected, (i % 4)::DOUBLE AS prior_kept FROM x"""
