@@ -20,6 +20,7 @@ from siltstone.operators import rules as R
 from siltstone.operators import safety as Y
 from siltstone.operators import similarity as N
 from siltstone.operators import tracks as A
+from siltstone.operators import treehash as TH
 from siltstone.plans import queries as Q
 from siltstone.sources import files as X
 from siltstone.sources import logs as L
@@ -579,3 +580,15 @@ def ranked_listwise(spark: SparkSession, d: str) -> DataFrame:
     first = F.regexp_extract("grp", "([0-9]+)", 1).cast("int") < 10
     model = LW.fitted(x.filter(first).select("grp", "id", "label", *LW.FEATURES), rounds=10)
     return model.ranked(x).select("grp", "id", "label", "place")
+
+
+# ---- digests of ranges ----
+
+
+@query
+def dup_tree_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Whole contents by the digests of their ranges: equal ones, and how many of each."""
+    leaves = TH.leaves_of(files(spark, d), "path", "content", 1000)
+    hashes = TH.tree_hashes(leaves, "path", 1000, 8)
+    same = TH.tree_clusters(hashes).select("path", "cluster_size")
+    return hashes.join(same, "path", "left").select("path", "size", "tree_hash", F.coalesce("cluster_size", F.lit(1)).alias("cluster_size"))

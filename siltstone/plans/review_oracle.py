@@ -183,3 +183,12 @@ SQL["rank_features_all"] = f"""{O.FIL}, x AS (SELECT *, file_id AS i, lower(rege
 SELECT i AS id, round(ln(1 + greatest(size, 0)::DOUBLE), 6) AS log_size, round(greatest((1700000000.0 - mtime) / 86400, 0), 6)::DOUBLE AS age_days, round(greatest((1700000000.0 - ctime) / 86400, 0), 6)::DOUBLE AS lived_days,
 {O.BUCKET.format('cls')}::DOUBLE AS class_bucket, {O.BUCKET.format('cat')}::DOUBLE AS category_bucket, {O.BUCKET.format('ext')}::DOUBLE AS ext_bucket, (i % 6 + 1)::DOUBLE AS cluster_size, (i % 3 = 0)::INT::DOUBLE AS keep, (i % 100)::DOUBLE / 100 AS raw_score,
 is_cloud_placeholder::INT::DOUBLE AS cloud, (i % 5)::DOUBLE AS prior_accepted, (i % 7)::DOUBLE AS prior_rejected, (i % 4)::DOUBLE AS prior_kept FROM x"""
+
+# ---- digests of ranges ----
+
+SQL["dup_tree_hash"] = f"""{O.FIL.replace("WITH ", "WITH RECURSIVE ", 1)}, b AS (SELECT path, encode(content) AS c, octet_length(encode(content)) AS size FROM files WHERE content IS NOT NULL),
+r AS (SELECT path, size, greatest(1, (size + 999) // 1000) AS n, c, unnest(range(0, greatest(1, (size + 999) // 1000))) AS pos FROM b),
+t AS (SELECT path, size, n, pos, sha256('\\x00'::BLOB || c[pos * 1000 + 1:pos * 1000 + 1000]) AS digest FROM r
+  UNION ALL SELECT path, size, (n + 7) // 8, pos // 8, sha256('\\x01'::BLOB || encode(string_agg(digest, '' ORDER BY pos))) FROM t WHERE n > 1 GROUP BY path, size, n, pos // 8),
+h AS (SELECT path, size, digest AS tree_hash FROM t WHERE n = 1)
+SELECT path, size, tree_hash, CASE WHEN size > 0 THEN count(*) OVER (PARTITION BY size, tree_hash) ELSE 1 END AS cluster_size FROM h"""
