@@ -14,6 +14,7 @@ from siltstone.operators import eventlog as E
 from siltstone.operators import groups as GR
 from siltstone.operators import inventory as I
 from siltstone.operators import listwise as LW
+from siltstone.operators import pairs as PR
 from siltstone.operators import report as T
 from siltstone.operators import review as V
 from siltstone.operators import rules as R
@@ -592,3 +593,13 @@ def dup_tree_hash(spark: SparkSession, d: str) -> DataFrame:
     hashes = TH.tree_hashes(leaves, "path", 1000, 8)
     same = TH.tree_clusters(hashes).select("path", "cluster_size")
     return hashes.join(same, "path", "left").select("path", "size", "tree_hash", F.coalesce("cluster_size", F.lit(1)).alias("cluster_size"))
+
+
+# ---- what is to be labelled ----
+
+
+@query
+def label_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of near hashes, and pairs of the other strata from outside them, drawn until each stratum is full."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), N.sign_hash(F.col("embedding")).alias("h"))
+    return PR.label_candidates(e).withColumn("distance", F.coalesce("distance", F.lit(-1)))

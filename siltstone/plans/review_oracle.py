@@ -192,3 +192,14 @@ t AS (SELECT path, size, n, pos, sha256('\\x00'::BLOB || c[pos * 1000 + 1:pos *
   UNION ALL SELECT path, size, (n + 7) // 8, pos // 8, sha256('\\x01'::BLOB || encode(string_agg(digest, '' ORDER BY pos))) FROM t WHERE n > 1 GROUP BY path, size, n, pos // 8),
 h AS (SELECT path, size, digest AS tree_hash FROM t WHERE n = 1)
 SELECT path, size, tree_hash, CASE WHEN size > 0 THEN count(*) OVER (PARTITION BY size, tree_hash) ELSE 1 END AS cluster_size FROM h"""
+
+# ---- what is to be labelled ----
+
+SQL["label_candidates"] = f"""WITH RECURSIVE h AS (SELECT vec_id AS id, array_to_string(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS h FROM embeddings),
+e AS (SELECT x.id AS a, y.id AS b FROM h x JOIN h y ON x.id <> y.id AND bit_count(xor(x.h, y.h)) <= 15), r {LINKED.format("e", "r")}, c AS (SELECT id, min(r) AS cluster FROM r GROUP BY id),
+l AS (SELECT min(id) AS low, max(id) - min(id) + 1 AS n FROM h),
+d AS (SELECT i AS draw, low + ('0x' || left(md5('42-' || i || '-a'), 12))::BIGINT % n AS x, low + ('0x' || left(md5('42-' || i || '-b'), 12))::BIGINT % n AS y FROM range(20000) t(i), l),
+u AS (SELECT least(x, y) AS a, greatest(x, y) AS b, min(draw) AS draw FROM d WHERE x <> y GROUP BY 1, 2),
+p AS (SELECT draw, a, b, bit_count(xor(p.h, q.h))::INT AS distance FROM u JOIN h p ON p.id = a JOIN h q ON q.id = b LEFT JOIN c x ON x.id = a LEFT JOIN c y ON y.id = b WHERE x.cluster IS NULL OR y.cluster IS NULL OR x.cluster <> y.cluster),
+s AS (SELECT *, CASE WHEN distance <= 25 THEN 'boundary' ELSE 'negative_control' END AS stratum FROM p WHERE distance > 10 QUALIFY row_number() OVER (PARTITION BY CASE WHEN distance <= 25 THEN 'boundary' ELSE 'negative_control' END ORDER BY draw) <= 60)
+SELECT 'near_duplicate' AS stratum, 'near-' || cluster AS candidate, id, -1 AS distance FROM c UNION ALL SELECT stratum, stratum || '-' || draw, unnest([a, b]), distance FROM s"""
