@@ -190,6 +190,13 @@ SQL["stream_fold_latest"] = f"{EV} SELECT batch_id, original_path, seq FROM last
 SQL["stream_daily"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"
 SQL["stream_sessions"] = """WITH g AS (SELECT user_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 60 SECOND THEN 0 ELSE 1 END AS new FROM events)
 SELECT user_id, sum(new)::BIGINT AS n_sessions, count(*)::BIGINT AS n_events FROM g GROUP BY user_id"""
+SQL["stream_alerts"] = """WITH RECURSIVE e AS (SELECT (user_id % 50)::VARCHAR AS volume, event_id AS seq, epoch_us(ts) / 1e6 AS t, event_id % 17 = 0 AS snooze, CASE WHEN event_id % 29 <> 0 THEN value END AS free, event_id % 31 <> 0 AS enabled, (event_id % 3)::DOUBLE / 4 AS days,
+  row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT volume, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::DOUBLE AS last, NULL::DOUBLE AS until, NULL::VARCHAR AS state FROM (SELECT DISTINCT volume FROM e)
+  UNION ALL SELECT volume, n, seq, CASE WHEN st = 'notify' THEN t ELSE last END, CASE WHEN snooze THEN t + days * 86400 ELSE until END, st
+  FROM (SELECT s.volume, e.n, e.seq, e.t, e.snooze, e.days, s.last, s.until, CASE WHEN e.snooze THEN NULL WHEN NOT enabled THEN 'disabled' WHEN free IS NULL THEN 'failed' WHEN free >= 50 THEN 'ok' WHEN t < s.until THEN 'snoozed' WHEN t - s.last < 14400 THEN 'debounced' ELSE 'notify' END AS st
+    FROM s JOIN e ON e.volume = s.volume AND e.n = s.n + 1) x)
+SELECT volume, seq, state FROM s WHERE state IS NOT NULL"""
 
 # ---- similarity ----
 WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+')"

@@ -21,6 +21,7 @@ from siltstone.operators import similarity as N
 from siltstone.operators import tagging as G
 from siltstone.sources.adapters import NOW, files, inventory, table
 from siltstone.sources.shared import written
+from siltstone.streaming import alerts as AL
 from siltstone.streaming import folds as W
 
 QUERIES: dict = {}
@@ -586,6 +587,28 @@ def _finished(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+@query
+def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Events as readings and snoozes of fifty volumes: what a keyed state machine says of each reading."""
+    from siltstone.sources.shared import scratch
+
+    i = F.col("event_id")
+    e = spark.readStream.schema(table(spark, d, "events").schema).parquet(_events_folder(spark, d)).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = e.select(
+        (F.col("user_id") % 50).cast("string").alias("volume"), i.alias("seq"), "ts", (F.unix_micros("ts") / 1e6).alias("at"), F.when(i % 17 == 0, "snooze").otherwise("reading").alias("kind"),
+        F.when(i % 29 != 0, F.col("value")).alias("free"), F.lit(50.0).alias("threshold"), (i % 31 != 0).alias("enabled"), ((i % 3) / 4).alias("days"),
+    )
+    out, name = scratch(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, AL.STORE)
+    try:
+        put = lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/batch={k}")  # noqa: E731 - a batch tried again replaces itself
+        AL.alerts(rows, 4 * 3600.0, late="30 days").writeStream.outputMode("append").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(AL.OUTPUT).parquet(out).select("volume", "seq", "state")
+
+
 # ---- similarity ----
 
 
