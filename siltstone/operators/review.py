@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import paths as P
+from siltstone.operators import eventlog as E
 from siltstone.operators import rules as R
 from siltstone.operators import similarity as N
 from siltstone.sources.shared import written
@@ -482,3 +483,55 @@ def ranking_rows(members: DataFrame, records: DataFrame) -> DataFrame:
     """Members with size, times and placeholder flag of their record; zeros and false for those without one."""
     out = members.join(records.select("path", "mtime", "ctime", "is_cloud_placeholder"), "path", "left")
     return out.withColumns({"mtime": F.coalesce("mtime", F.lit(0.0)), "ctime": F.coalesce("ctime", F.lit(0.0)), "is_cloud_placeholder": F.coalesce("is_cloud_placeholder", F.lit(False))})
+
+
+# ---- feedback, and texts and pairs for evaluations ----
+
+FEEDBACK = (
+    "cluster_id string, id long, path string, seq long, decision string, track string, size_bytes long, ext string, is_keep boolean, position long, raw_score double, score_kind string, "
+    "cluster_size long, n_accepted long, n_rejected long, n_kept long"
+)
+BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
+
+
+def feedback_rows(members: DataFrame, decisions: DataFrame) -> DataFrame:
+    """A row for each decision (cluster_id, id, seq, decision) on a member, with what the ranking looks at.
+
+    That is the member's and its cluster's features and the decisions made before in the
+    cluster. Decisions on members that aren't there give no row.
+    """
+    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    before = E.sibling_context(decisions).select("cluster_id", "seq", *(F.col(f"n_{d}_before").alias(f"n_{d}") for d in ("accepted", "rejected", "kept")))
+    rows = decisions.join(members, ["cluster_id", "id"]).join(before, ["cluster_id", "seq"])
+    rows = rows.join(sizes.select(F.concat("cluster_id", F.lit("")).alias("cluster_id"), "cluster_size"), "cluster_id")
+    names = [f.split()[0] for f in FEEDBACK.split(", ")]
+    return rows.withColumn("ext", P.ext_of(P.name_of(F.col("path")))).select(*names)
+
+
+def reordered(text: Column) -> Column:
+    """A text without its last paragraph (a line with something in it), and two of the others swapped, which ones following from the text."""
+    rest = lambda w: F.when(F.size(w) > 1, F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(1)))).otherwise(w)
+    digits = lambda start: F.conv(F.substring(F.md5(text), start, 8), 16, 10).cast("long")
+
+    def swapped(w: Column) -> Column:
+        n = F.size(w)
+        i = F.pmod(digits(1), n)
+        j = F.pmod(i + 1 + F.pmod(digits(9), n - 1), n)
+        new = F.transform(w, lambda x, k: F.when(k == i, F.get(w, j.cast("int"))).when(k == j, F.get(w, i.cast("int"))).otherwise(x))
+        return F.array_join(F.when(n > 2, new).otherwise(w), "\n")
+
+    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, BLANKS, "") != "")
+    bound = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731 - so that the lines are made once
+    return bound(rest(lines), swapped)
+
+
+def pasted(text: Column, share: float = 0.7) -> Column:
+    """A text as one line, cut after that share of its words, at least one."""
+    words = F.filter(F.split(text, BLANKS), lambda w: w != "")
+    return F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.slice(w, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(w) * F.lit(share)).cast("int"))), " ")), 1)
+
+
+def pairs_with_truth(images: DataFrame) -> DataFrame:
+    """(set, a, b, is_same) of all pairs of the images (set, id, block) of a set, as an evaluation of a small set takes them."""
+    own = lambda c, block: images.select("set", F.col("id").alias(c), F.col("block").alias(block))
+    return own("a", "_x").join(own("b", "_y"), "set").filter("a < b").select("set", "a", "b", F.coalesce(F.col("_x") == F.col("_y"), F.lit(False)).alias("is_same"))

@@ -19,6 +19,7 @@ from siltstone.operators import report as T
 from siltstone.operators import review as V
 from siltstone.operators import rules as R
 from siltstone.operators import safety as Y
+from siltstone.operators import selection as Z
 from siltstone.operators import similarity as N
 from siltstone.operators import tracks as A
 from siltstone.operators import treehash as TH
@@ -603,3 +604,74 @@ def label_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of near hashes, and pairs of the other strata from outside them, drawn until each stratum is full."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), N.sign_hash(F.col("embedding")).alias("h"))
     return PR.label_candidates(e).withColumn("distance", F.coalesce("distance", F.lit(-1)))
+
+
+# ---- texts of documents ----
+
+
+@query
+def document_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Texts packed as word-processor files and read again; some are cut short, some of another kind or missing."""
+    k = F.col("doc_id")
+    path = F.concat(F.lit("/d/"), k.cast("string"), F.when(k % 5 == 1, ".txt").when(k % 5 == 2, ".pdf").otherwise(".docx"))
+    # the characters that such files can't hold are left out first
+    clean = F.regexp_replace("text", "[\\x00-\\x08\\x0B-\\x1F\\x{FFFE}\\x{FFFF}]", "")
+    rows = table(spark, d, "documents").select(k, path.alias("path"), clean.alias("text"))
+    packed = X.packed(rows).join(rows.select("path", k, F.col("text").alias("said")), "path")
+    content = F.when(k % 7 == 3, None).when(k % 5 == 1, F.encode("said", "utf-8")).when(k % 11 == 4, F.substring("content", F.lit(1), F.lit(40))).otherwise(F.col("content"))
+    out = X.document_texts(packed.select("path", P.ext_of(P.name_of(F.col("path"))).alias("ext"), content.alias("content")))
+    return out.select("path", F.sha2(F.coalesce("text", F.lit("-")), 256).alias("sha"), F.coalesce("reason", F.lit("-")).alias("reason"))
+
+
+# ---- repositories, decisions, texts that differ, pairs with their truth, settings of the kinds there are ----
+
+
+@query
+def repositories_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Files with the nearest repository and whether an outside check found it clean; a check that failed doesn't."""
+    inv = Q.inventory(spark, d)
+    roots = inv.filter(F.col("is_dir") & F.col("path").rlike("/projects/p[0-9]*[05]$"))
+    marks = roots.select(F.concat("path", F.lit("/.git")).alias("path"), F.lit(True).alias("is_dir"), F.lit(".git").alias("name"), F.col("path").alias("parent"))
+    rows = inv.select("path", "is_dir", "name", "parent").unionByName(marks)
+    clean = roots.select(F.col("path").alias("root"), F.when(F.col("path").rlike("0$"), True).when(F.length("path") % 2 == 0, F.lit(None).cast("boolean")).otherwise(False).alias("is_clean"))
+    out = WK.with_repository(rows, clean).filter(~F.col("is_dir"))
+    return out.select("path", F.coalesce("git_repo_root", F.lit("-")).alias("git_repo_root"), "git_repo_clean")
+
+
+@query
+def feedback_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions on members with what the ranking looks at, and the decisions before each in its cluster, through a log of lines."""
+    rows = V.feedback_rows(_members(spark, d), _decided(spark, d))
+    path = scratch(spark)
+    L.append_events(rows, path, "all")
+    back, _ = L.parsed(spark.read.option("recursiveFileLookup", "true").text(path), V.FEEDBACK)
+    return back.select("cluster_id", "id", "seq", "decision", "size_bytes", "cluster_size", "n_accepted", "n_rejected", "n_kept")
+
+
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    """A decision on each order as a member, in order of its number."""
+    i = F.col("o_orderkey")
+    return table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("cluster_id"), i.alias("id"), i.alias("seq"), _at(("accepted", "rejected", "kept"), i % 3).alias("decision"))
+
+
+@query
+def text_perturbed(spark: SparkSession, d: str) -> DataFrame:
+    """Texts changed in the three mild ways that an evaluation of likeness takes."""
+    t = table(spark, d, "documents").filter("text IS NOT NULL")
+    return t.select("doc_id", *(F.sha2(f(F.col("text")), 256).alias(n) for n, f in (("cleaned", Z.cleaned), ("reordered", V.reordered), ("pasted", V.pasted))))
+
+
+@query
+def pair_truth(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of the images of a few blocks each, with whether they are of one block."""
+    k = F.col("p_partkey")
+    images = table(spark, d, "part").select(F.floor(k / 24).alias("set"), k.alias("id"), F.floor(k / 4).alias("block"))
+    return V.pairs_with_truth(images)
+
+
+@query
+def settings_of_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The settings of every group with what is found of it, in the careful mode."""
+    found = Q._cands(spark, d).groupBy("category_group").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"))
+    rows = V.settings(spark, "safe").join(found, "category_group", "left")
+    return rows.select("category_group", "enabled", F.coalesce("retention_days", F.lit(-1)).alias("retention_days"), "forced_off", "label", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bytes", F.lit(0)).alias("bytes"))

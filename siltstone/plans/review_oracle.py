@@ -203,3 +203,27 @@ u AS (SELECT least(x, y) AS a, greatest(x, y) AS b, min(draw) AS draw FROM d WHE
 p AS (SELECT draw, a, b, bit_count(xor(p.h, q.h))::INT AS distance FROM u JOIN h p ON p.id = a JOIN h q ON q.id = b LEFT JOIN c x ON x.id = a LEFT JOIN c y ON y.id = b WHERE x.cluster IS NULL OR y.cluster IS NULL OR x.cluster <> y.cluster),
 s AS (SELECT *, CASE WHEN distance <= 25 THEN 'boundary' ELSE 'negative_control' END AS stratum FROM p WHERE distance > 10 QUALIFY row_number() OVER (PARTITION BY CASE WHEN distance <= 25 THEN 'boundary' ELSE 'negative_control' END ORDER BY draw) <= 60)
 SELECT 'near_duplicate' AS stratum, 'near-' || cluster AS candidate, id, -1 AS distance FROM c UNION ALL SELECT stratum, stratum || '-' || draw, unnest([a, b]), distance FROM s"""
+
+# ---- texts of documents ----
+
+SQL["document_paragraphs"] = r"""WITH d AS (SELECT doc_id AS k, '/d/' || doc_id || CASE doc_id % 5 WHEN 1 THEN '.txt' WHEN 2 THEN '.pdf' ELSE '.docx' END AS path, regexp_replace(text, '[\x00-\x08\x0B-\x1F\x{FFFE}\x{FFFF}]', '', 'g') AS text FROM documents),
+r AS (SELECT *, CASE WHEN k % 7 = 3 OR (text IS NULL AND k % 11 <> 4) THEN 'unreadable' WHEN k % 5 = 1 THEN NULL WHEN text IS NULL THEN 'unreadable' WHEN k % 5 = 2 THEN 'unsupported' WHEN k % 11 = 4 THEN 'not_a_package' END AS reason FROM d)
+SELECT path, sha256(CASE WHEN reason IS NULL THEN text ELSE '-' END) AS sha, coalesce(reason, '-') AS reason FROM r"""
+
+# ---- repositories, decisions, texts that differ, pairs with their truth, settings of the kinds there are ----
+
+SQL["repositories_clean"] = f"""{O.INV}, m AS (SELECT path FROM inv WHERE is_dir AND regexp_matches(path, '/projects/p[0-9]*[05]$')),
+n AS (SELECT f.path, max(m.path) AS root FROM inv f LEFT JOIN m ON starts_with(f.path, m.path || '/') WHERE NOT f.is_dir GROUP BY f.path)
+SELECT path, coalesce(root, '-') AS git_repo_root, coalesce(regexp_matches(root, '0$'), false) AS git_repo_clean FROM n"""
+SQL["feedback_rows"] = """WITH o AS (SELECT 'c' || o_custkey AS cluster_id, o_orderkey AS id, floor(o_totalprice)::BIGINT AS size_bytes, ['accepted', 'rejected', 'kept'][o_orderkey % 3 + 1] AS decision, count(*) OVER (PARTITION BY o_custkey) AS cluster_size FROM orders)
+SELECT cluster_id, id, id AS seq, decision, size_bytes, cluster_size, count(*) FILTER (decision = 'accepted') OVER w AS n_accepted, count(*) FILTER (decision = 'rejected') OVER w AS n_rejected, count(*) FILTER (decision = 'kept') OVER w AS n_kept
+FROM o WINDOW w AS (PARTITION BY cluster_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+SQL["text_perturbed"] = r"""WITH t AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[ \t\n\v\f\r]+', '', 'g') <> '') AS l, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, CASE WHEN len(l) > 1 THEN l[1:len(l) - 1] ELSE l END AS p FROM t), i AS (SELECT *, len(p) AS n, ('0x' || left(md5(text), 8))::BIGINT % greatest(1, len(p)) AS i, ('0x' || substr(md5(text), 9, 8))::BIGINT % greatest(1, len(p) - 1) AS j0 FROM k),
+s AS (SELECT *, (i + 1 + j0) % greatest(1, n) AS j FROM i)
+SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')) AS cleaned,
+sha256(array_to_string(CASE WHEN n > 2 THEN list_transform(range(0, n), lambda x: CASE WHEN x = i THEN p[j + 1] WHEN x = j THEN p[i + 1] ELSE p[x + 1] END) ELSE p END, chr(10))) AS reordered,
+sha256(array_to_string(w[1:greatest(1, floor(len(w) * 0.7::DOUBLE)::INT)], ' ')) AS pasted FROM s"""
+SQL["pair_truth"] = """WITH p AS (SELECT p_partkey // 24 AS "set", p_partkey AS id, p_partkey // 4 AS block FROM part) SELECT x."set", x.id AS a, y.id AS b, x.block = y.block AS is_same FROM p x JOIN p y ON x."set" = y."set" AND x.id < y.id"""
+SQL["settings_of_groups"] = f"""{O.CANDS}, g AS ({SQL["settings_listing"].replace("WITH g AS", "WITH gg AS").replace("FROM g", "FROM gg")}), f AS (SELECT category_group, count(*) AS n, sum(size_bytes)::BIGINT AS bytes FROM cands GROUP BY 1)
+SELECT g.category_group, enabled, retention_days, forced_off, label, coalesce(n, 0) AS n, coalesce(bytes, 0)::BIGINT AS bytes FROM g LEFT JOIN f ON g.category_group = f.category_group"""
