@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import rules as R
+from siltstone.operators.places import running
 
 KEY = ("batch_id", "original_path")
 
@@ -141,9 +142,9 @@ def resolving_events(recovered: DataFrame, now: float) -> DataFrame:
 
 def sibling_context(decisions: DataFrame) -> DataFrame:
     """Each decision with the accepted, rejected and kept ones before it in its cluster."""
-    before = Window.partitionBy("cluster_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda d: F.coalesce(F.sum((F.col("decision") == d).cast("long")).over(before), F.lit(0))
-    return decisions.select("cluster_id", "seq", "decision", *(count(d).alias(f"n_{d}_before") for d in ("accepted", "rejected", "kept")))
+    kinds = ("accepted", "rejected", "kept")
+    out = running(decisions.select("cluster_id", "seq", "decision"), "cluster_id", ("seq",), {f"n_{d}_before": F.col("decision") == d for d in kinds})
+    return out.select("cluster_id", "seq", "decision", *(f"n_{d}_before" for d in kinds))
 
 
 def label_progress(labels: DataFrame, target: int) -> DataFrame:

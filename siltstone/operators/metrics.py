@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.places import first_rows
+
 
 def f1(p: Column, r: Column) -> Column:
     """Harmonic mean; 0 where both are 0."""
@@ -145,16 +147,16 @@ def fleiss_kappa(ratings: DataFrame) -> DataFrame:
 
 def ndcg(ranked: DataFrame, k: int) -> DataFrame:
     """NDCG at k per group of (g, item, position, relevance); 1 where the ideal is 0."""
-    gain = lambda at: (F.pow(F.lit(2.0), F.col("relevance")) - 1) / F.log2(at + 1.0)
-    ideal = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("relevance"), "item"))
-    r = ranked.withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy("position", "item"))).withColumn("ideal", ideal)
-    s = r.groupBy("g").agg(F.coalesce(F.sum(F.when(F.col("at") <= k, gain(F.col("at")))), F.lit(0.0)).alias("d"), F.coalesce(F.sum(F.when(F.col("ideal") <= k, gain(F.col("ideal")))), F.lit(0.0)).alias("i"))
+    gain = F.sum((F.pow(F.lit(2.0), F.col("relevance")) - 1) / F.log2(F.col("at") + 1.0))
+    shown = first_rows(ranked, "g", ("position", "item"), k, "at").groupBy(F.col("g").alias("_x")).agg(gain.alias("d"))
+    ideal = first_rows(ranked, "g", (F.desc("relevance"), F.asc("item")), k, "at").groupBy("g").agg(gain.alias("i"))
+    s = ideal.join(shown, F.col("g").eqNullSafe(F.col("_x")))
     return s.select("g", F.when(F.col("i") == 0, F.lit(1.0)).otherwise(F.col("d") / F.col("i")).alias("ndcg"))
 
 
 def precision_at(ranked: DataFrame, k: int, floor: float) -> DataFrame:
     """The share of the first k (or all, if fewer) with at least that relevance, per group."""
-    r = ranked.withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy("position", "item"))).filter(F.col("at") <= k)
+    r = first_rows(ranked, "g", ("position", "item"), k, "at")
     return r.groupBy("g").agg(F.avg((F.col("relevance") >= floor).cast("double")).alias("precision_at_k"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import bucket_of
+from siltstone.operators.places import placed
 
 FEATURES = ("log_size", "age_days", "lived_days", "ext_bucket", "class_bucket", "cluster_size", "position", "raw_score", "is_keep")
 
@@ -41,6 +42,6 @@ def ranked(model, rows: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def fallback_order(clusters: DataFrame) -> DataFrame:
-    """(cluster_id, place): deletion suggestions first, then by bytes, then by index, per batch."""
-    w = Window.partitionBy("batch_id").orderBy(F.desc("suggests_deletion"), F.desc("bytes"), "cluster_id")
-    return clusters.withColumn("place", F.row_number().over(w))
+    """(cluster_id, place): deletion suggestions first, then by bytes, then by index, per batch; ranges of a batch are numbered."""
+    out = placed(clusters, "batch_id", (F.desc("suggests_deletion"), F.desc("bytes"), F.asc("cluster_id")), "_n")
+    return out.withColumn("place", (F.col("at") + 1).cast("int")).drop("at", "_n")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import paths as P
 from siltstone.operators import rules as R
+from siltstone.operators.places import first_rows
 
 
 def effective_bytes():
@@ -65,9 +66,9 @@ def selected(cands: DataFrame, tiers: tuple[str, ...], group: str) -> DataFrame:
 
 def capped(rows: DataFrame, kind: str, order: str, cap: int) -> DataFrame:
     """The first ``cap`` rows of each kind, with how many there are over the cap."""
-    w = Window.partitionBy(kind)
-    out = rows.withColumn("_r", F.row_number().over(w.orderBy(order))).withColumn("n_over", F.greatest(F.count(F.lit(1)).over(w) - cap, F.lit(0)))
-    return out.filter(F.col("_r") <= cap).drop("_r")
+    n = rows.groupBy(F.col(kind).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    few = first_rows(rows, kind, (order,), cap, "_place").drop("_place").join(n, F.col(kind).eqNullSafe(F.col("_k")))
+    return few.withColumn("n_over", F.greatest(F.col("_n") - cap, F.lit(0))).drop("_k", "_n")
 
 
 def tail(rows: DataFrame, n: int) -> DataFrame:

@@ -13,6 +13,7 @@ from siltstone.functions import paths as P
 from siltstone.operators import eventlog as E
 from siltstone.operators import rules as R
 from siltstone.operators import similarity as N
+from siltstone.operators.places import placed
 from siltstone.sources.shared import written
 
 
@@ -96,10 +97,9 @@ def presented(rows: DataFrame) -> DataFrame:
 def chain_lines(members: DataFrame) -> DataFrame:
     """(cluster_id, id, line): "i of n" for members of version chains with a keeper, oldest first."""
     chain = members.filter(F.col("track") == "version_chain")
-    keyed = Window.partitionBy("cluster_id")
-    rows = chain.withColumn("_k", F.max(F.col("is_keep").cast("int")).over(keyed)).withColumn("_n", F.count(F.lit(1)).over(keyed)).filter("_k = 1")
-    i = F.row_number().over(keyed.orderBy(F.coalesce("position", F.lit(0)), "id"))
-    return rows.select("cluster_id", "id", F.concat(i.cast("string"), F.lit(" of "), F.col("_n").cast("string"), F.when(F.col("is_keep"), R.CHAIN_KEEP).otherwise("")).alias("line"))
+    kept = chain.filter("is_keep").select("cluster_id").distinct()
+    rows = placed(chain.join(kept, "cluster_id", "left_semi"), "cluster_id", (F.coalesce("position", F.lit(0)), "id"), "_n")
+    return rows.select("cluster_id", "id", F.concat((F.col("at") + 1).cast("string"), F.lit(" of "), F.col("_n").cast("string"), F.when(F.col("is_keep"), R.CHAIN_KEEP).otherwise("")).alias("line"))
 
 
 def burst_review(shots: DataFrame) -> DataFrame:

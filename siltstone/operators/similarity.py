@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars as S
+from siltstone.operators.places import placed
 from siltstone.sources.shared import written
 
 
@@ -294,11 +295,9 @@ def version_chain(members: DataFrame, chain: str = "chain_id", stem: str = "stem
     Signals disagree if a higher rank is older than some lower one; equal ranks or times don't count.
     """
     w = members.withColumn("version_rank", S.version_rank(F.col(stem)))
-    order = Window.partitionBy(chain).orderBy(F.coalesce("version_rank", F.lit(-1.0)), time_col, id_col)
-    w = w.withColumn("position", F.row_number().over(order) - 1)
+    w = placed(w, chain, (F.coalesce("version_rank", F.lit(-1.0)), F.col(time_col), F.col(id_col)), "_n").withColumn("position", F.col("at").cast("int"))
     by_rank = w.filter("version_rank IS NOT NULL").groupBy(chain, "version_rank").agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi"))
     lower = Window.partitionBy(chain).orderBy("version_rank").rowsBetween(Window.unboundedPreceding, -1)
     agree = by_rank.withColumn("before", F.max("hi").over(lower)).groupBy(chain).agg(F.bool_and(F.coalesce(F.col("lo") >= F.col("before"), F.lit(True))).alias("agree"))
     out = w.join(agree, chain, "left").withColumn("signals_agree", F.coalesce("agree", F.lit(True))).drop("agree")
-    last = F.col("position") == F.max("position").over(Window.partitionBy(chain))
-    return out.withColumn("is_keep", F.col("signals_agree") & last)
+    return out.withColumn("is_keep", F.col("signals_agree") & (F.col("at") == F.col("_n") - 1)).drop("at", "_n")

@@ -70,3 +70,23 @@ def test_places(spark):
         own = sorted((r["at"], r["id"]) for r in rows if r["g"] == g)
         assert [at for at, _ in own] == list(range(n)) and [i for _, i in own] == sorted((i for _, i in own), reverse=True)
         assert {r["n"] for r in rows if r["g"] == g} == {n}
+
+
+def test_running_sums_and_first_rows(spark):
+    import random
+
+    from siltstone.operators.places import first_rows, running
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randrange(3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, seq long, k int").repartition(6)
+    got = {r["seq"]: (r["n0"], r["s"]) for r in running(df, "g", ("seq",), {"n0": F.col("k") == 0, "s": F.col("k")}).collect()}
+    for g, i, _ in rows:
+        before = [k for h, j, k in rows if h == g and j < i]
+        assert got[i] == (before.count(0), sum(before))
+    first = sorted(((r["g"] or "", r["place"], r["seq"]) for r in first_rows(df, "g", (F.desc("seq"),), 3).collect()))
+    want = [(g or "", p, i) for g in (None, "a", "b") for p, i in enumerate(sorted((j for h, j, _ in rows if h == g), reverse=True)[:3], 1)]
+    assert first == want
+    at = {r["seq"]: (r["at"], r["n"]) for r in placed(df, "g", ("seq",), "n").collect()}
+    none = sorted(j for h, j, _ in rows if h is None)
+    assert [at[j] for j in none] == [(p, len(none)) for p in range(len(none))]
