@@ -342,3 +342,9 @@ SQL["eval_tier_joint"] = """WITH s AS (SELECT (n_chars % 97) / 97 AS s1, doc_id
 g AS (SELECT tier, x.v AS x, y.v AS y, count(*) FILTER (s1 >= x.v AND s2 >= y.v) AS n, count(*) FILTER (s1 >= x.v AND s2 >= y.v AND positive) AS tp, count(*) FILTER (positive) AS p FROM s, t x, t y GROUP BY ALL),
 r AS (SELECT x, y, CASE WHEN n = 0 THEN 1.0 ELSE tp / n END AS pr, CASE WHEN p = 0 THEN 0 ELSE tp / p END AS re FROM g)
 SELECT x, y, round(min(re), 8) AS worst_recall FROM r GROUP BY x, y HAVING bool_and(pr >= 0.8) ORDER BY min(re) DESC, x, y LIMIT 1"""
+OBSERVED = """WITH s AS (SELECT ((n_chars % 97) / 97)::DOUBLE AS s1, (doc_id % 89 / 89)::DOUBLE AS s2, quality = 1 AS positive, floor((n_chars % 97) / 97 * 2) AS tier FROM labels JOIN documents USING (doc_id)),
+v AS (SELECT x, y FROM (SELECT DISTINCT s1 AS x FROM s), (SELECT DISTINCT s2 AS y FROM s)), k AS (SELECT DISTINCT tier FROM s),
+c AS (SELECT k.tier, v.x, v.y, count(s.s1) AS n, count(s.s1) FILTER (positive) AS tp FROM k CROSS JOIN v LEFT JOIN s ON s.tier = k.tier AND s.s1 >= v.x AND s.s2 >= v.y GROUP BY ALL),
+p AS (SELECT tier, count(*) FILTER (positive) AS p FROM s GROUP BY tier)"""
+SQL["eval_joint_all"] = f"{OBSERVED} SELECT x, y, round(sum(tp) / (SELECT sum(p) FROM p), 8) AS recall FROM c GROUP BY x, y HAVING sum(n) > 0 AND sum(tp) / sum(n) >= 0.9 ORDER BY recall DESC, x, y LIMIT 1"
+SQL["eval_tier_joint_all"] = f"""{OBSERVED} SELECT x, y, round(min(tp / p), 8) AS worst_recall FROM c JOIN p ON c.tier = p.tier GROUP BY x, y HAVING bool_and(n > 0 AND tp / greatest(n, 1) >= 0.88 AND tp / p >= 0.01) ORDER BY worst_recall DESC, x, y LIMIT 1"""

@@ -11,6 +11,7 @@ from siltstone.operators import detectors as D
 from siltstone.operators import duplicates as U
 from siltstone.operators import eventlog as E
 from siltstone.operators import inventory as I
+from siltstone.operators import joint as JT
 from siltstone.operators import metrics as M
 from siltstone.operators import ranking as K
 from siltstone.operators import report as T
@@ -1017,3 +1018,16 @@ def eval_tier_joint(spark: SparkSession, d: str) -> DataFrame:
         grid = g if grid is None else grid.unionByName(g)
     best = grid.groupBy("x", "y").agg(F.bool_and(F.col("precision") >= 0.8).alias("ok"), F.min("recall").alias("worst")).filter("ok").orderBy(F.desc("worst"), "x", "y").limit(1)
     return best.select("x", "y", F.round("worst", 8).alias("worst_recall"))
+
+
+@query
+def eval_joint_all(spark: SparkSession, d: str) -> DataFrame:
+    """The best pair of thresholds of all that are observed."""
+    return JT.joint_best(_two(spark, d), 0.9).select("x", "y", F.round("worst_recall", 8).alias("recall"))
+
+
+@query
+def eval_tier_joint_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same with tiers that are each to be precise enough."""
+    x = _two(spark, d).withColumn("tier", F.floor(F.col("s1") * 2).cast("int"))
+    return JT.joint_best(x, 0.88, 0.01, "tier").withColumn("worst_recall", F.round("worst_recall", 8))
