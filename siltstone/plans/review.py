@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import paths as P
 from siltstone.functions import scalars as S
+from siltstone.operators import applying as AP
 from siltstone.operators import eventlog as E
 from siltstone.operators import groups as GR
 from siltstone.operators import inventory as I
@@ -675,3 +676,29 @@ def settings_of_groups(spark: SparkSession, d: str) -> DataFrame:
     found = Q._cands(spark, d).groupBy("category_group").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"))
     rows = V.settings(spark, "safe").join(found, "category_group", "left")
     return rows.select("category_group", "enabled", F.coalesce("retention_days", F.lit(-1)).alias("retention_days"), "forced_off", "label", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
+# ---- applying batches ----
+
+
+def _applied(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as items of sixty batches, in some of which one is blocked."""
+    i = F.col("o_orderkey")
+    items = table(spark, d, "orders").select(
+        F.concat(F.lit("b"), (F.col("o_custkey") % 60).cast("string")).alias("batch_id"), F.concat(F.lit("/f/"), i.cast("string")).alias("path"), F.lit("vault").alias("requested_method"), F.when(i % 3 != 0, (i % 60).cast("int")).alias("retention_days"),
+        (F.col("o_totalprice") * 10000).cast("long").alias("size_bytes"), (i * 31 % 100000).alias("entry_count"), (i % 4 == 0).alias("size_guard_exempt"), (i % 2 == 0).alias("rebuildable"),
+        F.when((F.col("o_custkey") % 60 < 9) & (i % 97 == 0), Y.BLOCKED).otherwise("eligible").alias("verdict"), (i % 47 == 0).alias("in_use"), (i % 53 == 0).alias("is_shared"), (i % 59 == 0).alias("is_changed"), (i % 61 == 0).alias("subtree_differs"),
+    )
+    return AP.applied(items, "/vault", Q.NOW)
+
+
+@query
+def apply_report(spark: SparkSession, d: str) -> DataFrame:
+    """What applying whole batches would do: refusals, skips, bytes, and what is purged at once."""
+    return _applied(spark, d)[2].withColumn("refusal", F.coalesce("refusal", F.lit("-")))
+
+
+@query
+def apply_events(spark: SparkSession, d: str) -> DataFrame:
+    """The log that applying whole batches would leave."""
+    return _applied(spark, d)[1].select("seq", "batch_id", "original_path", "operation", "phase", "method", "purged")

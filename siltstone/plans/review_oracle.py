@@ -227,3 +227,14 @@ sha256(array_to_string(w[1:greatest(1, floor(len(w) * 0.7::DOUBLE)::INT)], ' '))
 SQL["pair_truth"] = """WITH p AS (SELECT p_partkey // 24 AS "set", p_partkey AS id, p_partkey // 4 AS block FROM part) SELECT x."set", x.id AS a, y.id AS b, x.block = y.block AS is_same FROM p x JOIN p y ON x."set" = y."set" AND x.id < y.id"""
 SQL["settings_of_groups"] = f"""{O.CANDS}, g AS ({SQL["settings_listing"].replace("WITH g AS", "WITH gg AS").replace("FROM g", "FROM gg")}), f AS (SELECT category_group, count(*) AS n, sum(size_bytes)::BIGINT AS bytes FROM cands GROUP BY 1)
 SELECT g.category_group, enabled, retention_days, forced_off, label, coalesce(n, 0) AS n, coalesce(bytes, 0)::BIGINT AS bytes FROM g LEFT JOIN f ON g.category_group = f.category_group"""
+
+# ---- applying batches ----
+
+APPLIED = """WITH o AS (SELECT o_orderkey AS i, o_custkey % 60 AS b, '/f/' || o_orderkey AS path, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 60 END AS days, trunc(o_totalprice * 10000)::BIGINT AS size, o_orderkey * 31 % 100000 AS entries FROM orders),
+g AS (SELECT *, (size >= 1073741824 AND i % 4 <> 0) OR entries >= 87882 AS guarded, bool_or(b < 9 AND i % 97 = 0) OVER (PARTITION BY b) AS blocked FROM o),
+m AS (SELECT *, CASE WHEN days IS NULL AND NOT guarded THEN 'direct_delete' ELSE 'vault' END AS method, days IS NULL AND guarded AND i % 2 = 0 AS zero FROM g),
+k AS (SELECT *, CASE WHEN blocked THEN 'refused' WHEN i % 47 = 0 OR (i % 53 = 0 AND method <> 'vault') OR i % 59 = 0 OR (i % 61 = 0 AND method = 'direct_delete') THEN 'skipped' ELSE 'applied' END AS outcome FROM m)"""
+SQL["apply_report"] = f"""{APPLIED} SELECT 'b' || b AS batch_id, CASE WHEN bool_or(blocked) THEN 'blocked_item' ELSE '-' END AS refusal, count(*) AS n_items, count(*) FILTER (outcome = 'applied') AS n_applied, count(*) FILTER (outcome = 'skipped') AS n_skipped,
+coalesce(sum(size) FILTER (outcome = 'applied'), 0)::BIGINT AS bytes, count(*) FILTER (outcome = 'applied' AND zero) AS n_purged, coalesce(sum(size) FILTER (outcome = 'applied' AND zero), 0)::BIGINT AS bytes_purged FROM k GROUP BY b"""
+SQL["apply_events"] = f"""{APPLIED}, e AS (SELECT 'b' || b AS batch_id, path, method, 0 AS stage, unnest([0, 1]) AS phase FROM k WHERE outcome = 'applied' UNION ALL SELECT 'b' || b, path, method, 1, unnest([0, 1]) FROM k WHERE outcome = 'applied' AND zero)
+SELECT row_number() OVER (ORDER BY batch_id, stage, path, phase) - 1 AS seq, batch_id, path AS original_path, CASE stage WHEN 0 THEN 'apply' ELSE 'purge' END AS operation, CASE phase WHEN 0 THEN 'intent' ELSE 'done' END AS phase, method, stage = 1 AND e.phase = 1 AS purged FROM e"""
