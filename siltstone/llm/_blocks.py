@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.sources.shared import scratch, written  # noqa: F401 - the operators' own imports
 
 #: Text bytes that one vectorised step takes at once.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def release() -> None:

@@ -20,7 +20,7 @@ ROUNDS = 2
 #: Bits of a set's bitmap for each of its members, about, and the least bits.
 BITMAP_EACH, LEAST_BITS = 8, 512
 #: Text bytes of a block whose sets are passed on whole.
-SET_BLOCK = 4 << 20
+SET_BLOCK = 3 << 20
 #: Signatures whose keys are passed on at once.
 KEY_ROWS = 1024
 #: Rows of one key that meet in one task at most; larger groups are cut into blocks against blocks.

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import as_list, blocks, ddl, fields, gather, mix, plain, row_of, texts_of, word_codes, word_hashes
+from siltstone.llm._blocks import as_list, blocks, ddl, fields, gather, mix, plain, row_of, text_batches, texts_of, word_codes, word_hashes
 
 #: Labelled documents of each kind that a fit uses at most.
 MOST_LABELLED = 1000
@@ -108,7 +108,9 @@ def recurring_lines(df: DataFrame, text_col: str = "text") -> np.ndarray:
     least = max(FEWEST_PLACES, int(RECURRING * df.count()))
     places = df.select(F.col(text_col).alias("text")).mapInArrow(run, "line long, place long").distinct()
     found = places.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("line")
-    return np.sort(np.array([r["line"] for r in found.collect()], dtype=np.int64).view(np.uint64))
+    with text_batches(df.sparkSession):
+        rows = found.collect()
+    return np.sort(np.array([r["line"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
 def measured(column: pa.Array, recurring: np.ndarray | None = None) -> Measures:
@@ -328,7 +330,8 @@ def fit_field(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_
             yield pa.RecordBatch.from_arrays([block.column(2), block.column(1), pa.array(out, pa.binary())], names=["id", "quality", "features"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = chosen.mapInArrow(run, f"id {kind}, quality long, features binary").collect()
+    with text_batches(docs.sparkSession):
+        rows = chosen.mapInArrow(run, f"id {kind}, quality long, features binary").collect()
     rows = sorted((r for r in rows if r["features"]), key=lambda r: (r["id"], bytes(r["features"])))
     if len({r["quality"] for r in rows}) < 2:
         return None
