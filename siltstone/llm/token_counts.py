@@ -10,10 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._blocks import BLOCK_BYTES, blocks, gather, texts_of, word_codes
+from siltstone.llm._blocks import blocks, gather, texts_of, word_codes
 from siltstone.llm.vocab import default_path, word_vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
+#: Text bytes whose distinct words are encoded at once.
+BLOCK = 8 << 20
 #: Text bytes whose prefix counts one step holds.
 STEP_BYTES = 4 << 20
 SPACE = np.zeros(256, dtype=bool)
@@ -84,7 +86,7 @@ def token_prefix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, limit=BLOCK_BYTES):
+        for block in blocks(batches, limit=BLOCK):
             ids = block.column(0)
             for row, n, counts, ends, starts_char in byte_counts(block.column(1), path):
                 lists, edges = [], [0]
@@ -119,7 +121,7 @@ def token_budget(df: DataFrame, limit: int = 2048, id_col: str = "doc_id", text_
     kind = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, limit=BLOCK_BYTES):
+        for block in blocks(batches, limit=BLOCK):
             ids = block.column(0)
             for row, n, counts, ends, starts_char in byte_counts(block.column(1), path):
                 sizes = np.diff(ends)
