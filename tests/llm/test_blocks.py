@@ -18,7 +18,7 @@ from siltstone.llm import token_counts as T
 from siltstone.llm import vocab
 
 SMALL = 300
-CONSTANTS = [(S, "BLOCK"), (L, "BLOCK_BYTES"), (T, "BLOCK_BYTES"), (Q, "BLOCK"), (K, "BLOCK"), (P, "BLOCK"), (N, "BLOCK_BYTES"), (N, "SET_BLOCK")]
+CONSTANTS = [(S, "BLOCK"), (L, "BLOCK_BYTES"), (T, "BLOCK"), (Q, "BLOCK"), (K, "BLOCK"), (P, "BLOCK"), (N, "BLOCK_BYTES"), (N, "SET_BLOCK")]
 
 
 def one_batch(spark, extra=True):
