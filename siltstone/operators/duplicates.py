@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import paths as P
 from siltstone.operators import rules as R
 from siltstone.operators import safety as S
+from siltstone.operators.places import placed
 
 EDGE = 64 * 1024
 
@@ -90,3 +91,21 @@ def review_top(cands: DataFrame, limit: int = 15) -> DataFrame:
     """The clusters with most bytes to free."""
     g = cands.groupBy("full_hash", "keep_path").agg(F.count(F.lit(1)).alias("n_duplicates"), F.sum("size").alias("bytes"))
     return g.orderBy(F.desc("bytes"), "full_hash").limit(limit)
+
+
+def immaterial_line(stats: DataFrame, floor: int = R.DUPLICATE_FLOOR) -> DataFrame:
+    """(line): what is said of immaterial() sizes; no row where there are none."""
+    number = lambda c: F.format_number(c, 0)
+    line = F.concat(F.col("n_buckets").cast("string"), F.lit(" sizes that several files share could free less than "), number(F.lit(floor)), F.lit(" bytes each and weren't hashed; at best "), number(F.col("bytes")), F.lit(" bytes"))
+    return stats.filter("n_buckets > 0").select(line.alias("line"))
+
+
+def member_rows(members: DataFrame, block: int = 100) -> DataFrame:
+    """(full_hash, page, members array<struct<path, is_keep>>): the members of each cluster in pages, the kept one first, then by path.
+
+    A cluster of very many copies has many pages, so none is one row.
+    """
+    order = (F.desc("is_keep"), F.asc("path"))
+    placed_ = placed(members.select("full_hash", "path", "is_keep"), "full_hash", order, "_n")
+    pages = placed_.withColumn("page", F.floor(F.col("at") / block)).groupBy("full_hash", "page").agg(F.sort_array(F.collect_list(F.struct("at", "path", "is_keep"))).alias("m"))
+    return pages.select("full_hash", "page", F.transform("m", lambda x: F.struct(x["path"].alias("path"), x["is_keep"].alias("is_keep"))).alias("members"))

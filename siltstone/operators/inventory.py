@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,3 +164,34 @@ def path_class(path: Column, placeholder: Column, git_root: Column, classes: tup
     for segment, label in classes:
         out = out.when(P.has_segment(path, segment), label)
     return out.otherwise("other")
+
+
+def composed(names: pd.Series) -> pd.Series:
+    """Names in their composed form, in which equal names are equal strings."""
+    return names.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+def reread(asked: DataFrame, inv: DataFrame) -> DataFrame:
+    """(asked, path, ...): the rows of an inventory that asked paths stand for, by folder and composed name; none for paths that aren't there.
+
+    Only names may be written in another form; folders are as they are. Names without
+    other than plain letters need no composing.
+    """
+    compose = F.pandas_udf(composed, "string")
+    plain = lambda c: F.when(F.rlike(c, F.lit("^[\\x00-\\x7F]*$")), c).otherwise(compose(c))
+    left = asked.select(F.col("path").alias("asked"), P.parent_of(F.col("path")).alias("_f"), plain(P.name_of(F.col("path"))).alias("_k"))
+    right = inv.withColumn("_f", P.parent_of(F.col("path"))).withColumn("_k", plain(P.name_of(F.col("path"))))
+    return left.join(right, ["_f", "_k"]).drop("_f", "_k")
+
+
+def live_subtree(inv: DataFrame, root: str) -> DataFrame:
+    """The root and what is below it, without what lies behind a link or other reparse point, which itself is there."""
+    rows = inv.filter(P.in_subtree(F.col("path"), root))
+    gates = rows.filter(F.col("is_reparse_point")).select(F.col("path").alias("a"))
+    behind = rows.select("path", F.explode(P.proper_ancestors(F.col("path"))).alias("a")).join(gates, "a", "left_semi").select("path").distinct()
+    return rows.join(behind, "path", "left_anti")
+
+
+def has_any(inv: DataFrame) -> DataFrame:
+    """One row: whether there is any record; the scan ends at the first."""
+    return inv.select(F.lit(1)).limit(1).agg((F.count(F.lit(1)) > 0).alias("has_any"))

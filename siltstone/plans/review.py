@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import paths as P
 from siltstone.functions import scalars as S
 from siltstone.operators import applying as AP
+from siltstone.operators import duplicates as U
 from siltstone.operators import eventlog as E
 from siltstone.operators import groups as GR
 from siltstone.operators import inventory as I
@@ -26,6 +27,7 @@ from siltstone.operators import tracks as A
 from siltstone.operators import treehash as TH
 from siltstone.plans import queries as Q
 from siltstone.sources import files as X
+from siltstone.sources import images as IM
 from siltstone.sources import logs as L
 from siltstone.sources import walk as WK
 from siltstone.sources.adapters import files, table
@@ -702,3 +704,76 @@ def apply_report(spark: SparkSession, d: str) -> DataFrame:
 def apply_events(spark: SparkSession, d: str) -> DataFrame:
     """The log that applying whole batches would leave."""
     return _applied(spark, d)[1].select("seq", "batch_id", "original_path", "operation", "phase", "method", "purged")
+
+
+# ---- images of files, names in other forms, what is live, and lines shown ----
+
+
+@query
+def decoded_images(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as grey PNG files of 8 times 8, some cut, changed or missing: sizes, hash and reasons."""
+    i = F.col("vec_id")
+    grey = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 64 + 128))).cast("int"))
+    packed = IM.encoded(table(spark, d, "embeddings").select(i.cast("string").alias("path"), grey.alias("pixels")), 8, 8)
+    k = F.col("path").cast("long")
+    broken = F.when(k % 10 == 1, F.substring("content", F.lit(1), F.lit(50))).when(k % 10 == 2, F.concat(F.lit(b"GIF89a"), "content")).when(k % 10 == 3, F.lit(None)).otherwise(F.col("content"))
+    out = IM.decoded(packed.select("path", broken.alias("content")))
+    hashed = V.image_features(out.select("path", "width", "height", "reason", "pixels"), "pixels", 8, 8)
+    return hashed.select(k.alias("vec_id"), F.coalesce("width", F.lit(-1)).alias("width"), F.coalesce("dhash", F.lit("-")).alias("dhash"), F.coalesce("reason", F.lit("-")).alias("reason"))
+
+
+@query
+def paths_reread(spark: SparkSession, d: str) -> DataFrame:
+    """Asked paths whose names are written apart, against names that are composed, and the other way round."""
+    f = files(spark, d).select("file_id", "size", F.concat("path", F.when(F.col("file_id") % 3 == 0, "e\u0301").when(F.col("file_id") % 3 == 1, "\u00e9").otherwise("e")).alias("path"))
+    asked = f.select(F.when(F.col("file_id") % 7 == 0, F.concat("path", F.lit("?"))).otherwise(F.replace(F.col("path"), F.lit("\u00e9"), F.lit("e\u0301"))).alias("path"))
+    other = asked.select(F.when(F.length("path") % 2 == 0, F.replace(F.col("path"), F.lit("e\u0301"), F.lit("\u00e9"))).otherwise(F.col("path")).alias("path"))
+    return I.reread(other, f).select("asked", "path", "size")
+
+
+@query
+def live_subtree(spark: SparkSession, d: str) -> DataFrame:
+    """What is live below a folder: nothing behind a link."""
+    inv = Q.inventory(spark, d)
+    gate = F.col("is_dir") & F.col("path").rlike("/projects/p[0-9]*[37]$")
+    return I.live_subtree(inv.withColumn("is_reparse_point", gate | F.col("is_reparse_point")), "/src2").select("path", "is_dir")
+
+
+@query
+def any_records(spark: SparkSession, d: str) -> DataFrame:
+    """Which sources have any record of some kind."""
+    f = files(spark, d).select(F.split("path", "/")[1].alias("source"), "is_reparse_point")
+    known = f.groupBy("source").agg(F.bool_or("is_reparse_point").alias("has_links"))
+    return known.crossJoin(F.broadcast(I.has_any(f)))  # one row
+
+
+@query
+def immaterial_note(spark: SparkSession, d: str) -> DataFrame:
+    """The line on sizes that aren't worth hashing, beside each extension that they are of."""
+    inv = Q.inventory(spark, d)
+    line = U.immaterial_line(U.immaterial(inv, Q.FLOOR), Q.FLOOR)
+    return inv.filter(~F.col("is_dir")).groupBy("ext").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(line))  # one row at most
+
+
+@query
+def duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    """The members of duplicate clusters in pages of three, the kept one first."""
+    rows = U.member_rows(Q._kept(spark, d), 3)
+    shown = F.array_join(F.transform("members", lambda m: F.concat(F.when(m["is_keep"], "+").otherwise("-"), m["path"])), ",")
+    return rows.select("full_hash", "page", F.size("members").alias("n"), shown.alias("members"))
+
+
+@query
+def live_mode(spark: SparkSession, d: str) -> DataFrame:
+    """The mode that each customer's log of changes ends in."""
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "O", "power").otherwise("safe").alias("to_mode"))
+    whole = Y.current_mode(o.select("seq", "to_mode"))
+    return o.groupBy("o_custkey").agg(F.max_by("to_mode", "seq").alias("mode")).crossJoin(F.broadcast(whole.withColumnRenamed("mode", "of_all")))  # one row
+
+
+@query
+def burst_same_size(spark: SparkSession, d: str) -> DataFrame:
+    """Bursts of images of equal width and height, near in time and in bits."""
+    i = F.col("vec_id")
+    shots = table(spark, d, "embeddings").select(i.alias("id"), (F.col("label") % 3 * 100 + 800).alias("width"), (i % 2 * 100 + 600).alias("height"), (i * 37 % 5000).alias("at"), Q._wide_hash().alias("hash"))
+    return N.alike_bursts(shots, ["width", "height"], "at", "hash", 60.0, 14)

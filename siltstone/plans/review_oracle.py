@@ -238,3 +238,23 @@ SQL["apply_report"] = f"""{APPLIED} SELECT 'b' || b AS batch_id, CASE WHEN bool_
 coalesce(sum(size) FILTER (outcome = 'applied'), 0)::BIGINT AS bytes, count(*) FILTER (outcome = 'applied' AND zero) AS n_purged, coalesce(sum(size) FILTER (outcome = 'applied' AND zero), 0)::BIGINT AS bytes_purged FROM k GROUP BY b"""
 SQL["apply_events"] = f"""{APPLIED}, e AS (SELECT 'b' || b AS batch_id, path, method, 0 AS stage, unnest([0, 1]) AS phase FROM k WHERE outcome = 'applied' UNION ALL SELECT 'b' || b, path, method, 1, unnest([0, 1]) FROM k WHERE outcome = 'applied' AND zero)
 SELECT row_number() OVER (ORDER BY batch_id, stage, path, phase) - 1 AS seq, batch_id, path AS original_path, CASE stage WHEN 0 THEN 'apply' ELSE 'purge' END AS operation, CASE phase WHEN 0 THEN 'intent' ELSE 'done' END AS phase, method, stage = 1 AND e.phase = 1 AS purged FROM e"""
+
+# ---- images of files, names in other forms, what is live, and lines shown ----
+
+SQL["decoded_images"] = """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, floor(x::DOUBLE * 64 + 128)))::INT) AS p FROM embeddings),
+r AS (SELECT *, CASE vec_id % 10 WHEN 1 THEN 'cut' WHEN 2 THEN 'not_png' WHEN 3 THEN 'unreadable' END AS reason FROM p)
+SELECT vec_id, CASE WHEN reason IS NULL THEN 8 ELSE -1 END AS width, CASE WHEN reason IS NULL THEN array_to_string(list_transform(range(0, 56), lambda i: CASE WHEN p[i // 7 * 8 + i % 7 + 2] > p[i // 7 * 8 + i % 7 + 1] THEN '1' ELSE '0' END), '') ELSE '-' END AS dhash, coalesce(reason, '-') AS reason FROM r"""
+SQL["paths_reread"] = f"""{O.FIL}, f AS (SELECT file_id, size, path || CASE file_id % 3 WHEN 0 THEN 'e' || chr(769) WHEN 1 THEN chr(233) ELSE 'e' END AS path FROM files),
+a AS (SELECT CASE WHEN file_id % 7 = 0 THEN path || '?' ELSE replace(path, chr(233), 'e' || chr(769)) END AS path FROM f), o AS (SELECT CASE WHEN length(path) % 2 = 0 THEN replace(path, 'e' || chr(769), chr(233)) ELSE path END AS asked FROM a)
+SELECT asked, f.path, f.size FROM o JOIN f ON nfc_normalize(o.asked) = nfc_normalize(f.path)"""
+SQL["live_subtree"] = f"""{O.INV}, r AS (SELECT path, is_dir, is_reparse_point OR (is_dir AND regexp_matches(path, '/projects/p[0-9]*[37]$')) AS gate FROM inv WHERE path = '/src2' OR starts_with(path, '/src2/'))
+SELECT path, is_dir FROM r WHERE NOT EXISTS (SELECT 1 FROM r g WHERE g.gate AND starts_with(r.path, g.path || '/'))"""
+SQL["any_records"] = f"{O.FIL} SELECT string_split(path, '/')[2] AS source, bool_or(is_reparse_point) AS has_links, (SELECT count(*) > 0 FROM files) AS has_any FROM files GROUP BY 1"
+SQL["immaterial_note"] = f"""{O.INV}, s AS (SELECT size, count(*) AS n, (count(*) - 1) * size AS surplus FROM inv WHERE NOT is_dir AND size > 0 AND NOT is_cloud_placeholder GROUP BY size HAVING count(*) >= 2),
+t AS (SELECT count(*) AS n_buckets, coalesce(sum(surplus), 0)::BIGINT AS bytes FROM s WHERE surplus < 200000)
+SELECT ext, count(*) AS n, any_value(n_buckets || ' sizes that several files share could free less than 200,000 bytes each and weren''t hashed; at best ' || format('{{:,}}', bytes) || ' bytes') AS line FROM inv, t WHERE NOT is_dir AND n_buckets > 0 GROUP BY ext"""
+SQL["duplicate_members"] = f"""{O.DUP}, k AS (SELECT full_hash, path, path = keep_path AS is_keep FROM ke), pg AS (SELECT *, row_number() OVER (PARTITION BY full_hash ORDER BY is_keep DESC, path) - 1 AS pos FROM k)
+SELECT full_hash, pos // 3 AS page, count(*)::INT AS n, string_agg(CASE WHEN is_keep THEN '+' ELSE '-' END || path, ',' ORDER BY pos) AS members FROM pg GROUP BY 1, 2"""
+SQL["live_mode"] = "SELECT o_custkey, arg_max(CASE WHEN o_orderstatus = 'O' THEN 'power' ELSE 'safe' END, o_orderkey) AS mode, (SELECT arg_max(CASE WHEN o_orderstatus = 'O' THEN 'power' ELSE 'safe' END, o_orderkey) FROM orders) AS of_all FROM orders GROUP BY o_custkey"
+SQL["burst_same_size"] = f"""WITH RECURSIVE h AS (SELECT vec_id AS id, label % 3 AS w, vec_id % 2 AS g, vec_id * 37 % 5000 AS t, {WIDE_HASH} AS h FROM embeddings), e AS (SELECT x.id AS a, y.id AS b FROM h x JOIN h y ON x.w = y.w AND x.g = y.g AND abs(x.t - y.t) <= 60 AND bit_count(xor(x.h, y.h)) <= 14),
+r {LINKED.format("e", "r")} SELECT id, min(r) AS burst FROM r GROUP BY id"""
