@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -527,15 +528,26 @@ def _plant(batches):
         yield batch
 
 
+def _pull_up(batches):
+    """Removes the deep directories that _plant() made, which other programs may stumble over."""
+    for batch in batches:
+        for folder in batch["path"]:
+            shutil.rmtree(f"{folder}/{'d' * 250}", ignore_errors=True)
+        yield batch
+
+
 def _walked(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
-    """A tree with a folder for each nation and segment of customers, their names in a file, and what _plant() adds to each nation's folder."""
+    """The walk of a tree with a folder for each nation and segment of customers, their names in a file, and what _plant() adds to each nation's folder for as long as the walk takes."""
     path = scratch(spark)
     names = table(spark, d, "customer").select("c_nationkey", "c_mktsegment", "c_name")
     names.repartition("c_nationkey", "c_mktsegment").write.partitionBy("c_nationkey", "c_mktsegment").text(path)
     root = "/" + path.removeprefix("file:").lstrip("/")
     nations = WK.entries(WK.read_tree(spark, root)).filter(F.col("is_dir") & (F.col("parent") == root)).select("path")
+    nations = written(nations)
     nations.mapInPandas(_plant, "path string").count()
-    return root, WK.read_tree(spark, root)
+    rows = written(WK.read_tree(spark, root))
+    nations.mapInPandas(_pull_up, "path string").count()
+    return root, rows
 
 
 @query

@@ -1,6 +1,7 @@
 """Walking a tree, with what can't be read."""
 
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ def tree(tmp_path_factory):
     (root / "long").mkdir()
     deep(root / "long")
     os.link(root / "top.txt", root / "again.txt")
-    return root
+    yield root
+    shutil.rmtree(root / "long")
 
 
 @pytest.mark.parametrize("least", [1, 4, 500])
