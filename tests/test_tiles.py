@@ -7,6 +7,7 @@ import pytest
 
 from siltstone.operators import similarity as N
 from siltstone.operators import tiles as TL
+from siltstone.plans import catalogue
 
 
 def hashes(seed, n=120):
@@ -59,3 +60,12 @@ def test_hamming_sends_no_hashes_to_the_driver(spark):
     df = spark.createDataFrame(list(enumerate(hashes(1))), "id long, hash long")
     assert "Broadcast" not in plan(N.hamming_pairs(df, 14)) and "Broadcast" not in plan(N.hamming_pairs(df, 4, chunks=2))
     assert "Broadcast" not in plan(N.hamming_links(df, 14))
+
+
+@pytest.mark.parametrize("name", ["image_keep_best", "residual_images", "label_candidates"])
+def test_queries_of_links_list_no_pairs(spark, monkeypatch, name):
+    monkeypatch.setattr(N, "hamming_pairs", None)
+    out = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    if name == "residual_images":
+        assert "Broadcast" not in plan(out)
+    assert out.count() > 0
