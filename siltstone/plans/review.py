@@ -420,9 +420,8 @@ def ranking_rows(spark: SparkSession, d: str) -> DataFrame:
 def residual_images(spark: SparkSession, d: str) -> DataFrame:
     """Vectors that no near pair has, for the next track."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), Q._wide_hash().alias("hash"))
-    pairs = N.hamming_pairs(e, 4)
-    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return e.join(used, "id", "left_anti").select("id")
+    used = N.hamming_links(e, 4).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return e.join(used.hint("merge"), "id", "left_anti").select("id")
 
 
 @query
