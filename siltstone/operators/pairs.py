@@ -123,7 +123,7 @@ def label_candidates(items: DataFrame, most: int = 15, each: int = EACH, seed: i
 
     ``items`` has (id, h). ``distance`` is a pair's; clusters have none.
     """
-    found = written(N.components(N.hamming_pairs(items.filter("h IS NOT NULL"), most, "id", "h").select("a", "b")))
+    found = written(N.components(N.hamming_links(items, most, "id", "h")))
     near = found.select(F.lit(STRATA[0]).alias("stratum"), F.concat(F.lit("near-"), F.col("component").cast("string")).alias("candidate"), "id", F.lit(None).cast("int").alias("distance"))
     pairs = stratified_pairs(items.join(found.select("id", F.col("component").alias("cluster")), "id", "left"), each, seed)
     named = F.concat_ws("-", "stratum", F.col("draw").cast("string"))
