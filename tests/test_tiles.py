@@ -69,3 +69,21 @@ def test_queries_of_links_list_no_pairs(spark, monkeypatch, name):
     if name == "residual_images":
         assert "Broadcast" not in plan(out)
     assert out.count() > 0
+
+
+@pytest.mark.parametrize(("block", "least"), [(TL.BLOCK, 0.35), (25, 0.35), (25, -2.0)])
+def test_knn_in_tiles(spark, monkeypatch, block, least):
+    rng = np.random.default_rng(block)
+    m = np.concatenate([rng.normal(size=(80, 6)), rng.normal(size=(4, 6)).repeat(5, axis=0)])
+    monkeypatch.setattr(TL, "CELLS", 200)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = u @ u.T
+    df = spark.createDataFrame([*((i, [float(x) for x in v]) for i, v in enumerate(m)), (900, None)], "vec_id long, embedding array<double>")
+    got = {}
+    out = N.knn(df, 3, least, block_rows=block)
+    for r in out.collect():
+        got.setdefault(r["a"], []).append((-round(r["cosine"], 6), r["b"]))
+    for i in range(len(m)):
+        want = sorted((-round(s[i, j], 6), j) for j in range(len(m)) if j != i and s[i, j] >= least)[:3]
+        assert sorted(got.get(i, [])) == want
+    assert "Broadcast" not in plan(out)
