@@ -44,12 +44,13 @@ def partial_hash(content: Column, edge: int = EDGE) -> Column:
 def clusters(inv: DataFrame, floor: int = R.DUPLICATE_FLOOR, edge: int = EDGE) -> DataFrame:
     """Members of exact-duplicate clusters with their full hash: size, then ends, then whole content must agree.
 
-    Each step drops singles before the next hash is taken. A hot content spreads over
-    partial counts; only hashes, sizes and paths travel to the last step.
+    Both hashes are taken where the rows are read, so that no content is shuffled; each
+    step drops singles before the next one. A hot content spreads over partial counts.
     """
-    rows = size_candidates(inv, floor).withColumn("partial_hash", partial_hash(F.col("content"), edge))
+    hashed = _countable(inv).withColumns({"partial_hash": partial_hash(F.col("content"), edge), "full_hash": F.sha2("content", 256)}).drop("content")
+    rows = hashed.join(size_buckets(inv, floor).select("size"), "size", "left_semi")
     several = rows.groupBy("size", "partial_hash").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
-    rows = rows.join(several, ["size", "partial_hash"], "left_semi").withColumn("full_hash", F.sha2("content", 256)).drop("content")
+    rows = rows.join(several, ["size", "partial_hash"], "left_semi")
     whole = rows.groupBy("size", "full_hash").agg(F.count(F.lit(1)).alias("cluster_size")).filter("cluster_size >= 2")
     return rows.join(whole, ["size", "full_hash"])
 
