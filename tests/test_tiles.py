@@ -87,3 +87,9 @@ def test_knn_in_tiles(spark, monkeypatch, block, least):
         want = sorted((-round(s[i, j], 6), j) for j in range(len(m)) if j != i and s[i, j] >= least)[:3]
         assert sorted(got.get(i, [])) == want
     assert "Broadcast" not in plan(out)
+
+
+def test_bursts_send_no_classes_to_the_driver(spark):
+    h = hashes(2)
+    shots = spark.createDataFrame([(i, i % 2, float(i * 7 % 90), x) for i, x in enumerate(h)], "id long, g int, at double, hash long")
+    assert "Broadcast" not in plan(N.alike_bursts(shots, ["g"], "at", "hash", 10.0, 9))
