@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from siltstone.functions import paths as P
 
 TEXT_EXTENSIONS = (".txt", ".md")
+#: Files whose contents are unpacked or packed at once.
+ROWS = 200
 #: Where a word-processor file holds its text, the names of its elements, and the most bytes of it that are unpacked.
 PART, SPACE, MOST_PART = "word/document.xml", "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}", 256 << 20
 
@@ -73,6 +75,13 @@ def paragraphs(content: bytes) -> tuple[str | None, str | None]:
     return "\n".join(lines), None
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that only those are held as Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def document_texts(files: DataFrame) -> DataFrame:
     """(path, text, reason) of files (path, ext, content): the text, or null and the reason why there is none.
 
@@ -82,7 +91,7 @@ def document_texts(files: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for ext, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if content is None:
@@ -101,11 +110,11 @@ def document_texts(files: DataFrame) -> DataFrame:
 def packed(texts: DataFrame) -> DataFrame:
     """(path, content): texts (path, text) as .docx files, a paragraph for each line."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{SPACE[1:-1]}"><w:body>'
-        for batch in batches:
+        for batch in small(batches):
             out = []
-            for text in batch["text"]:
+            for text in batch.column(1).to_pylist():
                 if text is None:
                     out.append(None)
                     continue
@@ -114,6 +123,6 @@ def packed(texts: DataFrame) -> DataFrame:
                 with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
                     z.writestr(zipfile.ZipInfo(PART), f"{head}{body}</w:body></w:document>")
                 out.append(raw.getvalue())
-            yield pd.DataFrame({"path": batch["path"], "content": out})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "content"])
 
-    return texts.select("path", "text").mapInPandas(run, "path string, content binary")
+    return texts.select("path", "text").mapInArrow(run, "path string, content binary")
