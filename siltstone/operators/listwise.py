@@ -149,7 +149,7 @@ def fitted(rows: DataFrame, names: tuple[str, ...] = FEATURES, rounds: int = ROU
     for i in range(rounds):
         moves = gradients(data.select("grp", "id", "label", "score"), k).filter("h > 0")
         moves = moves.select("grp", (F.col("id") + F.lit(0)).alias("id"), (F.col("g") / (F.col("h") + DAMPING)).alias("_y"), (F.col("h") + DAMPING).alias("_w"))
-        taught = written(data.join(moves, ["grp", "id"]).select("_x", "_y", "_w"))
+        taught = written(data.join(moves.hint("merge"), ["grp", "id"]).select("_x", "_y", "_w"))
         if taught.isEmpty():
             break
         tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_y", weightCol="_w", maxDepth=depth, maxBins=256, minInstancesPerNode=3, seed=seed + i).fit(taught)
