@@ -7,10 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import overlaps as O
+from siltstone.operators import review as V
 from siltstone.operators import similarity as N
-from siltstone.plans import catalogue
+from siltstone.operators import tracks as A
+from siltstone.plans import catalogue, review
 
 DIR = "/root/testdata/sf0.001"
+#: Bytes that 300 near copies may shuffle; with a set for each of their 45 thousand pairs it was 19 MB.
+MOST = 4 << 20
 
 
 def families(seed, n=150):
@@ -85,18 +89,49 @@ def near_copies(spark, n=300, words=400):
     return spark.range(0, n, 1, 4).select(F.col("id").alias("doc_id"), F.array_join(w, " ").alias("text"))
 
 
-@pytest.mark.parametrize("name", ["doc_components", "doc_keep"])
-def test_components_shuffle_no_sets_with_pairs(spark, tmp_path, name):
-    """Sets are shuffled a bounded number of times, not once for each pair of near copies (45 thousand here, 120 MB)."""
+@pytest.fixture
+def merged(spark):
+    """Without broadcasts of what is small here and large elsewhere."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["doc_components", "doc_keep", "two_stage_documents"])
+def test_groups_shuffle_no_sets_with_pairs(spark, merged, tmp_path, name):
+    """Sets are shuffled a bounded number of times, not once for each pair of near copies."""
     near_copies(spark).withColumns({"lang": F.lit("en"), "source": F.lit("web"), "n_chars": F.length("text").cast("long")}).write.parquet(f"{tmp_path}/documents.parquet")
     out = []
     bytes_ = shuffled(spark, lambda: out.extend(catalogue.QUERIES[name](spark, str(tmp_path)).collect()))
-    assert len(out) == 300 and {r["component"] for r in out} == {0}
-    assert bytes_ < 12 << 20
+    assert len(out) == 300 and {r["cluster" if name == "two_stage_documents" else "component"] for r in out} == {0}
+    assert bytes_ < MOST
 
 
-def test_pairs_shuffle_no_sets_with_pairs(spark):
+def test_documents_of_an_analysis_shuffle_no_sets_with_pairs(spark, merged):
+    texts = near_copies(spark).select(F.col("doc_id").alias("id"), F.lit("/a/plan_v1.txt").alias("path"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"), "text")
+    out = []
+    bytes_ = shuffled(spark, lambda: out.extend(A.documents(texts).collect()))
+    assert len(out) == 300 and {(r["cluster"], r["track"]) for r in out} == {(0, "version_chain")}
+    assert bytes_ < MOST
+
+
+def test_the_inventory_of_an_analysis_is_made_without_a_join(spark):
+    """Texts aren't shuffled to meet their own letters, and aren't written before the analysis writes them."""
+    plan = review._media(spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "/documents.parquet" in plan
+
+
+def test_pairs_shuffle_no_sets_with_pairs(spark, merged):
     out = []
     bytes_ = shuffled(spark, lambda: out.append(N.jaccard_pairs(near_copies(spark), 0.5).count()))
     assert out == [300 * 299 // 2]
-    assert bytes_ < 12 << 20
+    assert bytes_ < MOST
+
+
+def test_groups_in_strips(spark):
+    """Blocks of a group are compared a strip at a time, with the result of all pairs."""
+    n = 3000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("grp"), "id", F.array(F.cos(F.col("id") / n), F.sin(F.col("id") / n)).alias("v"))
+    for block in (n, 512):
+        assert len({r["component"] for r in N.components(V.near_edges(rows, 0.99, block)).collect()}) == 1
+        assert V.extremes(rows, V.least_cosine, block).first()["extreme"] == pytest.approx(-np.cos((n - 1) / n))
