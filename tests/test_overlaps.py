@@ -11,6 +11,7 @@ from siltstone.operators import review as V
 from siltstone.operators import similarity as N
 from siltstone.operators import tracks as A
 from siltstone.plans import catalogue, review
+from siltstone.sources.shared import written
 
 DIR = "/root/testdata/sf0.001"
 #: Bytes that 300 near copies may shuffle; with a set for each of their 45 thousand pairs it was 19 MB.
@@ -83,6 +84,40 @@ def test_few_values_at_once(spark):
     assert O.jaccard_pairs(df, 0.5).count() == 0 and O.jaccard_links(df.limit(0), 0.5).count() == 0
 
 
+def pairs_of_sets(spark, n=2000, size=60):
+    """Sets of which each two in a row differ in one hash and share none with the others."""
+    h = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.xxhash64(F.when(k == 0, F.col("id") + n).otherwise(F.floor(F.col("id") / 2)), k))
+    return written(spark.range(0, n, 1, 4).select("id", F.sort_array(h).alias("s")))
+
+
+def test_counts_in_bytes():
+    k = np.array([1, 254, 255, 256, 3, 1000])
+    code, edges = O.counted(k)
+    assert code.tolist() == [1, 254, 255, 0, 255, 1, 3, 255, 255, 255, 235] and edges.tolist() == [0, 1, 2, 4, 6, 7, 11]
+    assert (np.bincount(O.uncounted(code)) == k).all() and (np.diff(O.uncounted(code)) >= 0).all()
+
+
+@pytest.mark.parametrize("n_blocks", [2, 16, 50])
+def test_guests_only_where_one_can_be_like_them(spark, monkeypatch, n_blocks):
+    """A set goes where it may meet one like it, not to half of the blocks; more blocks than places lose nothing."""
+    monkeypatch.setattr(O, "LEAST", 1)
+    monkeypatch.setattr(O, "SPREAD", n_blocks)
+    sets = written(O.shared_hashes(pairs_of_sets(spark), 0.5))
+    assert sets.count() == 2000 and O.met(sets).count() < 3 * 2000
+    assert sorted((r["a"], r["b"]) for r in O.like_pairs(sets, 0.5).collect()) == [(i, i + 1) for i in range(0, 2000, 2)]
+    assert sorted(tuple(sorted(r)) for r in O.like_links(sets, 0.5).collect()) == [(i, i + 1) for i in range(0, 2000, 2)]
+
+
+def test_more_buckets_shuffle_little_more(spark, monkeypatch):
+    """Of a set there goes a digest and a byte to each of its buckets, so few hashes in each cost little."""
+    s = F.sort_array(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.xxhash64("id", k)))
+    sets, bytes_ = written(spark.range(0, 2000, 1, 4).select("id", s.alias("s"))), []
+    for n in (4, 100):
+        monkeypatch.setattr(O, "FEWEST", n)
+        bytes_.append(shuffled(spark, lambda: O.shared_hashes(sets, 0.5).count()))
+    assert bytes_[1] < 1.4 * bytes_[0]
+
+
 def near_copies(spark, n=300, words=400):
     """Texts of which each has a word of its own in place of one."""
     w = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda k: F.when(k == F.col("id") % words, F.concat(F.lit("own"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("w"), k.cast("string"))))
