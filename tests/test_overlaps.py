@@ -108,6 +108,14 @@ def test_guests_only_where_one_can_be_like_them(spark, monkeypatch, n_blocks):
     assert sorted(tuple(sorted(r)) for r in O.like_links(sets, 0.5).collect()) == [(i, i + 1) for i in range(0, 2000, 2)]
 
 
+def test_more_blocks_take_no_more_guests(spark, monkeypatch):
+    """A set is a guest where one like it can be, not in half of the blocks that a row of places is cut into."""
+    monkeypatch.setattr(O, "BLOCK", 1000 * 59 // 100)
+    sets = written(O.shared_hashes(pairs_of_sets(spark, 1000), 0.5))
+    assert sets.count() == 1000 and O.met(sets).count() < 3 * 1000
+    assert sorted((r["a"], r["b"]) for r in O.like_pairs(sets, 0.5).collect()) == [(i, i + 1) for i in range(0, 1000, 2)]
+
+
 def test_more_buckets_shuffle_little_more(spark, monkeypatch):
     """Of a set there goes a digest and a byte to each of its buckets, so few hashes in each cost little."""
     s = F.sort_array(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.xxhash64("id", k)))
