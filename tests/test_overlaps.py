@@ -97,6 +97,21 @@ def test_counts_in_bytes():
     assert (np.bincount(O.uncounted(code)) == k).all() and (np.diff(O.uncounted(code)) >= 0).all()
 
 
+def test_buckets_are_sorted_in_parts(monkeypatch):
+    """Large buckets are sorted a part at a time, with the hashes that several digests have, each pair once."""
+    rng = np.random.default_rng(3)
+    d, row, h = np.array([7, -7, 9, 7]), rng.integers(0, 4, 3000, dtype=np.int32), rng.integers(-700, 700, 3000) * 5
+    of = {}
+    for k, x in zip(row, h, strict=True):
+        of.setdefault(int(x), []).append(int(d[k]))
+    want = sorted((x, c) for x, cs in of.items() if len(cs) > 1 for c in set(cs))
+    for most in (5000, 700, 10):
+        monkeypatch.setattr(O, "DEALT", most)
+        got = [np.concatenate(x) for x in zip(*O.several(d, row, h, 5), strict=True)]
+        assert sorted(zip(got[1].tolist(), got[0].tolist(), strict=True)) == want
+        assert (got[1][1:] != got[1][:-1]).sum() + 1 == len(set(got[1].tolist()))
+
+
 @pytest.mark.parametrize("n_blocks", [2, 16, 50])
 def test_guests_only_where_one_can_be_like_them(spark, monkeypatch, n_blocks):
     """A set goes where it may meet one like it, not to half of the blocks; more blocks than places lose nothing."""
