@@ -6,7 +6,9 @@ import math
 import re
 from difflib import SequenceMatcher
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from siltstone.functions import paths as P
 from siltstone.operators import inventory as I
 from siltstone.operators import rules as R
 from siltstone.operators import safety as S
+from siltstone.sources.shared import written
 
 
 def _raw(df: DataFrame, group: str, category: Column | str, ordinal: int) -> DataFrame:
@@ -88,28 +91,79 @@ def archive_stem(name: Column) -> Column:
     return F.when(F.rlike(name, F.lit(ARCHIVE)), F.regexp_extract(name, ARCHIVE, 1))
 
 
+#: Pairs of names that are compared at once, about, where all of two lengths are, and bins of characters.
+COMPARED, BINS = 1 << 16, 64
+
+
+def fewest_common(total: int, ratio: float) -> int:
+    """The fewest characters that two names of so many together have in common where SequenceMatcher's ratio is as wanted."""
+    m = max(0, math.ceil(ratio * total / 2) - 1)
+    while 2.0 * m / total < ratio:
+        m += 1
+    return m
+
+
+def common_bound(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """For each two names, no fewer characters than SequenceMatcher can match."""
+
+    def counts(names: pd.Series) -> np.ndarray:
+        code = np.frombuffer("".join(names).encode("utf-32-le"), dtype=np.uint32) % BINS
+        row = np.repeat(np.arange(len(names)), names.str.len().to_numpy(dtype=np.int64))
+        return np.bincount(row * BINS + code, minlength=len(names) * BINS).reshape(-1, BINS)
+
+    return np.minimum(counts(a), counts(b)).sum(axis=1)
+
+
 def archive_pairs(inv: DataFrame, ratio: float = R.ARCHIVE_RATIO) -> DataFrame:
     """Archives with a sibling directory of nearly their name; only the archive is proposed.
 
-    Names so alike differ in length by less than the step of a length class, so an archive meets only the
-    directories of its length class and the two beside it, not all of its folder.
+    What SequenceMatcher matches is a common subsequence, so two names so alike share one of the fewest characters
+    that their lengths ask for. Archives and directories of a folder meet under all of that length, or each with
+    each where these are fewer comparisons than subsequences; the ratio itself decides.
     """
-    step = (2 - ratio) / ratio * 1.01
-    size_class = lambda name: F.floor(F.log(F.length(name).cast("double")) / math.log(step)).cast("int")
-    archives = inv.filter(~F.col("is_dir")).select("path", "parent", archive_stem(F.col("name")).alias("stem")).filter("stem <> ''")
-    archives = archives.withColumn("cls", F.explode(F.transform(F.array(size_class(F.col("stem"))), lambda c: F.sequence(c - 1, c + 1))[0]))
-    dirs = inv.filter("is_dir").select("parent", F.col("name").alias("sibling"), size_class(F.col("name")).alias("cls"))
-    both = archives.join(dirs, ["parent", "cls"])
-    la, lb = F.length("stem"), F.length("sibling")
-    both = both.filter(2 * F.least(la, lb) >= ratio * (la + lb))
-
-    @F.pandas_udf("double")
-    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    scored = both.withColumn("ratio", likeness("stem", "sibling")).filter(F.col("ratio") >= ratio)
-    best = scored.groupBy("path").agg(F.min_by("sibling", F.struct(-F.col("ratio"), F.col("sibling"))).alias("sibling"))
-    return _raw(best, "archive_pairs", "archive_pair", 7)
+
+    @F.pandas_udf("string")
+    def lowered(names: pd.Series) -> pd.Series:
+        return names.str.lower()
+
+    @F.pandas_udf("m int, keyed boolean, salts int")
+    def ways(la: pd.Series, lb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.DataFrame:
+        m = [fewest_common(x + y, ratio) for x, y in zip(la, lb, strict=True)]
+        own = [math.comb(x, k) * i + math.comb(y, k) * j for x, y, i, j, k in zip(la, lb, na, nb, m, strict=True)]
+        return pd.DataFrame({"m": m, "keyed": [k < i * j for k, i, j in zip(own, na, nb, strict=True)], "salts": [min(i, -(-i * j // COMPARED)) for i, j in zip(na, nb, strict=True)]})
+
+    @F.pandas_udf("array<string>")
+    def subsequences(names: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([list({"".join(c) for c in combinations(x, k)}) for x, k in zip(names, m, strict=True)])
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
+        out = common_bound(a, b) >= m.to_numpy()
+        for k in np.flatnonzero(out):
+            out[k] = SequenceMatcher(None, a.iat[k], b.iat[k]).ratio() >= ratio
+        return pd.Series(out)
+
+    name = F.when(F.col("is_dir"), F.col("name")).otherwise(archive_stem(F.col("name")))
+    named = inv.select("path", "parent", "is_dir", name.alias("name")).filter("name <> ''")
+    named = written(named.withColumn("low", lowered("name")).withColumn("n", F.length("low")).drop("name"))
+    archives = named.filter(~F.col("is_dir")).select("path", "parent", F.col("low").alias("stem"), F.col("n").alias("la"))
+    dirs = named.filter("is_dir").select("parent", F.col("low").alias("sibling"), F.col("n").alias("lb")).distinct()
+    of_a = archives.groupBy("parent", "la").agg(F.count(F.lit(1)).alias("na"))
+    of_b = dirs.groupBy("parent", "lb").agg(F.count(F.lit(1)).alias("nb"))
+    plan = of_a.join(of_b, "parent").filter(2 * F.least("la", "lb") >= ratio * (F.col("la") + F.col("lb")))
+    plan = written(plan.withColumn("w", ways("la", "lb", "na", "nb")).select("parent", "la", "lb", "w.*"))
+    salt = lambda k: F.concat(F.lit("/"), k.cast("string"))
+
+    def meeting(rows: DataFrame, low: str, n: str, alone: Column) -> DataFrame:
+        with_plan = rows.join(plan, ["parent", n])
+        keyed = with_plan.filter("keyed").withColumn("key", F.explode(subsequences(low, "m")))
+        return keyed.unionByName(with_plan.filter("NOT keyed").withColumn("key", F.explode(alone))).drop("keyed", "salts")
+
+    x = meeting(archives, "stem", "la", F.array(salt(F.pmod(F.xxhash64("path"), F.col("salts")))))
+    y = meeting(dirs, "sibling", "lb", F.transform(F.sequence(F.lit(0), F.col("salts") - 1), salt)).drop("m")
+    both = x.join(y, ["parent", "la", "lb", "key"])
+    found = both.filter(alike("stem", "sibling", "m")).select("path").distinct()
+    return _raw(found, "archive_pairs", "archive_pair", 7)
 
 
 def large_logs(inv: DataFrame, now: float, least: int = R.LOG_BYTES, days: int = R.LOG_AGE_DAYS) -> DataFrame:
