@@ -1,9 +1,11 @@
 """The analysis in tracks: who claims what, and what a failure leaves."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import tracks as A
 from siltstone.operators.places import placed
+from siltstone.plans import catalogue
 
 SCHEMA = "id long, path string, size long, mtime double, width int, height int, hash long, vector array<double>, text string"
 WORDS = " ".join(f"w{i}" for i in range(40))
@@ -63,6 +65,22 @@ def test_a_failing_track_leaves_its_rows(spark, monkeypatch):
     assert empty.members.count() == 0 and empty.states.filter("state = 'run'").count() == 5
 
 
+DIR = "/root/testdata/sf0.001"
+
+
+def no_search(*_):
+    raise OSError("no space left on device")
+
+
+@pytest.mark.parametrize("name", ["analysis_members"])
+@pytest.mark.parametrize("track", ["near_identical", "documents"])
+def test_members_without_those_of_a_failed_track_are_no_result(spark, monkeypatch, name, track):
+    monkeypatch.setattr(A, track, no_search)
+    with pytest.raises(RuntimeError, match="isn't whole") as e:
+        catalogue.QUERIES[name](spark, DIR)
+    assert isinstance(e.value.__cause__, OSError)
+
+
 def test_places(spark):
     df = spark.range(0, 3000, 1, 5).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("g"), F.col("id"))
     rows = placed(df, "g", (F.desc("id"),), "n").collect()
