@@ -72,7 +72,7 @@ def no_search(*_):
     raise OSError("no space left on device")
 
 
-@pytest.mark.parametrize("name", ["analysis_members"])
+@pytest.mark.parametrize("name", ["analysis_members", "analysis_order"])
 @pytest.mark.parametrize("track", ["near_identical", "documents"])
 def test_members_without_those_of_a_failed_track_are_no_result(spark, monkeypatch, name, track):
     monkeypatch.setattr(A, track, no_search)
