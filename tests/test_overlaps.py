@@ -186,6 +186,55 @@ def test_pairs_shuffle_no_sets_with_pairs(spark, merged):
     assert bytes_ < MOST
 
 
+def tabled(spark, tmp_path):
+    near_copies(spark).withColumns({"lang": F.lit("en"), "source": F.lit("web"), "n_chars": F.length("text").cast("long")}).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def writes(spark, job):
+    """MB that the stages of a job write to tables."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(stages.apply(k).stageId(), stages.apply(k).attemptId()): stages.apply(k).outputBytes() for k in range(stages.size())}
+
+    before = total()
+    job()
+    return sum(v for k, v in total().items() if k not in before)
+
+
+def test_two_stages_write_no_sets(spark, tmp_path):
+    """Sets of 300 texts (0.9 MB of hashes) are made where they are dealt; what is written are the hashes that several share."""
+    d = tabled(spark, tmp_path)
+    sets = writes(spark, lambda: written(N.shingle_sets(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")))
+    both = []
+    shared = writes(spark, lambda: both.append(written(O.shared_hashes(written(N.shingle_sets(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")), 0.1)))) - sets
+    whole = writes(spark, lambda: catalogue.QUERIES["two_stage_documents"](spark, d).count())
+    assert whole < shared + sets / 2 + 250_000
+
+
+def test_many_small_groups_are_no_calls_of_their_own(spark):
+    """2,000 groups of three rows: the result of all pairs, without a call from Spark for each group."""
+    rows = spark.range(6000).select(F.floor(F.col("id") / 3).alias("grp"), "id", F.array(F.cos(F.col("id") % 3 / 10.0), F.sin(F.col("id") % 3 / 10.0)).alias("v"))
+    edges, worst = V.near_edges(rows, 0.99), V.extremes(rows, V.least_cosine)
+    for df in (edges, worst):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan and "REPARTITION_BY_NUM" in plan
+    assert {(r["component"], r["id"]) for r in N.components(edges).collect()} == {(3 * (i // 3), i) for i in range(6000)}
+    got = worst.collect()
+    assert len(got) == 2000 and {round(-r["extreme"], 9) for r in got} == {round(float(np.cos(0.2)), 9)}
+
+
+def test_letters_of_texts(spark):
+    """As the SQL counts them: lower-cased, other characters left out, null where no ASCII letter is."""
+    texts = ["aAbz", "\u212a", "\u212a x", "\u0130e", "\u00e9\u4e2d", "", None, "1 2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["v"] for r in df.select("doc_id", review._letter_counts().alias("v")).collect()}
+    some = lambda s: [float(s.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"]
+    assert got == {0: some("aabz"), 1: None, 2: some("kx"), 3: some("ie"), 4: None, 5: None, 6: None, 7: None}
+
+
 def test_groups_in_strips(spark):
     """Blocks of a group are compared a strip at a time, with the result of all pairs."""
     n = 3000
