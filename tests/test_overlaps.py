@@ -204,6 +204,30 @@ def writes(spark, job):
     return sum(v for k, v in total().items() if k not in before)
 
 
+@pytest.mark.parametrize("narrow", [True, False])
+def test_shared_hashes_are_numbered(spark, monkeypatch, narrow):
+    """Each hash that several sets have has one number in all of them, in 32 bits where there aren't too many."""
+    monkeypatch.setattr(O, "NARROW", 1 << 32 if narrow else 0)
+    monkeypatch.setattr(O, "BUCKET", 200)
+    rng = random.Random(5)
+    rows = [(i, sorted({rng.randrange(-300, 300) * 2**50 for _ in range(40)})) for i in range(60)]
+    got = O.shared_hashes(written(spark.createDataFrame(rows, "id long, s array<long>")), 0.1)
+    assert got.schema["s"].dataType.simpleString() == ("array<int>" if narrow else "array<bigint>")
+    sets = {r["id"]: r["s"] for r in got.collect()}
+    whole = dict(rows)
+    of = {}
+    for i, s in rows:
+        for h in s:
+            of.setdefault(h, set()).add(i)
+    holders = sorted(tuple(sorted(x)) for x in of.values() if len(x) > 1)
+    numbered = {}
+    for i, s in sets.items():
+        assert len(set(s)) == len(s) == sum(len(of[h]) > 1 for h in whole[i])
+        for x in s:
+            numbered.setdefault(x, []).append(i)
+    assert sorted(tuple(sorted(x)) for x in numbered.values()) == holders and len(sets) == 60
+
+
 def test_two_stages_write_no_sets(spark, tmp_path):
     """Sets of 300 texts (0.9 MB of hashes) are made where they are dealt; what is written are the hashes that several share."""
     d = tabled(spark, tmp_path)
